@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from plinth.plans.registry import ENTRIES, Entry
 
-MODULES = ["facets"]
+MODULES = ["facets", "scalars", "details", "merges", "resolution"]
 
 
 def catalog() -> dict[str, Entry]:
