@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plinth.functions.extract import clean_credit, credit_in_text, looks_like_credit
 from plinth.functions.text import as_col, collapse_spaces
@@ -35,11 +36,15 @@ def page_text(html: Column | str, max_chars: int | None = 5000) -> Column:
     return out if max_chars is None else F.substring(out, 1, max_chars)
 
 
-FACTS = (
-    "images array<struct<src:string,srcset:string,classes:string>>, "
-    "metas array<struct<key:string,content:string>>, captions array<string>, "
-    "credits array<string>, rows array<array<string>>"
-)
+def _records(*names: str) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+
+
+_TEXTS = T.ArrayType(T.StringType())
+FACTS = T.StructType([
+    T.StructField("images", _records("src", "srcset", "classes")), T.StructField("metas", _records("key", "content")),
+    T.StructField("captions", _TEXTS), T.StructField("credits", _TEXTS), T.StructField("rows", T.ArrayType(_TEXTS)),
+])
 _CREDIT_MARKS = ("credit", "photographer", "caption", "byline")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 

@@ -17,11 +17,17 @@ def words(value: Column | str) -> Column:
 
 def trigrams(value: Column | str) -> Column:
     """Distinct 3-grams of each word padded with two blanks before and one after."""
-    def of_word(word: Column) -> Column:
-        padded = F.concat(F.lit("  "), word, F.lit(" "))
-        return F.transform(F.sequence(F.lit(1), F.length(word) + 1), lambda i: F.substr(padded, i, F.lit(3)))
+    padded = F.array_join(F.transform(words(value), lambda w: F.concat(F.lit("  "), w, F.lit(" "))), "\n")
+    return F.array_distinct(F.regexp_extract_all(padded, F.lit("(?=([^\\n]{3}))"), F.lit(1)))
 
-    return F.array_distinct(F.flatten(F.transform(words(value), of_word)))
+
+def trigram_codes(value: Column | str) -> Column:
+    """The trigrams as numbers, one per gram: three code points of 21 bits. Smaller and faster to compare."""
+    def code(gram: Column) -> Column:
+        first, second, third = (F.ascii(F.substring(gram, i, 1)).cast("long") for i in (1, 2, 3))
+        return F.shiftleft(first, 42) + F.shiftleft(second, 21) + third
+
+    return F.transform(trigrams(value), code)
 
 
 def jaccard(left: Column | str, right: Column | str) -> Column:
@@ -38,10 +44,4 @@ def similarity(left: Column | str, right: Column | str) -> Column:
 
 def grams(value: Column | str, n: int) -> Column:
     """Distinct character n-grams of the whole text, empty when it is shorter than n."""
-    text = as_col(value)
-    last = F.length(text) - (n - 1)
-    return F.when(
-        last >= 1,
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
-                                     lambda i: F.substr(text, i, F.lit(n)))),
-    ).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.regexp_extract_all(as_col(value), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))

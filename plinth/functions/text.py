@@ -60,6 +60,11 @@ def has_number(value: Column | str) -> Column:
     return F.coalesce(as_col(value) != 0, F.lit(False))
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def points(*parts: tuple[Column, int]) -> Column:
     """Sum of the weights whose condition holds."""
     total = F.lit(0)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.functions.similarity import grams, jaccard, trigrams
+from plinth.functions.similarity import grams, jaccard, trigram_codes
 from plinth.operators.ranking import top_n
 
 BUCKETS = 16384
@@ -26,7 +26,7 @@ def gram_frequencies(df: DataFrame, grams_column: str) -> DataFrame:
 
     The array has a fixed length whatever the data, so it can travel to every task.
     """
-    counted = df.select(F.explode(grams_column).alias("_gram")).groupBy(
+    counted = df.select(F.explode_outer(grams_column).alias("_gram")).where(F.col("_gram").isNotNull()).groupBy(
         _bucket(F.col("_gram")).alias("_bucket")).agg(F.count("*").alias("_n"))
     slots = df.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("_bucket"))
     filled = slots.join(counted, "_bucket", "left").select(
@@ -44,14 +44,17 @@ def rare_first(df: DataFrame, grams_column: str, frequencies: DataFrame) -> Data
 
 
 def _prefixes(df: DataFrame, side: str, threshold: float) -> DataFrame:
-    """One row per prefix gram, with its place, the set and the set size."""
+    """One row per prefix gram, with its place, the set and the set size.
+
+    The outer form of explode keeps the optimizer from deriving a filter on the set, which would
+    build every set a second time below.
+    """
     size = F.size("_grams")
     length = size - F.ceil(F.lit(threshold) * size - 1e-9).cast("int") + 1
-    prefix = F.slice("_grams", 1, F.greatest(length, F.lit(1)))
-    sized = df.where(size > 0).select(
+    exploded = df.select(
         F.col("_name").alias(f"{side}_name"), F.col("_grams").alias(f"{side}_grams"), size.alias(f"{side}_size"),
-        F.posexplode(prefix).alias(f"{side}_at", "_gram"))
-    return sized
+        F.posexplode_outer(F.slice("_grams", 1, F.greatest(length, F.lit(1)))).alias(f"{side}_at", "_gram"))
+    return exploded.where(F.col("_gram").isNotNull())
 
 
 def _joined(left: DataFrame, right: DataFrame, threshold: float, inclusive: bool, within: bool) -> DataFrame:
@@ -62,18 +65,20 @@ def _joined(left: DataFrame, right: DataFrame, threshold: float, inclusive: bool
     most = F.least(pa, pb) + F.least(la - pa, lb - pb)
     enough = most >= F.lit(threshold / (1.0 + threshold)) * (la + lb) - 1e-9
     # A pair that shares several prefix grams is met once, at the first of them.
-    earlier = F.array_intersect(F.slice("left_grams", 1, F.col("left_at")), F.slice("right_grams", 1, F.col("right_at")))
-    condition = (a["_gram"] == b["_gram"]) & sizes & enough & (F.size(earlier) == 0)
+    met_before = F.arrays_overlap(F.slice("left_grams", 1, F.col("left_at")), F.slice("right_grams", 1, F.col("right_at")))
+    sim = jaccard("left_grams", "right_grams")
+    close = sim >= threshold if inclusive else sim > threshold
+    # Cheap tests stand before dear ones: the condition is evaluated from left to right.
+    condition = (a["_gram"] == b["_gram"]) & sizes & enough
     if within:
         condition = condition & (F.col("left_name") < F.col("right_name"))
-    met = a.join(b, condition).withColumn("sim", jaccard("left_grams", "right_grams"))
-    close = F.col("sim") >= threshold if inclusive else F.col("sim") > threshold
-    return met.where(close).select("left_name", "right_name", "sim")
+    met = a.join(b, condition & close & ~met_before)
+    return met.select("left_name", "right_name", sim.alias("sim"))
 
 
 def _gram_sets(names: DataFrame, column: str) -> DataFrame:
     return names.select(F.col(column).alias("_name")).distinct().where(F.col("_name").isNotNull()).withColumn(
-        "_grams", trigrams("_name"))
+        "_grams", trigram_codes("_name"))
 
 
 def similar_pairs(
@@ -136,9 +141,10 @@ def match_mentions(
     frequencies = gram_frequencies(name_grams, "_grams")
     filed = rare_first(name_grams, "_grams", frequencies).select(
         "canonical_name", "id", F.get("_grams", F.lit(0)).alias("_gram"))
-    title_grams = lowered.withColumn("_gram", F.explode(grams("_title", n)))
-    useful = title_grams.join(filed.select("_gram").distinct(), "_gram", "left_semi")
-    met = useful.join(filed, "_gram").where(F.col("_title").contains(F.col("canonical_name")))
+    # The exploded rows carry the key alone; the text is met again only for its candidates.
+    title_grams = lowered.select(key, F.explode(grams("_title", n)).alias("_gram"))
+    candidates = title_grams.join(filed, "_gram").select(key, "canonical_name", "id")
+    met = candidates.join(lowered, key).where(F.col("_title").contains(F.col("canonical_name")))
     best = F.min(F.struct((-F.length("canonical_name")).alias("l"), F.col("canonical_name").alias("n"), F.col("id").alias("id")))
     return met.groupBy(key).agg(best.alias("m")).select(
         key, F.col("m.id").alias("id"), F.col("m.n").alias("canonical_name"))

@@ -278,9 +278,8 @@ def _sentence_sql(kind: str, words: list[str]) -> str:
        + _sentence_sql("person", extract.PERSON_SENTENCE_WORDS) + ")")
 def _(s):
     df = s.sql(DESCRIBED)
-    parts = [df.where(F.col("kind") == k).select("doc_id", extract.summary_sentence("name", "body", k).alias("summary"))
-             for k in ("firm", "person")]
-    return parts[0].unionByName(parts[1]).where(F.col("summary").isNotNull())
+    parts = [extract.summary_sentences(df.where(F.col("kind") == k), "doc_id", "name", "body", k) for k in ("firm", "person")]
+    return parts[0].unionByName(parts[1])
 
 
 def _page_text_sql() -> str:
