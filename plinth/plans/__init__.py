@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from plinth.plans.registry import ENTRIES, Entry
 
-MODULES = ["facets", "scalars", "details", "merges", "resolution"]
+MODULES = ["facets", "scalars", "details", "merges", "resolution", "quality", "searching"]
 
 
 def catalog() -> dict[str, Entry]:
