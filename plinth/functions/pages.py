@@ -185,12 +185,10 @@ _NOT_CONTENT = "logo|favicon|sprite|social"
 
 def _metas(facts: Column, keys: list[str]) -> Column:
     """Content of the first meta tag of each key, keys in order."""
-    found = [F.filter(facts["metas"], lambda m, k=k: m["key"] == k)[0]["content"] for k in _literal_keys(keys)]
-    return F.array_compact(F.array(*found))
+    def first(key: str) -> Column:
+        return F.get(F.filter(facts["metas"], lambda m: m["key"] == key), F.lit(0))["content"]
 
-
-def _literal_keys(keys: list[str]) -> list[Column]:
-    return [F.lit(k) for k in keys]
+    return F.array_compact(F.array(*[first(k) for k in keys]))
 
 
 def image_candidates(facts: Column | str, base: Column | str, min_width: int = 800) -> Column:
@@ -252,8 +250,8 @@ CREDIT_METAS = ["author", "photographer", "dc.creator", "twitter:creator", "arti
 def photo_credit(facts: Column | str, html: Column | str) -> Column:
     """Credit from meta tags, captions, credit elements, then patterns in the page text."""
     page = as_col(facts)
-    meta = F.trim(_metas(page, CREDIT_METAS)[0])
-    caption = F.filter(page["captions"], looks_like_credit)[0]
-    element = F.filter(page["credits"], lambda t: looks_like_credit(t) & (F.length(t) < 200))[0]
+    meta = F.trim(F.get(_metas(page, CREDIT_METAS), F.lit(0)))
+    caption = F.get(F.filter(page["captions"], looks_like_credit), F.lit(0))
+    element = F.get(F.filter(page["credits"], lambda t: looks_like_credit(t) & (F.length(t) < 200)), F.lit(0))
     text = collapse_spaces(F.regexp_replace(as_col(html), "<[^>]*>", " "))
     return F.coalesce(meta, clean_credit(caption), clean_credit(element), credit_in_text(text))

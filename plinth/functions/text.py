@@ -145,9 +145,9 @@ def contains_any(value: Column | str, words: list[str]) -> Column:
 
 
 def matching_words(value: Column | str, words: list[str]) -> Column:
-    """The words found in the lower-cased text, in list order."""
-    text = F.lower(as_col(value))
-    return F.array_compact(F.array(*[F.when(text.contains(w), F.lit(w)) for w in words]))
+    """The words found in the lower-cased text, in list order. The text is lower-cased once."""
+    listed = F.array(*[F.lit(w) for w in words])
+    return let(F.lower(as_col(value)), lambda text: F.filter(listed, lambda w: text.contains(w)))
 
 
 def count_words(value: Column | str, words: list[str]) -> Column:

@@ -163,7 +163,7 @@ def creators(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def resolve_batch(
-    candidates: DataFrame, targets: DataFrame, aliases: DataFrame, kind: str, order: str = "pos",
+    candidates: DataFrame, targets: DataFrame, aliases: DataFrame, kind: str, order: str = "pos", trigram: bool = True,
 ) -> DataFrame:
     """`resolve` with the result of taking the rows one by one in `order`, which has no repeats.
 
@@ -173,22 +173,24 @@ def resolve_batch(
     """
     keep = candidates.columns
     named = candidates.withColumn("normalized", normalize_name("name"))
-    outcomes = cut_lineage(name_outcomes(named, targets, aliases, kind).withColumn(
+    outcomes = cut_lineage(name_outcomes(named, targets, aliases, kind, trigram).withColumn(
         "target_id", F.col("target_id").cast("string")))
     first = named.groupBy("normalized").agg(F.min(order).alias("first"))
     open_names = cut_lineage(
         outcomes.where(F.col("match_type").isin("trigram", "review", "new")).join(first, "normalized"))
     fresh = open_names.where(F.col("match_type") == "new").select("normalized", "first")
 
-    near = similar_pairs_within(open_names, REVIEW, "normalized", inclusive=True)
-    both_ways = near.select(F.col("left_name").alias("seer"), F.col("right_name").alias("seen"), "sim").unionByName(
-        near.select(F.col("right_name").alias("seer"), F.col("left_name").alias("seen"), "sim"))
     called = fresh.select(F.col("normalized").alias("seen"), F.explode(name_aliases("normalized")).alias("alias"))
     called = called.select("seen", normalize_name("alias").alias("seer")).where(
         (F.length("seer") > 0) & (F.col("seer") != F.col("seen"))).distinct()
     by_alias = called.join(open_names.select(F.col("normalized").alias("seer")), "seer", "left_semi").select(
         "seer", "seen", F.lit(None).cast("double").alias("sim"))
-    links = cut_lineage(both_ways.unionByName(by_alias))
+    if trigram:
+        near = similar_pairs_within(open_names, REVIEW, "normalized", inclusive=True)
+        by_alias = by_alias.unionByName(
+            near.select(F.col("left_name").alias("seer"), F.col("right_name").alias("seen"), "sim")).unionByName(
+            near.select(F.col("right_name").alias("seer"), F.col("left_name").alias("seen"), "sim"))
+    links = cut_lineage(by_alias)
 
     earlier = fresh.select(F.col("normalized").alias("seen"), F.col("first").alias("seen_first"))
     later = fresh.select(F.col("normalized").alias("seer"), F.col("first").alias("seer_first"))

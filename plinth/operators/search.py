@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plinth.functions.fulltext import fts_match, fts_rank, lexemes, query_lexemes
@@ -101,31 +101,41 @@ def search(
     asked = prepared(queries, stem)
     names = entities.select("entity_type", "id", "canonical_name")
     alias_names = aliases.select("entity_type", F.col("entity_id").alias("id"), "alias_normalized")
-    tagged = tag_hits(asked, tags, entity_tags)
-    admitted = reduce(DataFrame.unionByName, [
-        _name_hits(asked, names, "canonical_name", threshold),
-        _name_hits(asked, alias_names, "alias_normalized", threshold),
-        tagged, text_hits(asked, entities)]).distinct()
-    shown = _filtered(admitted.join(asked, "query_id").join(entities, ["entity_type", "id"]))
-    keys = ["query_id", "entity_type", "id"]
-    full = shown.join(alias_best_sim(shown, aliases), keys, "left").join(
-        tagged.withColumn("tagged", F.lit(True)), keys, "left")
+    shown = _admitted(asked, entities, {
+        "name": _name_hits(asked, names, "canonical_name", threshold),
+        "alias": _name_hits(asked, alias_names, "alias_normalized", threshold),
+        "tag": tag_hits(asked, tags, entity_tags), "text": text_hits(asked, entities)})
+    full = shown.join(alias_best_sim(shown, aliases), ["query_id", "entity_type", "id"], "left")
     rank = F.greatest(
-        jaccard("name_grams", "q_grams") * 2.0, F.coalesce(F.col("alias_sim") * 1.5, F.lit(0.0)),
-        fts_rank(F.col("text_lexemes"), F.col("q_words")),
-        F.when(F.col("tagged"), F.lit(0.4)).otherwise(F.lit(0.0)))
+        jaccard("name_grams", "q_grams") * 2.0, F.coalesce(F.col("alias_sim") * 1.5, F.lit(0.0)), _text_rank(),
+        F.when(F.col("by_tag"), F.lit(0.4)).otherwise(F.lit(0.0)))
     return _best(full.withColumn("rank", rank), k)
 
 
+def _admitted(
+    asked: DataFrame, entities: DataFrame, hits: dict[str, DataFrame], codes: bool = True,
+) -> DataFrame:
+    """Pairs found by any way, flagged `by_<way>`, with query and entity columns and the filters applied."""
+    marked = [df.withColumn("_way", F.lit(way)) for way, df in hits.items()]
+    flags = [F.bool_or(F.col("_way") == way).alias(f"by_{way}") for way in hits]
+    pairs = reduce(DataFrame.unionByName, marked).groupBy("query_id", "entity_type", "id").agg(*flags)
+    return _filtered(pairs.join(asked, "query_id").join(entities, ["entity_type", "id"]), codes)
+
+
+def _text_rank() -> Column:
+    """Cover density, worked out only for texts that hold all words; the others have no cover."""
+    return F.when(F.col("by_text"), fts_rank(F.col("text_lexemes"), F.col("q_words"))).otherwise(F.lit(0.0))
+
+
 def search_v1(
     queries: DataFrame, entities: DataFrame, k: int = 12, threshold: float = 0.2, stem: bool = False,
 ) -> DataFrame:
     """The earlier rule: name similarity or text, the country text only, no weights."""
     asked = prepared(queries, stem)
     names = entities.select("entity_type", "id", "canonical_name")
-    admitted = _name_hits(asked, names, "canonical_name", threshold).unionByName(text_hits(asked, entities)).distinct()
-    shown = _filtered(admitted.join(asked, "query_id").join(entities, ["entity_type", "id"]), codes=False)
-    rank = F.greatest(jaccard("name_grams", "q_grams"), fts_rank(F.col("text_lexemes"), F.col("q_words")))
+    hits = {"name": _name_hits(asked, names, "canonical_name", threshold), "text": text_hits(asked, entities)}
+    shown = _admitted(asked, entities, hits, codes=False)
+    rank = F.greatest(jaccard("name_grams", "q_grams"), _text_rank())
     return _best(shown.withColumn("rank", rank), k)
 
 

@@ -76,9 +76,15 @@ def _joined(left: DataFrame, right: DataFrame, threshold: float, inclusive: bool
     return met.select("left_name", "right_name", sim.alias("sim"))
 
 
+def spread(df: DataFrame, column: str) -> DataFrame:
+    """Rows dealt over all shuffle partitions. Names are small but dear to compare, and by size alone
+    the adaptive planner would put them into few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), column)
+
+
 def _gram_sets(names: DataFrame, column: str) -> DataFrame:
-    return names.select(F.col(column).alias("_name")).distinct().where(F.col("_name").isNotNull()).withColumn(
-        "_grams", trigram_codes("_name"))
+    distinct = names.select(F.col(column).alias("_name")).distinct().where(F.col("_name").isNotNull())
+    return spread(distinct, "_name").withColumn("_grams", trigram_codes("_name"))
 
 
 def similar_pairs(

@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from plinth.plans.registry import ENTRIES, Entry
 
-MODULES = ["facets", "scalars", "details", "merges", "resolution", "quality", "searching"]
+MODULES = [
+    "facets", "scalars", "details", "merges", "resolution", "quality", "searching", "ingestion", "extraction", "streams",
+]
 
 
 def catalog() -> dict[str, Entry]:

@@ -52,10 +52,11 @@ def flatten_editions(df: DataFrame, edition: str = "edition") -> DataFrame:
             person["nationality"].alias("nationality"), person["firm"].alias("firm"),
             (F.lit(role) if role else F.coalesce(person["role"], F.lit("Participant"))).alias("role"))
 
-    lists = [
-        F.transform(F.coalesce(e[field], F.array().cast(f"array<{_PERSON}>")), lambda p, a=award, r=role: entry(p, a, r))
-        for field, award, role in LISTS
-    ]
+    def listed(field: str, award: str | None, role: str | None) -> Column:
+        none = F.array().cast(f"array<{_PERSON}>")
+        return F.transform(F.coalesce(e[field], none), lambda person: entry(person, award, role))
+
+    lists = [listed(*spec) for spec in LISTS]
     p = e["golden_lion_best_pavilion"]
     pavilion = F.struct(
         F.lit(PAVILION_AWARD).alias("award_name"), p["architect"].alias("name"), p["nationality"].alias("nationality"),
