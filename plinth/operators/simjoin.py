@@ -43,8 +43,28 @@ def rare_first(df: DataFrame, grams_column: str, frequencies: DataFrame) -> Data
     return with_counts.withColumn(grams_column, ordered).drop("_freq")
 
 
+def _signatures(grams_column: str) -> list[Column]:
+    """Four 64-bit words with one bit set per gram, by hash."""
+    def word(number: int) -> Column:
+        def add(bits: Column, gram: Column) -> Column:
+            slot = F.pmod(F.xxhash64(gram), F.lit(256))
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+            mine = (slot >= 64 * number) & (slot < 64 * (number + 1))
+            return bits.bitwiseOR(F.when(mine, bit).otherwise(F.lit(0).cast("long")))
+
+        return F.aggregate(grams_column, F.lit(0).cast("long"), add)
+
+    return [word(number).alias(f"_sig{number}") for number in range(4)]
+
+
+def _missing(mine: str, theirs: str) -> Column:
+    """A lower bound on the grams of one set that the other lacks: signature bits it does not have."""
+    lacking = [F.bit_count(F.col(f"{mine}_sig{n}").bitwiseAND(F.bitwise_not(F.col(f"{theirs}_sig{n}")))) for n in range(4)]
+    return lacking[0] + lacking[1] + lacking[2] + lacking[3]
+
+
 def _prefixes(df: DataFrame, side: str, threshold: float) -> DataFrame:
-    """One row per prefix gram, with its place, the set and the set size.
+    """One row per prefix gram, with its place, the set, its size and signature.
 
     The outer form of explode keeps the optimizer from deriving a filter on the set, which would
     build every set a second time below.
@@ -53,6 +73,7 @@ def _prefixes(df: DataFrame, side: str, threshold: float) -> DataFrame:
     length = size - F.ceil(F.lit(threshold) * size - 1e-9).cast("int") + 1
     exploded = df.select(
         F.col("_name").alias(f"{side}_name"), F.col("_grams").alias(f"{side}_grams"), size.alias(f"{side}_size"),
+        *[F.col(f"_sig{n}").alias(f"{side}_sig{n}") for n in range(4)],
         F.posexplode_outer(F.slice("_grams", 1, F.greatest(length, F.lit(1)))).alias(f"{side}_at", "_gram"))
     return exploded.where(F.col("_gram").isNotNull())
 
@@ -61,15 +82,17 @@ def _joined(left: DataFrame, right: DataFrame, threshold: float, inclusive: bool
     a, b = _prefixes(left, "left", threshold), _prefixes(right, "right", threshold)
     la, lb, pa, pb = F.col("left_size"), F.col("right_size"), F.col("left_at") + 1, F.col("right_at") + 1
     sizes = (F.lit(threshold) * la <= lb + 1e-9) & (F.lit(threshold) * lb <= la + 1e-9)
-    # Shared grams: at most the smaller place so far, plus the smaller rest.
-    most = F.least(pa, pb) + F.least(la - pa, lb - pb)
-    enough = most >= F.lit(threshold / (1.0 + threshold)) * (la + lb) - 1e-9
+    # Two upper bounds on the shared grams: by place in the order (the smaller place so far plus the
+    # smaller rest), and by signature.
+    needed = F.lit(threshold / (1.0 + threshold)) * (la + lb) - 1e-9
+    by_place = F.least(pa, pb) + F.least(la - pa, lb - pb) >= needed
+    by_signature = F.least(la - _missing("left", "right"), lb - _missing("right", "left")) >= needed
     # A pair that shares several prefix grams is met once, at the first of them.
     met_before = F.arrays_overlap(F.slice("left_grams", 1, F.col("left_at")), F.slice("right_grams", 1, F.col("right_at")))
     sim = jaccard("left_grams", "right_grams")
     close = sim >= threshold if inclusive else sim > threshold
     # Cheap tests stand before dear ones: the condition is evaluated from left to right.
-    condition = (a["_gram"] == b["_gram"]) & sizes & enough
+    condition = (a["_gram"] == b["_gram"]) & sizes & by_place & by_signature
     if within:
         condition = condition & (F.col("left_name") < F.col("right_name"))
     met = a.join(b, condition & close & ~met_before)
@@ -84,7 +107,8 @@ def spread(df: DataFrame, column: str) -> DataFrame:
 
 def _gram_sets(names: DataFrame, column: str) -> DataFrame:
     distinct = names.select(F.col(column).alias("_name")).distinct().where(F.col("_name").isNotNull())
-    return spread(distinct, "_name").withColumn("_grams", trigram_codes("_name"))
+    sets = spread(distinct, "_name").withColumn("_grams", trigram_codes("_name"))
+    return sets.select("_name", "_grams", *_signatures("_grams"))
 
 
 def similar_pairs(

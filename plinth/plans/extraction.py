@@ -54,15 +54,15 @@ def _(s):
 
 BIOS = """
     select doc_id, text || case doc_id % 4
-        when 0 then '. She studied urban design at MIT where she met people. He holds a M.Arch from Yale School of Architecture in 1998! Later a PhD at Yale School of Architecture in 2004.'
-        when 1 then chr(10) || 'Graduated from the University of Tokyo in architecture, B.Arch 1987. Educated at ETH Zurich' || chr(10) || 'Diploma of the Bauhaus 1925'
+        when 0 then '. She studied urban design at MIT where she met people. He holds a MArch from Yale School of Architecture in 1998! Later a PhD at Yale School of Architecture in 2004.'
+        when 1 then chr(10) || 'Graduated from the University of Tokyo in architecture, BArch 1987. Educated at ETH Zurich' || chr(10) || 'Diploma of the Bauhaus 1925'
         when 2 then '. No schooling is mentioned here' else '. A master of Pratt Institute from 2011' end as bio from documents"""
 
 
 @query("extract_education", f"""
     with e(r, institution_name, degree, field, end_year) as (values
-      (0, 'MIT', null, 'Urban Design', null), (0, 'Yale School of Architecture', 'M.Arch', 'Architecture', 1998),
-      (1, 'University of Tokyo', 'B.Arch', 'Architecture', 1987), (1, 'ETH Zurich', null, null, null), (1, 'Bauhaus', 'Diploma', null, null),
+      (0, 'MIT', null, 'Urban Design', null), (0, 'Yale School of Architecture', 'MArch', 'Architecture', 1998),
+      (1, 'University of Tokyo', 'BArch', 'Architecture', 1987), (1, 'ETH Zurich', null, null, null), (1, 'Bauhaus', 'Diploma', null, null),
       (3, 'Pratt Institute', null, null, 2011))
     select doc_id, institution_name, degree, field, cast(end_year as int) as end_year from ({BIOS}) join e on r = doc_id % 4""")
 def _(s):

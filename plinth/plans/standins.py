@@ -15,6 +15,8 @@ BASE_TABLES = [
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
+TEXT_TABLES = ["documents", "pages"]
+
 VIEWS: dict[str, str] = {
     "v_firms": """
         select c_custkey as id,
@@ -203,7 +205,14 @@ class StandIns:
         self.sf_dir = sf_dir
 
     def base(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+        return self._dealt(df) if table in TEXT_TABLES else df
+
+    def _dealt(self, df: DataFrame) -> DataFrame:
+        """Long texts in a file of one row group would be one task: deal them out by key. A table of
+        as many splits as there are cores, as any large one, is left alone."""
+        wanted = self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, df.columns[0])
 
     def sql(self, statement: str) -> DataFrame:
         """Run SQL over the base tables and stand-in views, without leaving temp views behind."""
