@@ -102,7 +102,8 @@ def _joined(left: DataFrame, right: DataFrame, threshold: float, inclusive: bool
 def spread(df: DataFrame, column: str) -> DataFrame:
     """Rows dealt over all shuffle partitions. Names are small but dear to compare, and by size alone
     the adaptive planner would put them into few tasks."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), column)
+    wanted = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    return df.repartition(int(wanted), column) if wanted.isdigit() else df.repartition(column)
 
 
 def _gram_sets(names: DataFrame, column: str) -> DataFrame:

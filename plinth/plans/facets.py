@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plinth.operators import counts, filters, listings, ranking
+from plinth.operators import counts, filters, listings, ranking, sqlapi
 from plinth.plans.registry import query
 from plinth.schema import SECTORS, enum_rank, validate_enum
 
@@ -410,3 +410,27 @@ def _(s):
     union all select distinct 'awards', null, slug from v_awards""")
 def _(s):
     return listings.static_params(s.firms, s.people, s.tags, s.awards)
+
+
+@query("sql_table_functions", f"""
+    select 'firms_in' as fn, cast(id as varchar) as key, 1 as n from v_firms where {ACTIVE} and sector = 'design'
+    union all select 'source_counts', cast(entity_id as varchar), count(*) from v_entity_sources where entity_type = 'person' group by 2
+    union all select 'by_country', country, count(*) from v_firms where {ACTIVE} and country is not null group by 2""")
+def _(s):
+    sqlapi.register(s.spark, {"firms": s.firms, "entity_sources": s.entity_sources})
+    return s.spark.sql("""
+        select 'firms_in' as fn, cast(id as string) as key, 1L as n from firms_in('design', null)
+        union all select 'source_counts', cast(entity_id as string), source_count from entity_source_counts('person')
+        union all select 'by_country', value, firms from count_firms_by('country')""")
+
+
+@query("skip_unlabelled", """
+    select p_partkey as id, label, not regexp_matches(label, '^Q\\d+$') as kept, not starts_with(label, 'Q') as kept_legacy
+    from (select p_partkey, case p_partkey % 3 when 0 then 'Q' || p_partkey when 1 then 'Quinn ' || p_name else p_name end as label from part)""")
+def _(s):
+    labelled = s.sql("""select p_partkey as id, case p_partkey % 3 when 0 then 'Q' || cast(p_partkey as string)
+                        when 1 then 'Quinn ' || p_name else p_name end as label from part""")
+    kept = filters.skip_unlabelled(labelled, "label").select("id", F.lit(True).alias("kept"))
+    old = filters.skip_unlabelled(labelled, "label", legacy=True).select("id", F.lit(True).alias("kept_legacy"))
+    return labelled.join(kept, "id", "left").join(old, "id", "left").select(
+        "id", "label", F.coalesce("kept", F.lit(False)).alias("kept"), F.coalesce("kept_legacy", F.lit(False)).alias("kept_legacy"))

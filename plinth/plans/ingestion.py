@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plinth.functions import scoring
 from plinth.operators import relations
 from plinth.plans import sqlparts as sp
 from plinth.plans.registry import query
@@ -152,6 +153,30 @@ def _(s):
     return works.flatten_works(_works(s), mode="venue")["affiliations"]
 
 
+@query("work_affiliations_topic", f"""
+    select {URL} as url, cast(seat as int) as author_no, p_name as name, inst as institution, case when s_nationkey % 2 = 0 then 'DE' end as country_code
+    from {ARRANGED} where k % 10 <> 0 and n <> 5 and {REAL}""")
+def _(s):
+    return works.flatten_works(_works(s))["affiliations"]
+
+
+@query("work_topics", f"""
+    select 'W' || k as id, case when k % 3 = 0 then t || ' robot' when k % 3 = 1 then t || ' housing, urban' else '' end as topics,
+           case when k % 3 = 0 then 'technology' when k % 3 = 1 then 'architecture' else 'technology' end as sector
+    from (select l_orderkey as k, min(p_type) as t from lineitem join part on l_partkey = p_partkey group by 1)""")
+def _(s):
+    base = s.sql("select l_orderkey as k, min(p_type) as t from lineitem join part on l_partkey = p_partkey group by 1")
+    topic = lambda c: F.struct(c.alias("display_name"))
+    concept = lambda c, level: F.struct(c.alias("display_name"), F.lit(level).cast("int").alias("level"))
+    none = F.array().cast("array<struct<display_name:string>>")
+    made = base.select(
+        F.concat(F.lit("W"), "k").alias("id"), F.when(F.col("k") % 3 == 0, F.array(topic(F.concat("t", F.lit(" robot"))))).otherwise(none).alias("topics"),
+        F.when(F.col("k") % 3 == 2, F.array(concept(F.lit("too narrow"), 3), concept(F.lit("no level"), None))).otherwise(
+            F.array(concept(F.concat("t", F.lit(" housing, urban")), 1))).alias("concepts"))
+    names = works.topics_of()
+    return made.select("id", F.array_join(names, "|").alias("topics"), scoring.classify_sector(names).alias("sector"))
+
+
 LABS = """
     select s_suppkey as pos, case when s_suppkey % 9 = 0 then ' ' else ' ' || s_name || ' Lab ' end as name,
            case when s_nationkey % 8 = 0 then '' else 'de' end as country_code, case when s_suppkey % 3 = 0 then '' else 'Town' end as city, 'County' as county,

@@ -221,3 +221,9 @@ def _(s):
     select id, display_name, next_id, next_display_name, round(ratio, 6) as ratio from r where ratio > 0.8""")
 def _(s):
     return audit.adjacent_duplicates(s.firms, 0.8).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("adjacent_duplicates_by_sequence")
+def _(s):
+    from plinth.functions.sequence import sequence_ratio
+    return audit.adjacent_duplicates(s.firms, 0.95, ratio=sequence_ratio)
