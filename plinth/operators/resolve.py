@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.functions.text import name_aliases, normalize_name, slug_of
-from plinth.operators.ranking import keep_first
-from plinth.operators.simjoin import best_match, similar_pairs_within
+from plinth.operators.ranking import number_rows
+from plinth.operators.simjoin import best_match, similar_pairs, similar_pairs_within
 from plinth.schema import entity_id
 from plinth.session import cut_lineage
 
@@ -162,14 +162,70 @@ def creators(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return undecided if decided is None else decided.unionByName(undecided)
 
 
+BLOCK = 4096
+
+
+def _called(names: DataFrame) -> DataFrame:
+    """(seen, seer): the other names by which a created entity can be met, from its aliases."""
+    forms = names.select(F.col("normalized").alias("seen"), F.explode(name_aliases("normalized")).alias("alias"))
+    return forms.select("seen", normalize_name("alias").alias("seer")).where(
+        (F.length("seer") > 0) & (F.col("seer") != F.col("seen"))).distinct()
+
+
+def _seen_by(names: DataFrame, entities: DataFrame, trigram: bool) -> DataFrame:
+    """(seer, seen, sim) of `names` that meet `entities` by alias (no sim) or by similarity."""
+    links = _called(entities).join(names.select(F.col("normalized").alias("seer")), "seer", "left_semi").select(
+        "seer", "seen", F.lit(None).cast("double").alias("sim"))
+    if trigram:
+        near = similar_pairs(names, entities, REVIEW, "normalized", "normalized", inclusive=True)
+        near = near.where(F.col("left_name") != F.col("right_name"))
+        links = links.unionByName(near.select(F.col("left_name").alias("seer"), F.col("right_name").alias("seen"), "sim"))
+    return links
+
+
+def _edges_within(names: DataFrame, trigram: bool) -> DataFrame:
+    """(later, earlier) between names of one block; `names` has `normalized` and its `first` row."""
+    met = _called(names)
+    if trigram:
+        near = similar_pairs_within(names, REVIEW, "normalized", inclusive=True)
+        met = met.unionByName(near.select(F.col("left_name").alias("seen"), F.col("right_name").alias("seer"))).unionByName(
+            near.select(F.col("right_name").alias("seen"), F.col("left_name").alias("seer")))
+    earlier = names.select(F.col("normalized").alias("seen"), F.col("first").alias("seen_first"))
+    later = names.select(F.col("normalized").alias("seer"), F.col("first").alias("seer_first"))
+    return met.join(earlier, "seen").join(later, "seer").where(F.col("seen_first") < F.col("seer_first")).select(
+        F.col("seer").alias("later"), F.col("seen").alias("earlier"))
+
+
+def batch_creators(fresh: DataFrame, trigram: bool = True, block: int = BLOCK) -> DataFrame:
+    """(normalized, first) of the names of a batch that create an entity.
+
+    Names are taken in blocks that double in size. A block first meets the creators found so far,
+    which absorb the copies of names seen before, and only what is left is compared with itself.
+    A name with very many near-copies thus costs one match per copy, not one per pair of copies.
+    """
+    numbered = cut_lineage(number_rows(fresh, [F.asc("first")], "_no").withColumn(
+        "_block", F.floor(F.log2(F.col("_no") / F.lit(block) + 1.0)).cast("int")))
+    last = numbered.agg(F.max("_block")).first()[0]
+    found = None
+    for number in range((last if last is not None else -1) + 1):
+        names = numbered.where(F.col("_block") == number).select("normalized", "first")
+        if found is not None:
+            absorbed = _seen_by(names, found, trigram).select(F.col("seer").alias("normalized")).distinct()
+            names = cut_lineage(names.join(absorbed, "normalized", "left_anti"))
+        made = cut_lineage(creators(names, _edges_within(names, trigram)).join(names, "normalized"))
+        found = made if found is None else found.unionByName(made)
+    return fresh.limit(0) if found is None else found.select("normalized", "first")
+
+
 def resolve_batch(
     candidates: DataFrame, targets: DataFrame, aliases: DataFrame, kind: str, order: str = "pos", trigram: bool = True,
+    block: int = BLOCK,
 ) -> DataFrame:
     """`resolve` with the result of taking the rows one by one in `order`, which has no repeats.
 
     A name that creates an entity is seen by later rows: by canonical name, by its aliases, and by
-    similarity. Only creators are seen, so the batch reduces to finding them (`creators`); every
-    other row then takes the best of the known target and the creators before it.
+    similarity. Only creators are seen, so the batch reduces to finding them (`batch_creators`);
+    every other row then takes the best of the known target and the creators before it.
     """
     keep = candidates.columns
     named = candidates.withColumn("normalized", normalize_name("name"))
@@ -179,32 +235,12 @@ def resolve_batch(
     open_names = cut_lineage(
         outcomes.where(F.col("match_type").isin("trigram", "review", "new")).join(first, "normalized"))
     fresh = open_names.where(F.col("match_type") == "new").select("normalized", "first")
+    made = batch_creators(fresh, trigram, block)
 
-    called = fresh.select(F.col("normalized").alias("seen"), F.explode(name_aliases("normalized")).alias("alias"))
-    called = called.select("seen", normalize_name("alias").alias("seer")).where(
-        (F.length("seer") > 0) & (F.col("seer") != F.col("seen"))).distinct()
-    by_alias = called.join(open_names.select(F.col("normalized").alias("seer")), "seer", "left_semi").select(
-        "seer", "seen", F.lit(None).cast("double").alias("sim"))
-    if trigram:
-        near = similar_pairs_within(open_names, REVIEW, "normalized", inclusive=True)
-        by_alias = by_alias.unionByName(
-            near.select(F.col("left_name").alias("seer"), F.col("right_name").alias("seen"), "sim")).unionByName(
-            near.select(F.col("right_name").alias("seer"), F.col("left_name").alias("seen"), "sim"))
-    links = cut_lineage(by_alias)
-
-    earlier = fresh.select(F.col("normalized").alias("seen"), F.col("first").alias("seen_first"))
-    later = fresh.select(F.col("normalized").alias("seer"), F.col("first").alias("seer_first"))
-    edges = links.join(earlier, "seen").join(later, "seer").where(F.col("seen_first") < F.col("seer_first")).select(
-        F.col("seer").alias("later"), F.col("seen").alias("earlier"))
-    made = cut_lineage(creators(fresh, edges).join(first, "normalized"))
-
-    options = _options(links, made, open_names, kind)
-    spans = _spans(options)
+    spans = _spans(_options(_seen_by(open_names, made, trigram), made, open_names, kind))
     is_made = made.select("normalized", F.col("first").alias("made_at"))
     settled = outcomes.where(F.col("match_type").isin("exact", "alias"))
-    placed = (
-        named.join(settled, "normalized", "left").join(is_made, "normalized", "left")
-    )
+    placed = named.join(settled, "normalized", "left").join(is_made, "normalized", "left")
     direct = placed.where(F.col("match_type").isNotNull() | F.col("made_at").isNotNull())
     stage = F.when(F.col("made_at").isNull(), F.col("match_type")).when(
         F.col("made_at") == F.col(order), F.lit("new")).otherwise(F.lit("exact"))
