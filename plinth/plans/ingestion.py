@@ -350,7 +350,7 @@ TRIPLES = """
     from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey"""
 ENTITIES = """
     select distinct l_orderkey as source_id, 'person' as entity_type, l_partkey as entity_id, p_name as name from lineitem join part on l_partkey = p_partkey where l_linenumber < 6
-    union all select distinct o_orderkey, 'firm', o_custkey, 'WORKS ' || cast(o_custkey as string) from orders where o_orderkey % 2 = 0"""
+    union all select distinct o_orderkey, 'firm', o_custkey, 'WORKS ' || cast(o_custkey as string) from orders where o_orderstatus = 'O'"""
 PLACED = f"""
     tr as ({TRIPLES}), en as (select source_id, lower(name) as key, arg_min(entity_type, (entity_type, cast(entity_id as varchar))) as kind,
               min(cast(entity_id as varchar)) as id from ({ENTITIES}) group by 1, 2),

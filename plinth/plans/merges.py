@@ -8,12 +8,11 @@ from plinth.operators import ingest, merge
 from plinth.plans import sqlparts as sp
 from plinth.plans.registry import query
 
-# A firm update feed: two thirds known firms, one third new, some keys twice.
+# A firm update feed: known firms and new ones, with many keys more than once.
 UPDATES = """
-    select o_custkey * 3 / 2 as id, 'Renamed ' || o_orderpriority as display_name,
+    select case when o_orderstatus = 'F' then 1000000000 + o_custkey else o_custkey end as id, 'Renamed ' || o_orderpriority as display_name,
            case when o_orderkey % 4 = 0 then cast(null as string) else 'Town ' || o_orderstatus end as city, o_orderkey as pos
-    from orders where o_custkey % 2 = 0"""
-UPDATES = UPDATES.replace("o_custkey * 3 / 2", "cast(o_custkey + o_custkey / 2 as bigint)")
+    from orders"""
 FIRST = f"(select * from (select *, row_number() over (partition by id order by pos) as rn from ({UPDATES})) where rn = 1)"
 CORE = ["id", "slug", "display_name", "city", "quality_score"]
 
@@ -104,13 +103,13 @@ def _(s):
     return merge.link_edges(old, s.sql(LINKS), ["entity_id", "entity_type", "source_id"], [F.asc("pos")])
 
 
-WON = "select award_id, firm_id, person_id, year, project_name, award_id * 7 as pos from v_recipients where award_id % 4 = 1"
+WON = "select award_id, firm_id, person_id, year, project_name, award_id * 7 as pos from v_recipients where project_name is not null"
 
 
 @query("link_recipients_null_safe", f"""
     select distinct award_id, firm_id, person_id, year from (
         select award_id, firm_id, person_id, year from v_recipients
-        union all select award_id, firm_id, cast(null as bigint), year from v_recipients where award_id % 4 = 1)""")
+        union all select award_id, firm_id, cast(null as bigint), year from v_recipients where project_name is not null)""")
 def _(s):
     keys = ["award_id", "firm_id", "person_id", "year"]
     old = s.recipients.select(*keys).distinct()
@@ -157,7 +156,7 @@ def _(s):
     return merge.enqueue(s.queue, s.sql(WANTED))
 
 
-OUTCOMES = "select event_id as id, value > 50 as ok, 'too low' as error from events where user_id % 3 <> 0"
+OUTCOMES = "select event_id as id, value > 50 as ok, 'too low' as error from events where event_type <> 'signup'"
 
 
 @query("queue_transition", f"""
@@ -187,7 +186,7 @@ def _(s):
 
 
 DECISIONS = """select event_id as id, case event_id % 3 when 0 then 'accept' when 1 then 'reject' else 'skip' end as decision,
-    'at ' || cast(event_id as string) as at from events where user_id % 2 = 0"""
+    'at ' || cast(event_id as string) as at from events where event_type <> 'error'"""
 
 
 @query("apply_review", f"""
@@ -245,7 +244,7 @@ def _(s):
     return ingest.upsert_projects(projects, rows, [F.asc("year")])
 
 
-CURSOR_RUNS = "select source || '_' || lang as source_name, 'c' || cast(max(doc_id) as string) as last_cursor, count(*) as entity_count, case when max(n_chars) > 5000 then 'partial' else 'ok' end as status from documents where doc_id % 2 = 0 group by 1"
+CURSOR_RUNS = "select source || '_' || lang as source_name, 'c' || cast(max(doc_id) as string) as last_cursor, count(*) as entity_count, case when max(n_chars) > 5000 then 'partial' else 'ok' end as status from documents where n_chars > 500 group by 1"
 
 
 @query("cursor_write", f"""

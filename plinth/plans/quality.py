@@ -143,7 +143,7 @@ ISSUES = "\n union all ".join([
     _part("critical", "dangling_merge", "'firm'", "id", "display_name", "'merged_into=' || merged_into || ' but target does not exist'", "v_firms where merged_into is not null and merged_into not in (select id from v_firms)"),
     _part("high", "fuzzy_duplicate", "'firm'", "id", "display_name", "'Very similar to ''' || next_display_name || ''' (ratio=' || printf('%.3f', ratio) || ')'", "fz where ratio > 0.9"),
 ])
-LINKED = "lf as (select distinct entity_id from v_entity_sources where entity_type = 'firm' and entity_id % 2 = 1)"
+LINKED = "lf as (select distinct entity_id from v_entity_sources where entity_type = 'firm' and mention_type = '1-URGENT')"
 FUZZY = f"""fz0 as (select id, display_name, canonical_name, lead(canonical_name) over w as next_name, lead(display_name) over w as next_display_name
     from v_firms where {ACTIVE} window w as (order by canonical_name, id)),
     fz as (select *, {RATIO} as ratio from fz0 where next_name is not null and canonical_name <> next_name)"""
@@ -153,7 +153,7 @@ def _issues(s):
     tables = {
         "firms": s.firms, "people": s.people, "entity_aliases": s.aliases, "enrichment_queue": s.queue,
         "review_queue": s.review, "sources": s.sources, "ingest_cursors": s.cursors,
-        "entity_sources": s.entity_sources.where("entity_type <> 'firm' or entity_id % 2 = 1"),
+        "entity_sources": s.entity_sources.where("entity_type <> 'firm' or mention_type = '1-URGENT'"),
     }
     return audit.audit_issues(tables, fuzzy_threshold=0.9)
 

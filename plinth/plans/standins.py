@@ -122,13 +122,15 @@ VIEWS: dict[str, str] = {
         select s_suppkey as id, 'Tag ' || s_name as name, lower(replace(s_name, '#', '-')) as slug,
                case when s_nationkey % 5 = 0 then cast(null as string) when s_nationkey % 5 = 1 then ''
                     else 'cat' || cast(s_nationkey % 5 as string) end as category
-        from supplier""",
+        from supplier
+        union all
+        select 1000000000 + n_nationkey, 'Unused ' || n_name, 'unused-' || lower(n_name), 'cat9' from nation""",
     "v_entity_tags": """
         select distinct l_partkey as entity_id, 'person' as entity_type, l_suppkey as tag_id
-        from lineitem where l_suppkey % 10 <> 7
+        from lineitem
         union all
         select distinct o_custkey as entity_id, 'firm' as entity_type, l_suppkey as tag_id
-        from lineitem join orders on l_orderkey = o_orderkey where l_suppkey % 10 <> 7""",
+        from lineitem join orders on l_orderkey = o_orderkey""",
     "v_awards": """
         select o_orderkey as id, 'award-' || cast(o_orderkey as string) as slug,
                'Award ' || o_orderpriority as award_name,
