@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import licences, pieces, quality_classifier, quality_rules, token_counts
+from plinth.llm import licences, mixing, pieces, quality_classifier, quality_rules, secrets, token_counts
 from plinth.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -135,3 +135,104 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~quality_rules.passes("base")).alias("base_failed"), quality_rules.passes("v1").alias("kept"),
         "n_lines", "n_upper", "fail_bits",
     )
+
+
+def hits_sql(source: str) -> str:
+    """CTEs that end in `judged`: the spans of every row of `source`, by doc_id, with their class."""
+    parts = []
+    for rank, (kind, pattern) in enumerate(secrets.KINDS.items()):
+        text = pattern.replace("'", "''")
+        value = f"regexp_extract_all(t, '{text}', 2)" if kind == "assign" else f"regexp_extract_all(t, '{text}')"
+        parts.append(f"""
+  select doc_id, source, lang, '{kind}' as kind, {rank} as rank, unnest(range(1, len(m) + 1)) as pos, unnest(m) as m, unnest(v) as v, unnest(g[1:len(m)]) as g
+  from (select doc_id, source, lang, regexp_extract_all(t, '{text}') as m, {value} as v, string_split_regex(t, '{text}') as g
+        from (select doc_id, source, lang, coalesce(text, '') as t from {source}) where regexp_matches(t, '{text}'))""")
+    base = len(secrets.BASE)
+    return f"""
+hits as ({" union all ".join(parts)}),
+placed as (
+  select *, (sum(length(g) + length(m)) over (partition by doc_id, rank order by pos))::bigint as "end",
+    length(v) >= 16 and regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]') as random
+  from hits
+),
+found as (
+  select *, "end" - length(m) as start from placed
+  where case kind when 'assign' then length(v) >= {secrets.LEAST_VALUE} when 'token' then random else true end
+),
+owned as (select v, count(distinct coalesce(source, chr(1))) as owners from found group by v),
+classed as (
+  select found.*, case when owners >= {secrets.EXAMPLE_OWNERS} then 'example' when random then 'live' else 'weak' end as class,
+    max(case when rank < {base} then "end" end) over (partition by doc_id order by start, rank rows between unbounded preceding and 1 preceding) as before,
+    min(case when rank < {base} then start end) over (partition by doc_id order by start, rank rows between 1 following and unbounded following) as after
+  from found join owned using (v)
+),
+judged as (
+  select * from classed where rank < {base} or (class = 'live' and coalesce(before, -1) <= start and coalesce(after, "end") >= "end")
+)"""
+
+
+@register("op3_secrets", f"""
+with {hits_sql('documents')},
+listed as (
+  select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+    string_agg(kind || ':' || start || ':' || "end", ',' order by start, rank) filter (rank < {len(secrets.BASE)}) as base,
+    string_agg(kind || ':' || start || ':' || "end", ',' order by start, rank) as spans,
+    count(*) filter (class = 'live') as n_live, count(*) filter (class = 'example') as n_example
+  from judged group by doc_id
+)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live, coalesce(n_example, 0) as n_example
+from documents d left join listed using (doc_id)
+""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
+def mix_sql(source: str) -> str:
+    """CTEs that end in `mixed`: every row of `source` with size, source_size, target and copies."""
+    cap = mixing.MAX_EPOCHS
+    return f"""
+sized as (
+  select *, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::bigint as size,
+    substr(md5('{mixing.SEED}:' || coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')), 1, 16) as hash
+  from {source}
+),
+totals as (
+  select source, sum(size)::hugeint as source_size, ((row_number() over (order by source nulls last) - 1) % {len(mixing.WEIGHTS)})::integer as k
+  from sized group by source
+),
+weighed as (select *, ({mixing.WEIGHTS})[k + 1]::hugeint as weight from totals),
+walked as (
+  select *, coalesce(sum({cap} * source_size) over w, 0)::hugeint as caps, coalesce(sum(weight) over w, 0)::hugeint as weights_before,
+    sum(source_size) over ()::hugeint as total, sum(weight) over ()::hugeint as weights
+  from weighed window w as (order by {cap} * source_size::double / weight, source rows between unbounded preceding and 1 preceding)
+),
+clamped as (select *, {cap} * source_size * (weights - weights_before) < weight * (total - caps) as full_up from walked),
+filled as (
+  select source, source_size, case when full_up then source_size::double * {cap}
+    else weight::double * (total - coalesce(sum(case when full_up then {cap} * source_size end) over (), 0))::double / (weights - coalesce(sum(case when full_up then weight end) over (), 0))::double end as target
+  from clamped
+),
+targets as (
+  select *, case when source_size > 0 then least(floor(target / source_size::double), {cap})::bigint else 0 end as whole from filled
+),
+wanted as (select *, target - (whole * source_size)::double as need from targets),
+runs as (
+  select source, hash, sum(n) over (partition by source order by hash) as upto from (select source, hash, sum(size) as n from sized group by source, hash)
+),
+ended as (
+  select w.source, coalesce(arg_min(r.upto, struct_pack(a := abs(r.upto::double - need), b := r.upto)), 0) as upto, any_value(need) as need
+  from wanted w left join runs r on r.source is not distinct from w.source group by w.source
+),
+stops as (select source, case when abs(upto::double - need) < need then upto else 0 end as stop from ended),
+mixed as (
+  select s.*, w.source_size::bigint as source_size, w.target, w.whole + (r.upto <= p.stop)::bigint as copies
+  from sized s join wanted w on w.source is not distinct from s.source
+  join stops p on p.source is not distinct from s.source
+  join runs r on r.source is not distinct from s.source and r.hash = s.hash
+)"""
+
+
+@register("op8_mixing", f"with {mix_sql('documents')} select doc_id, size, source_size, target, (size * copies)::bigint as taken from mixed")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.allocation(table(spark, sf_dir, "documents"))
