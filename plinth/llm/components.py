@@ -1,0 +1,45 @@
+"""Connected components of a link table by alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from plinth.llm.common import written
+
+
+def _large_star(links: DataFrame) -> DataFrame:
+    both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
+    moved = both.join(least, F.col("u") == F.col("_u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.where("u <> v").distinct()
+
+
+def _small_star(links: DataFrame) -> DataFrame:
+    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    named = least.withColumnRenamed("u", "_u")
+    moved = links.join(named, F.col("u") == F.col("_u")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def _state(links: DataFrame) -> tuple:
+    row = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    return row[0], row[1]
+
+
+def components(links: DataFrame) -> DataFrame:
+    """`links` (u, v) as node and root, the least node of its component. Nodes without links are absent.
+
+    After each round the links are written; rounds grow with the logarithm of the longest chain.
+    A node with very many links is summed before it is shuffled.
+    """
+    now = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    state = _state(now)
+    while state[0]:
+        now = written(_small_star(_large_star(now)))
+        after = _state(now)
+        if after == state:
+            break
+        state = after
+    roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

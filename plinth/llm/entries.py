@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import licences, mixing, pieces, quality_classifier, quality_rules, secrets, token_counts
+from plinth.llm import licences, minhash, mixing, pieces, quality_classifier, quality_rules, secrets, token_counts
 from plinth.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -236,3 +236,9 @@ mixed as (
 @register("op8_mixing", f"with {mix_sql('documents')} select doc_id, size, source_size, target, (size * copies)::bigint as taken from mixed")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allocation(table(spark, sf_dir, "documents"))
+
+
+@register("op7_minhash")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_rows", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
