@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import licences, minhash, mixing, pieces, quality_classifier, quality_rules, secrets, token_counts
+from plinth.llm import embeddings, licences, minhash, mixing, pieces, quality_classifier, quality_rules, secrets, token_counts
 from plinth.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -242,3 +242,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "class_rows", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+@register("op1_embeddings")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))

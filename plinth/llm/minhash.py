@@ -7,10 +7,8 @@ later than the latest component. Two signatures agree in a component with the pr
 Jaccard of the texts, for equal weights the plain Jaccard. Bands of four components make
 buckets; pairs of a bucket are verified by their exact probability Jaccard.
 
-Texts of equal shingles are one node from the start, so copies are never compared. A bucket links
-its members to its first member; only buckets that then still hold several components are looked
-at again: up to SMALL_BUCKET members pair by pair, larger ones around another member each round,
-until a round finds no link. No bucket is gathered in one task, and none is cut short.
+Texts of equal shingles are one node from the start, so copies are never compared. `linking` says
+which pairs of a bucket are verified; no bucket is gathered in one task, and none is cut short.
 
 Defined cases: NULL texts and texts without a word are like nothing, each a class of its own;
 texts of one to four words are one shingle; a class is named by its least doc_id, NULL last; rows
@@ -26,12 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.llm.common import map_arrow, row_key, written
-from plinth.llm.components import components
+from plinth.llm.linking import components, links
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
-SMALL_BUCKET = 64
 #: Word hashes that a worker remembers before it starts anew.
 MEMO = 500_000
 
@@ -157,67 +154,26 @@ def _texts(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFr
     return map_arrow(rows, run, "node binary, elements binary, weights binary").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (u, v) whose probability Jaccard reaches the threshold."""
-    side = lambda n: texts.select(F.col("node").alias(f"_{n}"), F.col("elements").alias(f"e{n}"), F.col("weights").alias(f"w{n}"))
-    both = pairs.join(side("u"), F.col("u") == F.col("_u")).join(side("v"), F.col("v") == F.col("_v")).select("u", "v", "eu", "wu", "ev", "wv")
+def _similar(both: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose probability Jaccard reaches the threshold."""
 
     def run(rows: pa.Table) -> pa.Table:
-        sides = zip(*(rows[c].to_pylist() for c in ("eu", "wu", "ev", "wv")))
+        sides = zip(*(rows[c].to_pylist() for c in ("u_elements", "u_weights", "v_elements", "v_weights")))
         near = [probability_jaccard(_unpacked(a, b), _unpacked(c, d)) >= threshold - 1e-12 for a, b, c, d in sides]
         return rows.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
 
     return map_arrow(both, run, "u binary, v binary")
 
 
-def _around(members: DataFrame, step: int) -> DataFrame:
-    """Pairs of every member of a bucket with one member, another one each step."""
-    centre = members.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", F.lit(step)) if step else F.col("node")).alias("centre"), F.count("*").alias("n")).where("n > 1")
-    return members.join(centre.withColumnRenamed("bucket", "_b"), F.col("bucket") == F.col("_b"))
-
-
-def _pairs(u: str, v: str):
-    return F.greatest(u, v).alias("u"), F.least(u, v).alias("v")
-
-
-def links(buckets: DataFrame, texts_of, threshold: float) -> DataFrame:
-    """Verified links that join all similar nodes which share buckets (bucket, node).
-
-    `texts_of(nodes)` gives the shingles of a table of nodes.
-    """
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("_b"))
-    members = written(buckets.join(shared, F.col("bucket") == F.col("_b")).select("bucket", "node"))
-    texts = written(texts_of(members.select("node").distinct()))
-    tried = written(_around(members, 0).where("node <> centre").select(*_pairs("node", "centre")).distinct())
-    found = written(verified(tried, texts, threshold))
-    step = 1
-    while True:
-        roots = components(found)
-        placed = members.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        open_ = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select(F.col("bucket").alias("_b"), "n")
-        left = written(placed.join(open_, F.col("bucket") == F.col("_b")).select("bucket", "node", "root", "n"))
-        small, large = left.where(F.col("n") <= SMALL_BUCKET), left.where(F.col("n") > SMALL_BUCKET)
-        other = small.select(F.col("bucket").alias("_b"), F.col("node").alias("centre"), F.col("root").alias("_r"))
-        by_pair = small.join(other, (F.col("bucket") == F.col("_b")) & (F.col("node") > F.col("centre")) & (F.col("root") != F.col("_r"))).select(*_pairs("node", "centre"))
-        roots_of = left.select(F.col("node").alias("_c"), F.col("root").alias("_r")).distinct()
-        by_centre = _around(large.select("bucket", "node", "root"), step).where("node <> centre").join(roots_of, F.col("centre") == F.col("_c")).where("root <> _r").select(*_pairs("node", "centre"))
-        fresh = written(by_pair.unionByName(by_centre).distinct().join(tried, ["u", "v"], "left_anti"))
-        new = written(verified(fresh, texts, threshold))
-        if new.isEmpty():
-            return found
-        found, tried = written(found.unionByName(new)), written(tried.unionByName(fresh))
-        step += 1
-
-
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """key, doc_id, class_id (least doc_id of the class), class_key (key of that row) and class_rows of every row."""
     rows = written(signed(docs, doc_id, text))
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"))
     nodes = written(rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(first).alias("first"), F.first("buckets").alias("buckets"), F.count("*").alias("n")))
-    buckets = nodes.select(F.explode("buckets").alias("bucket"), "node")
+    buckets = nodes.select(F.explode("buckets").alias("bucket"), "node", F.lit(True).alias("own"))
     keys = nodes.select(F.col("node").alias("_n"), F.col("first.key").alias("key"))
     texts_of = lambda wanted: _texts(docs, wanted.join(keys, F.col("node") == F.col("_n")).select("node", "key"), doc_id, text)
-    roots = components(links(buckets, texts_of, threshold))
+    roots = components(links(buckets, texts_of, lambda both: _similar(both, threshold)))
     placed = nodes.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "first", "n", F.coalesce("root", "node").alias("root"))
     named = placed.groupBy(F.col("root").alias("_root")).agg(F.min("first").alias("least"), F.sum("n").alias("class_rows"))
     of_node = written(placed.join(named, F.col("root") == F.col("_root")).select(F.col("node").alias("_n"), "least", "class_rows"))
