@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import embeddings, licences, minhash, mixing, pieces, quality_classifier, quality_rules, secrets, token_counts
+from plinth.llm import embeddings, licences, minhash, mixing, pieces, quality_classifier, quality_rules, repeats, secrets, token_counts
 from plinth.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -247,3 +247,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_embeddings")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@register("op10_repeats")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(table(spark, sf_dir, "documents"))

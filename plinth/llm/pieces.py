@@ -30,9 +30,9 @@ from plinth.llm.common import map_arrow
 
 UNKNOWN_PENALTY = 10.0
 #: Stretches that a worker remembers before it starts anew.
-MEMO = 300_000
+MEMO = 200_000
 #: Characters of texts that are split together, and of new stretches in one Viterbi pass.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 1_500_000
 BLOCK_CHARS = 200_000
 #: Longer stretches are taken one by one.
 LONG_STRETCH = 400
