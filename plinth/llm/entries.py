@@ -152,7 +152,7 @@ def hits_sql(source: str) -> str:
 hits as ({" union all ".join(parts)}),
 placed as (
   select *, (sum(length(g) + length(m)) over (partition by doc_id, rank order by pos))::bigint as "end",
-    length(v) >= 16 and regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]') as random
+    length(v) >= {secrets.LEAST_VALUE} and regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]') as random
   from hits
 ),
 found as (

@@ -54,8 +54,8 @@ def _hits(text: Column, kind: str) -> Column:
 
 
 def _random(value: Column) -> Column:
-    """Whether a value looks drawn at random: long, with digits and letters."""
-    return (F.length(value) >= 16) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+    """Whether a value looks like a credential: LEAST_VALUE characters or more, digits and letters."""
+    return (F.length(value) >= LEAST_VALUE) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
 
 
 def candidates(docs: DataFrame, owner: Column, repository: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
