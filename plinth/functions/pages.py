@@ -23,8 +23,8 @@ ENTITIES = [
 ]
 
 
-def page_text(html: Column | str, max_chars: int | None = 5000) -> Column:
-    """Text of a page without scripts and furniture; `max_chars=None` keeps all of it."""
+def page_text(html: Column | str, max_chars: int | None = None) -> Column:
+    """Text of a page without scripts and furniture, cut only where `max_chars` is given."""
     out = as_col(html)
     for element in DROPPED_ELEMENTS:
         out = F.regexp_replace(out, f"(?is)<{element}\\b.*?</{element}\\s*>", " ")
@@ -83,7 +83,7 @@ class _PageFacts(HTMLParser):
             self.cell = [] if self.row is not None else None
         if tag == "figcaption":
             self.taking.append((tag, [], self.captions))
-        elif tag not in _VOID and any(m in classes for m in _CREDIT_MARKS) or "credit" in values.get("id", ""):
+        elif tag not in _VOID and (any(m in classes for m in _CREDIT_MARKS) or "credit" in values.get("id", "")):
             self.taking.append((tag, [], self.credits))
         if tag not in _VOID:
             self.open.append((tag, classes))
@@ -194,7 +194,7 @@ def _metas(facts: Column, keys: list[str]) -> Column:
 def image_candidates(facts: Column | str, base: Column | str, min_width: int = 800) -> Column:
     """Distinct image addresses with the rule that found them, best rule first, page order within.
 
-    Facts come from `page_facts`. The first 30 images are looked at, for the size rule the first 15.
+    Facts come from `page_facts`. All images of the page are looked at.
     """
     page = as_col(facts)
     images = page["images"]
@@ -235,10 +235,9 @@ def image_candidates(facts: Column | str, base: Column | str, min_width: int = 8
         lambda e: e.isNotNull())
     plain = F.transform(og, lambda u, i: entry(5, i, F.lit("og:image"), u))
     cards = F.transform(shared(["twitter:image", "twitter:image:src"]), lambda u, i: entry(6, i, F.lit("twitter:image"), u))
-    first_30, first_15 = F.slice(images, 1, 30), F.slice(images, 1, 15)
     ranked = F.sort_array(F.concat(
-        F.array_compact(F.transform(first_30, widest)), F.array_compact(F.transform(first_30, hero)),
-        F.array_compact(F.transform(first_15, large)), bumped, plain, cards))
+        F.array_compact(F.transform(images, widest)), F.array_compact(F.transform(images, hero)),
+        F.array_compact(F.transform(images, large)), bumped, plain, cards))
     urls = F.transform(ranked, lambda e: e["url"])
     return F.filter(ranked, lambda e, i: F.array_position(urls, e["url"]) == i + 1)
 

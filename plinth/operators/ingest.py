@@ -26,10 +26,14 @@ def upsert_projects(projects: DataFrame, rows: DataFrame, order: list[Column]) -
     return upsert(projects, rows, ["slug"], order=order)
 
 
+def award_slug() -> Column:
+    """Slug of an award from its name and year; a missing year leaves the name."""
+    return slugify(F.concat_ws(" ", "award_name", F.col("year").cast("string")))
+
+
 def award_rows(facts: DataFrame) -> DataFrame:
     """Distinct awards of the facts: slug from name and year, id from the slug."""
-    named = F.concat_ws(" ", "award_name", F.col("year").cast("string"))
-    with_slug = facts.withColumn("slug", slugify(named))
+    with_slug = facts.withColumn("slug", award_slug())
     return (
         with_slug.groupBy("slug").agg(
             F.min("award_name").alias("award_name"), F.min("organization").alias("organization"),

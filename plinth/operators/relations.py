@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions.geo import nationality_code
 from plinth.operators.filters import skip_unlabelled
-from plinth.operators.ingest import award_rows
+from plinth.operators.ingest import award_rows, award_slug
 from plinth.operators.listings import reconcile_worklist
 from plinth.operators.merge import fill_missing
 from plinth.operators.ranking import keep_first
@@ -84,8 +84,9 @@ def award_facts(
         entries.join(persons.select("pos", F.col("entity_id").alias("person_id")), "pos")
         .join(houses.select("pos", F.col("entity_id").alias("firm_id")), "pos", "left")
     )
-    won = placed.join(
-        awards.select("award_name", "year", F.col("id").alias("award_id")), ["award_name", "year"])
+    # By slug: two spellings of a name are one award, and a missing year has a slug too.
+    won = placed.where(F.col("award_name").isNotNull()).withColumn("_slug", award_slug()).join(
+        awards.select(F.col("slug").alias("_slug"), F.col("id").alias("award_id")), "_slug")
     keys = ["award_id", "firm_id", "person_id", "year"]
     links = placed.where(F.col("firm_id").isNotNull()).select(
         "firm_id", "person_id", F.lit("Principal").alias("role"), F.lit(True).alias("is_current"), "pos")

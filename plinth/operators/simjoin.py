@@ -158,9 +158,11 @@ def best_match(
 
 
 def match_mentions(
-    titles: DataFrame, firms: DataFrame, key: str, title: str, min_length: int = 5,
+    titles: DataFrame, firms: DataFrame, key: str, title: str, min_length: int = 5, best: bool = False,
 ) -> DataFrame:
-    """(key, id, canonical_name): the longest firm name found anywhere in each title, lowest id on ties.
+    """(key, id, canonical_name): every firm name found anywhere in each title, by its lowest id.
+
+    `best` keeps the longest name of each title, the first on ties.
 
     Every name is filed under the rarest of its 5-grams and every title under all of its own, so a
     name meets just the titles that hold its gram; the whole name is then looked for.
@@ -176,6 +178,8 @@ def match_mentions(
     title_grams = lowered.select(key, F.explode(grams("_title", n)).alias("_gram"))
     candidates = title_grams.join(filed, "_gram").select(key, "canonical_name", "id")
     met = candidates.join(lowered, key).where(F.col("_title").contains(F.col("canonical_name")))
-    best = F.min(F.struct((-F.length("canonical_name")).alias("l"), F.col("canonical_name").alias("n"), F.col("id").alias("id")))
-    return met.groupBy(key).agg(best.alias("m")).select(
+    if not best:
+        return met.select(key, "id", "canonical_name").distinct()
+    first = F.min(F.struct((-F.length("canonical_name")).alias("l"), F.col("canonical_name").alias("n"), F.col("id").alias("id")))
+    return met.groupBy(key).agg(first.alias("m")).select(
         key, F.col("m.id").alias("id"), F.col("m.n").alias("canonical_name"))

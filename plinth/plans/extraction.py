@@ -13,7 +13,7 @@ SITE = """
     select page_id, 'https://site' || cast(page_id as string) || '.example.com/a/b.html' as base,
            replace(html, '</head>', '<meta property="og:image" content="https://cdn.example.com/' || cast(page_id as string) || '.jpg?width=800&amp;quality=70">'
              || '<meta name="twitter:image" content="https://cdn.example.com/t.jpg">' || case when page_id % 3 = 0 then '<meta name="author" content=" Ann Lens ">' else '' end || '</head>')
-           || '<div class="hero"><img src="/hero' || cast(page_id as string) || '.jpg"></div><img srcset="s.jpg 400w, big' || cast(page_id as string)
+           || repeat('<img src="plain.jpg">', 40) || '<img id="credit" src="void.jpg">' || '<div class="hero"><img src="/hero' || cast(page_id as string) || '.jpg"></div><img srcset="s.jpg 400w, big' || cast(page_id as string)
            || '.jpg 1200w"><p><img src="pic-1600x900.jpg"><img src="pic-600x400.jpg"><img src="logo-1600x900.png"></p>'
            || case when page_id % 3 = 1 then '<figcaption>Photo by: Max  Frame</figcaption>' else '' end as html
     from pages"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plinth.functions import scoring
+from plinth.functions.text import normalize_name
 from plinth.operators import relations
 from plinth.plans import sqlparts as sp
 from plinth.plans.registry import query
@@ -28,17 +29,28 @@ def _(s):
     return award_tables.award_entries(s.sql(ENTRIES)).drop("programme")
 
 
+# The same entries with years that are missing and a second spelling of an award, for Spark and DuckDB.
+YEAR = "case when nationality = '' then cast(null as int) else year end"
+AWARD = "case when nationality = 'Japan' then upper(award_name) || '!' else award_name end"
+SPELLED = f"(select * replace ({YEAR} as year, {AWARD} as award_name) from {KEPT})"
+
+
 def _facts(s):
     return relations.award_facts(award_tables.award_entries(s.sql(ENTRIES)), s.people, s.firms, s.aliases)
 
 
+AWARD_SLUG = sp.slug(sp.normalize("concat_ws(' ', award_name, cast(year as varchar))"))
+
+
 @query("award_facts_recipients", f"""
-    select award_name, year, count(*) as recipients from (
-        select distinct award_name, year, person_name, firm_name from {KEPT}) group by award_name, year""")
+    select distinct sha256('award|' || {AWARD_SLUG}) as award_id, year, {sp.normalize('person_name')} as person, {sp.normalize('firm_name')} as firm from {SPELLED}""")
 def _(s):
-    facts = _facts(s)
-    named = facts["recipients"].join(facts["awards"].select(F.col("id").alias("award_id"), "award_name"), "award_id")
-    return named.groupBy("award_name", "year").agg(F.count("*").alias("recipients"))
+    entries = award_tables.award_entries(s.sql(ENTRIES)).withColumns({"year": F.expr(YEAR), "award_name": F.expr(AWARD)})
+    facts = relations.award_facts(entries, s.people.where("false"), s.firms.where("false"), s.aliases.where("false"))
+    name = lambda kind: facts[kind].select(F.col("entity_id").alias(f"{kind}_id"), normalize_name("name").alias(kind)).distinct()
+    won = facts["recipients"].join(name("people").withColumnRenamed("people_id", "person_id"), "person_id").join(
+        name("firms").withColumnRenamed("firms_id", "firm_id"), "firm_id", "left")
+    return won.select("award_id", "year", F.col("people").alias("person"), F.col("firms").alias("firm")).distinct()
 
 
 @query("award_facts_firm_links", f"select count(*) as links from (select distinct person_name, firm_name from {KEPT} where firm_name is not null)")
@@ -118,16 +130,19 @@ def _works(s):
 
 URL = "case when k % 4 = 0 then 'https://doi.org/' || k else 'W' || k end"
 NAMED = "case when n = 5 then '' else p_name end"
+SECTOR_VOTES = ", ".join(
+    f"{{'hits': -{sp.count_words('topic', words)}, 'rank': {rank}, 'sector': '{sector}'}}" for rank, (sector, words) in enumerate(scoring.SECTOR_WORDS.items()))
 REAL = "(trim(inst) <> 'General Hospital' and n <> 6)"
 
 
 @query("work_sources", f"""
-    with f as (select k, any_value(o_orderdate) as d, any_value(o_orderpriority) as p, arg_min({NAMED}, seat) as author from {ARRANGED} group by k)
+    with f as (select k, any_value(o_orderdate) as d, any_value(o_orderpriority) as p, arg_min({NAMED}, seat) as author, min(p_type) || ' robot design' as topic from {ARRANGED} group by k),
+    v as (select *, list_sort([{SECTOR_VOTES}])[1] as vote from f)
     select {URL} as url, 'Study ' || k || ' of ' || p as title, 'OpenAlex' as source_name,
-           case when k % 7 <> 0 then make_timestamp(year(d), 1, 1, 0, 0, 0) end as published_at, author, 'api' as source_type, 'design' as sector
-    from f where k % 10 <> 0""")
+           case when k % 7 <> 0 then make_timestamp(year(d), 1, 1, 0, 0, 0) end as published_at, author, 'api' as source_type, case when vote.hits < 0 then vote.sector else 'technology' end as sector
+    from v where k % 10 <> 0""")
 def _(s):
-    return works.flatten_works(_works(s))["sources"].withColumn("sector", F.lit("design"))
+    return works.flatten_works(_works(s))["sources"]
 
 
 @query("work_institutions", f"""
@@ -178,7 +193,7 @@ def _(s):
 
 
 LABS = """
-    select s_suppkey as pos, case when s_suppkey % 9 = 0 then ' ' else ' ' || s_name || ' Lab ' end as name,
+    select s_suppkey as pos, case when s_suppkey % 9 = 0 then ' ' else ' ' || case when s_suppkey % 13 < 3 then 'Shared ' || cast(s_suppkey % 4 as string) else s_name end || ' Lab ' end as name,
            case when s_nationkey % 8 = 0 then '' else 'de' end as country_code, case when s_suppkey % 3 = 0 then '' else 'Town' end as city, 'County' as county,
            case when s_suppkey % 4 = 0 then cast(null as string) when s_suppkey % 4 = 1 then repeat(s_name, 20) else ' short ' end as blurb,
            case when s_suppkey % 5 = 0 then cast(null as string) else 'mini_fab_lab' end as kind_name,
@@ -190,10 +205,11 @@ LABS = """
     with l as (select *, trim(name) as n, trim(coalesce(blurb, '')) as b from ({LABS}))
     select n as display_name, {sp.normalize('n')} as canonical_name, 'technology' as sector, 'DE' as country, case when city = '' then 'County' else city end as city,
       case links_kind when 0 then 'https://netflix.com/lab' when 1 then 'http://lab.org' when 2 then null when 3 then 'https://lab.example.com' else 'https://sub.lab.net' end as website,
-      concat_ws('. ', case when kind_name is null then 'Fab Lab' else 'Mini Fab Lab' end, nullif(case when length(b) > 300 then substr(b, 1, 297) || '...' else b end, ''),
+      concat_ws('. ', case when kind_name is null then 'Fab Lab' else 'Mini Fab Lab' end, nullif(b, ''),
         case when links_kind > 2 then 'Capabilities: 3D Printing, Laser Cutting, Bio Lab' end) as short_description,
       {sp.slug(sp.normalize('n'))} as slug
-    from l where n <> '' and country_code <> '' and activity_status = 'active'""")
+    from l where n <> '' and country_code <> '' and activity_status = 'active'
+    qualify row_number() over (partition by {sp.normalize('n')} order by pos) = 1""")
 def _(s):
     url = lambda u: F.struct(F.lit(u).alias("url"))
     k = F.col("links_kind")
@@ -202,7 +218,7 @@ def _(s):
              .otherwise(F.array(url("https://sub.lab.net"))))
     caps = F.when(k > 2, F.array(F.lit("three_d_printing"), F.lit("laser"), F.lit("bio_lab"))).otherwise(F.array().cast("array<string>"))
     raw = s.sql(LABS).withColumns({"links": links, "capabilities": caps})
-    return labs.ingest_labs(raw, s.firms, s.aliases)
+    return labs.ingest_labs(raw, s.firms, s.aliases, order=[F.col("pos")])
 
 
 @query("flatten_map_elements", """
@@ -303,7 +319,7 @@ FEED = """select 'g' || cast(doc_id as string) as guid, case when doc_id % 13 =
 
 
 @query("feed_items", f"""
-    select guid as entry_id, link as url, substr(trim(title), 1, 500) as title,
+    select guid as entry_id, link as url, trim(title) as title,
            case substr(guid, 2)::bigint % 3 when 0 then '2024-03-05 09:00:00' when 1 then '2024-03-05 10:00:00' else '2023-01-02 00:00:00' end as published_at,
            nullif(trim(author), '') as author, 'Wire' as source_name, 'rss' as source_type, 'design' as sector
     from ({FEED}) where link <> '' and trim(title) <> ''""")
@@ -330,15 +346,11 @@ def _(s):
     select run_day, cast(sum(entity_count) as bigint) as total_entities, count(error) as failures, count(*) as jobs,
            string_agg(name, ',' order by name) as names, round(sum(round(duration_s, 1)), 1) as seconds from v_runs group by run_day""")
 def _(s):
-    rows = s.runs.groupBy("run_day")
-    summary = F.sort_array(F.collect_list(F.struct("name", F.round("duration_s", 1).alias("d"))))
-    # A day has one row per job, so the list is as long as the registry of jobs.
-    logged = rows.agg(summary.alias("summary"), F.sum("entity_count").cast("long").alias("total_entities"),
-                      F.count_if(F.col("error").isNotNull()).alias("failures"))
+    logged = sinks.run_log_row(s.runs, F.lit(None).cast("timestamp"), F.lit(None).cast("timestamp"), by=["run_day"])
     return logged.select(
         "run_day", "total_entities", "failures", F.size("summary").cast("long").alias("jobs"),
-        F.array_join(F.transform("summary", lambda r: r["name"]), ",").alias("names"),
-        F.round(F.aggregate("summary", F.lit(0.0), lambda acc, r: acc + r["d"]), 1).alias("seconds"))
+        F.array_join("sources_run", ",").alias("names"),
+        F.round(F.aggregate("summary", F.lit(0.0), lambda acc, r: acc + r["duration_s"]), 1).alias("seconds"))
 
 
 TRIPLES = """

@@ -244,7 +244,7 @@ def _(s):
     return ingest.upsert_projects(projects, rows, [F.asc("year")])
 
 
-CURSOR_RUNS = "select source || '_' || lang as source_name, 'c' || cast(max(doc_id) as string) as last_cursor, count(*) as entity_count, case when max(n_chars) > 5000 then 'partial' else 'ok' end as status from documents where n_chars > 500 group by 1"
+CURSOR_RUNS = "select source || '_' || lang as source_name, 'c' || cast(max(doc_id) as string) as last_cursor, count(*) as entity_count, case when max(n_chars) > 5000 then 'partial' else 'ok' end as status from documents group by 1"
 
 
 @query("cursor_write", f"""

@@ -54,10 +54,9 @@ def _first3(column: str, words: list[str]) -> str:
 
 CLASSIFIED = f"""
     rs as (select id, slug, display_name, quality_score from v_people where role = 'Researcher' and publish_status = 'published'),
-    lk as (select entity_id as id, source_id, row_number() over (partition by entity_id order by source_id) as rn
-           from v_entity_sources where entity_type = 'person'),
+    lk as (select entity_id as id, source_id from v_entity_sources where entity_type = 'person'),
     sw as (select id as source_id, source_name, title <> '' as titled, {_kw(quality.RELEVANT_WORDS)} as good, {_kw(quality.IRRELEVANT_WORDS)} as bad from v_sources),
-    j as (select lk.id, sw.* from lk join rs on rs.id = lk.id join sw on sw.source_id = lk.source_id where rn <= 10),
+    j as (select lk.id, sw.* from lk join rs on rs.id = lk.id join sw on sw.source_id = lk.source_id),
     g as (select id, count(*) filter (where titled) as titles, list_distinct(flatten(list(good) filter (where titled))) as good,
                  list_distinct(flatten(list(bad) filter (where titled))) as bad,
                  list_sort(list_distinct(list(source_name) filter (where source_name in ({sp.values(quality.TRUSTED_SOURCES)})))) as trusted from j group by id),
@@ -143,7 +142,7 @@ ISSUES = "\n union all ".join([
     _part("critical", "dangling_merge", "'firm'", "id", "display_name", "'merged_into=' || merged_into || ' but target does not exist'", "v_firms where merged_into is not null and merged_into not in (select id from v_firms)"),
     _part("high", "fuzzy_duplicate", "'firm'", "id", "display_name", "'Very similar to ''' || next_display_name || ''' (ratio=' || printf('%.3f', ratio) || ')'", "fz where ratio > 0.9"),
 ])
-LINKED = "lf as (select distinct entity_id from v_entity_sources where entity_type = 'firm' and mention_type = '1-URGENT')"
+LINKED = "lf as (select distinct entity_id from v_entity_sources where entity_type = 'firm')"
 FUZZY = f"""fz0 as (select id, display_name, canonical_name, lead(canonical_name) over w as next_name, lead(display_name) over w as next_display_name
     from v_firms where {ACTIVE} window w as (order by canonical_name, id)),
     fz as (select *, {RATIO} as ratio from fz0 where next_name is not null and canonical_name <> next_name)"""
@@ -153,7 +152,7 @@ def _issues(s):
     tables = {
         "firms": s.firms, "people": s.people, "entity_aliases": s.aliases, "enrichment_queue": s.queue,
         "review_queue": s.review, "sources": s.sources, "ingest_cursors": s.cursors,
-        "entity_sources": s.entity_sources.where("entity_type <> 'firm' or mention_type = '1-URGENT'"),
+        "entity_sources": s.entity_sources,
     }
     return audit.audit_issues(tables, fuzzy_threshold=0.9)
 

@@ -203,9 +203,8 @@ def _(s):
 @query("title_mentions", f"""
     with w as (select lower(unnest(string_split({TITLE}, ' '))) as canonical_name, page_id as id from pages),
     f as (select canonical_name, min(id) as id from w where length(canonical_name) >= 5 group by 1),
-    m as (select doc_id, f.id, f.canonical_name, row_number() over (partition by doc_id order by -length(canonical_name), canonical_name, f.id) as rn
-          from documents, f where contains(lower(text), canonical_name))
-    select doc_id, id, canonical_name from m where rn = 1""")
+    m as (select distinct doc_id, f.id, f.canonical_name from documents, f where contains(lower(text), canonical_name))
+    select doc_id, id, canonical_name from m""")
 def _(s):
     pages = s.sql(f"select page_id as id, {TITLE} as title from pages")
     names = pages.select("id", F.explode(F.split("title", " ")).alias("w")).select("id", F.lower("w").alias("canonical_name"))
@@ -221,9 +220,3 @@ def _(s):
     select id, display_name, next_id, next_display_name, round(ratio, 6) as ratio from r where ratio > 0.8""")
 def _(s):
     return audit.adjacent_duplicates(s.firms, 0.8).withColumn("ratio", F.round("ratio", 6))
-
-
-@query("adjacent_duplicates_by_sequence")
-def _(s):
-    from plinth.functions.sequence import sequence_ratio
-    return audit.adjacent_duplicates(s.firms, 0.95, ratio=sequence_ratio)

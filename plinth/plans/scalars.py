@@ -245,7 +245,7 @@ TAG_CASES = ", ".join(f"case when contains(lower(body), {sp.quoted(w)}) then {sp
     u as (select doc_id, unnest(tags) as tag, generate_subscripts(tags, 1) as pos from f),
     d as (select doc_id, tag, min(pos) as pos from u group by all),
     r as (select doc_id, tag, cast(row_number() over (partition by doc_id order by pos) as int) as place from d)
-    select * from r where place <= 5""")
+    select * from r""")
 def _(s):
     found = s.sql(TAGGED).select("doc_id", F.posexplode(extract.keyword_tags("body")).alias("pos", "tag"))
     return found.select("doc_id", "tag", (F.col("pos") + 1).alias("place"))
@@ -271,7 +271,7 @@ def _sentence_sql(kind: str, words: list[str]) -> str:
     b as (select doc_id, sentence, row_number() over (partition by doc_id order by score desc, place) as rn, score from sc),
     l as (select doc_id, regexp_replace(regexp_replace(sentence || '.', '\\s+', ' ', 'g'), '^[^A-Z]*', '') as line
           from b where rn = 1 and score > 0)
-    select doc_id, substr(line, 1, 300) as summary from l where length(line) >= 30"""
+    select doc_id, line as summary from l where length(line) >= 30"""
 
 
 @query("summary_sentences", _sentence_sql("firm", extract.FIRM_SENTENCE_WORDS) + " union all select * from ("

@@ -15,7 +15,6 @@ BASE_TABLES = [
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
-TEXT_TABLES = ["documents", "pages"]
 
 VIEWS: dict[str, str] = {
     "v_firms": """
@@ -112,7 +111,8 @@ VIEWS: dict[str, str] = {
         select o_custkey as entity_id, 'firm' as entity_type,
                o_orderkey % (select count(*) + 100 from documents) as source_id,
                min(o_orderpriority) as mention_type, max(o_orderdate) as created_at
-        from orders group by 1, 2, 3
+        from orders join customer on c_custkey = o_custkey
+        where not (c_mktsegment = 'FURNITURE' and c_acctbal > 7000) group by 1, 2, 3
         union all
         select l_partkey as entity_id, 'person' as entity_type,
                l_orderkey % (select count(*) + 100 from documents) as source_id,
@@ -207,14 +207,7 @@ class StandIns:
         self.sf_dir = sf_dir
 
     def base(self, table: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
-        return self._dealt(df) if table in TEXT_TABLES else df
-
-    def _dealt(self, df: DataFrame) -> DataFrame:
-        """Long texts in a file of one row group would be one task: deal them out by key. A table of
-        as many splits as there are cores, as any large one, is left alone."""
-        wanted = self.spark.sparkContext.defaultParallelism
-        return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, df.columns[0])
+        return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
 
     def sql(self, statement: str) -> DataFrame:
         """Run SQL over the base tables and stand-in views, without leaving temp views behind."""

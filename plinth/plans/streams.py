@@ -15,7 +15,8 @@ EVENT_ITEMS = """select 'e' || cast(event_id as string) as entry_id, 'https://n.
 
 
 @query("stream_new_items", """
-    select distinct 'https://n.example/' || user_id || '/' || event_type as url from events""")
+    select 'https://n.example/' || user_id || '/' || event_type as url, min('e' || event_id) as entry_id,
+           arg_min(strftime(ts, '%Y-%m-%d %H:%M:%S'), 'e' || event_id) as published_at from events group by 1""")
 def _(s):
     events = s.base("events")
     stream = s.spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(s.sf_dir)
@@ -24,43 +25,48 @@ def _(s):
         F.concat(F.lit("https://n.example/"), F.col("user_id").cast("string"), F.lit("/"), "event_type").alias("url"),
         F.col("ts").cast("timestamp").alias("published_at"))
     root = f"{checkpoint_root(s.spark)}/feed-{uuid.uuid4().hex}"
-    running = feeds.run_feed_stream(feeds.new_items(items), f"{root}/items", f"{root}/state")
+    running = feeds.run_feed_stream(items, f"{root}/items", f"{root}/state")
     running.awaitTermination()
-    return s.spark.read.parquet(f"{root}/items").select("url")
+    return s.spark.read.parquet(f"{root}/items").select("url", "entry_id", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"))
 
 
 ITEMS = EVENT_ITEMS.format("events")
 FIRM_NAMES = "select c_custkey as id, 'works ' || cast(c_custkey as string) as canonical_name, cast(null as bigint) as merged_into from customer"
-STORED = "select 'https://n.example/' || cast(c_custkey as string) || '/view' as url, 'old' as title, cast(c_custkey as string) as author from customer"
+STORED = "select 's' || cast(c_custkey as string) as id, 'https://n.example/' || cast(c_custkey as string) || '/view' as url, 'old' as title, cast(c_custkey as string) as author from customer"
+# Users whose largest value is high wait for enrichment already, the others are done.
+WAITING = """select user_id as entity_id, 'firm' as entity_type, case when max(value) > 200 then 'pending' else 'done' end as status
+    from events group by user_id"""
+ID = "coalesce(s.id, sha256('source|' || i.url))"
 
 
 def _ingested(s):
     items = s.sql(ITEMS).select("entry_id", "url", "title")
     sources = s.sql(STORED)
     links = s.sql("select c_custkey as entity_id, 'firm' as entity_type, 'old' as source_id, 'subject' as mention_type from customer")
-    return feeds.ingest_batch(items, sources, s.sql(FIRM_NAMES), links, s.queue.select("entity_id", "entity_type", "status"))
+    return feeds.ingest_batch(items, sources, s.sql(FIRM_NAMES), links, s.sql(WAITING))
 
 
 @query("ingest_batch_sources", f"""
     with i as (select url, arg_min(title, entry_id) as title from ({ITEMS}) group by url)
-    select coalesce(s.url, i.url) as url, coalesce(i.title, s.title) as title, s.author from ({STORED}) s full join i on i.url = s.url""")
+    select {ID} as id, coalesce(s.url, i.url) as url, coalesce(i.title, s.title) as title, s.author from ({STORED}) s full join i on i.url = s.url""")
 def _(s):
     return _ingested(s)["sources"]
 
 
-MENTIONED = f"""(select distinct t.url, f.id from ({ITEMS}) t join ({FIRM_NAMES}) f on f.canonical_name = 'works ' || split_part(t.title, ' ', -1)
+MENTIONED = f"""(select distinct t.url, f.id from ({ITEMS}) t join ({FIRM_NAMES}) f on contains(lower(t.title), f.canonical_name)
     where length(f.canonical_name) >= 5)"""
 
 
 @query("ingest_batch_links", f"""
-    select c_custkey as entity_id, 'old' as source_id from customer union all select id, url from {MENTIONED}""")
+    select c_custkey as entity_id, 'old' as source_id from customer
+    union all select m.id, {ID} from {MENTIONED} i join (select url as u, id from {MENTIONED}) m on m.u = i.url and m.id = i.id left join ({STORED}) s on s.url = i.url""")
 def _(s):
     return _ingested(s)["links"].select("entity_id", "source_id")
 
 
 @query("ingest_batch_queue", f"""
     select distinct id as entity_id, 'firm' as entity_type, 'pending' as status from {MENTIONED}
-    where id not in (select entity_id from v_queue where entity_type = 'firm' and status in ('pending', 'processing'))""")
+    where id not in (select entity_id from ({WAITING}) where status = 'pending')""")
 def _(s):
     return _ingested(s)["queue"]
 

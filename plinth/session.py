@@ -20,6 +20,7 @@ def local_session(app: str = "plinth", cores: str = "*", shuffle_partitions: int
         .config("spark.driver.memory", os.environ.get("PLINTH_DRIVER_MEMORY", "12g"))
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.files.minPartitionNum", str(shuffle_partitions))
         .getOrCreate()
     )
 
@@ -27,12 +28,15 @@ def local_session(app: str = "plinth", cores: str = "*", shuffle_partitions: int
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder for lineage cuts: the cluster's `spark.checkpoint.dir`.
 
-    Only where that setting is absent (tests, a laptop) is a temporary folder made.
+    Only a local master may go without it and gets a temporary folder; a cluster is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        current = spark.sparkContext.getCheckpointDir()
-        configured = current or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
+        configured = spark.sparkContext.getCheckpointDir()
+    if not configured:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="spark-checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
     return configured

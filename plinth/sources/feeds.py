@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.functions.text import blank_to_null, cut, has
+from plinth.functions.text import blank_to_null, has
 
 ITEM = "guid string, link string, title string, pubDate string, updated string, author string"
 
@@ -26,7 +26,7 @@ def feed_items(raw: DataFrame, source_name: str, sector: str) -> DataFrame:
         F.trim("title").alias("title"), F.coalesce(parse_date("pubDate"), parse_date("updated")).alias("published_at"),
         blank_to_null(F.trim("author")).alias("author"))
     return rows.where(has("url") & has("title")).withColumns({
-        "title": cut("title", 500), "source_name": F.lit(source_name), "source_type": F.lit("rss"),
+        "source_name": F.lit(source_name), "source_type": F.lit("rss"),
         "sector": F.lit(sector)})
 
 

@@ -39,15 +39,15 @@ def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
         writer.json(path)
 
 
-def run_log_row(results: DataFrame, started_at: Column, finished_at: Column) -> DataFrame:
-    """One row per run from per-source results; a run has as many sources as there are registered jobs."""
+def run_log_row(results: DataFrame, started_at: Column, finished_at: Column, by: list[str] | None = None) -> DataFrame:
+    """One row per run (per `by`, for a table of runs) from per-source results; a run has as many sources as there are registered jobs."""
     summary = F.sort_array(F.collect_list(F.struct(
         "name", F.col("entity_count").alias("entities"), F.round("duration_s", 1).alias("duration_s"), "error")))
-    return results.agg(
+    return results.groupBy(*(by or [])).agg(
         summary.alias("summary"), F.sum("entity_count").cast("long").alias("total_entities"),
         F.count_if(has("error")).alias("failures"),
     ).select(
-        started_at.alias("started_at"), finished_at.alias("finished_at"),
+        *(by or []), started_at.alias("started_at"), finished_at.alias("finished_at"),
         F.transform("summary", lambda r: r["name"]).alias("sources_run"), "total_entities", "failures", "summary")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions.geo import last_segment
 from plinth.functions.scoring import classify_sector
-from plinth.functions.text import as_col, blank_to_null, cut, has
+from plinth.functions.text import as_col, blank_to_null, has
 from plinth.operators.filters import relevant_institution
 
 WORK = (
@@ -47,7 +47,7 @@ def work_sources(works: DataFrame, source_name: str = "OpenAlex", sector: str |
     published = F.make_timestamp_ntz(
         F.col("publication_year"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
     return works.select(
-        "url", cut("title", 500).alias("title"), F.lit(source_name).alias("source_name"),
+        "url", "title", F.lit(source_name).alias("source_name"),
         published.alias("published_at"), F.col("first_author").alias("author"), F.lit("api").alias("source_type"),
         (F.lit(sector) if sector else F.col("sector")).alias("sector"))
 

@@ -7,18 +7,13 @@ from pyspark.sql import functions as F
 
 from plinth.operators.merge import upsert
 
-MAX_ERRORS = 10
-
-
 def cursor_of(cursors: DataFrame, source_name: str) -> DataFrame:
     """The last cursor of a source: no row before its first run."""
     return cursors.where(F.col("source_name") == source_name).select("last_cursor")
 
 
 def write_cursors(cursors: DataFrame, runs: DataFrame) -> DataFrame:
-    """Cursors after the runs (one row per source_name); at most ten errors are kept of each."""
-    if "errors" in runs.columns:
-        runs = runs.withColumn("errors", F.slice("errors", 1, MAX_ERRORS))
+    """Cursors after the runs (one row per source_name)."""
     return upsert(cursors, runs, ["source_name"])
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,12 +11,16 @@ from pyspark.sql.streaming import StreamingQuery
 from plinth.operators.merge import enqueue, upsert
 from plinth.operators.ranking import keep_first
 from plinth.operators.simjoin import match_mentions
+from plinth.schema import entity_id
+
 
+def new_items(items: DataFrame, stored: DataFrame | None, key: str = "url", order: str = "entry_id") -> DataFrame:
+    """Items of one batch whose key is not stored yet, the first of each key.
 
-def new_items(stream: DataFrame, watermark: str = "30 days", key: str = "url", when: str = "published_at") -> DataFrame:
-    """Items whose key was not seen before. The state is bounded by the watermark; an item that comes
-    again later than that meets the keyed upsert, which changes nothing."""
-    return stream.withWatermark(when, watermark).dropDuplicatesWithinWatermark([key])
+    The stored keys are the state, not a watermark: an item is new however old its date is.
+    """
+    once = keep_first(items, [key], [F.asc(order)])
+    return once if stored is None else once.join(stored.select(key).distinct(), key, "left_anti")
 
 
 def ingest_batch(
@@ -22,27 +28,37 @@ def ingest_batch(
 ) -> dict[str, DataFrame]:
     """One batch of items (url, title, ...) merged in: sources, subject links and queue rows.
 
+    A new source gets an id from its address, a known one keeps its own, and links carry that id.
     Running the same batch again gives the same tables.
     """
     live = firms.where(F.col("merged_into").isNull())
-    merged = upsert(sources, items, ["url"], order=[F.asc("entry_id")])
+    minted = items.withColumn("id", entity_id("source", "url"))
+    changing = [c for c in items.columns if c != "url"]
+    merged = upsert(sources, minted, ["url"], changing, order=[F.asc("entry_id")])
     mentions = match_mentions(items.select("url", "title").distinct(), live, "url", "title")
-    subjects = mentions.select(
-        F.col("id").alias("entity_id"), F.lit("firm").alias("entity_type"), F.col("url").alias("source_id"),
-        F.lit("subject").alias("mention_type"))
+    subjects = mentions.select("url", F.col("id").alias("entity_id")).join(merged.select("url", F.col("id").alias("source_id")), "url").select(
+        "entity_id", F.lit("firm").alias("entity_type"), "source_id", F.lit("subject").alias("mention_type"))
     edges = upsert(links, subjects, ["entity_id", "entity_type", "source_id"], policy="keep_first")
     waiting = enqueue(queue, subjects)
     return {"sources": merged, "links": edges, "queue": waiting}
 
 
-def run_feed_stream(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def run_feed_stream(
+    stream: DataFrame, out: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None,
+) -> StreamingQuery:
     """Write new items of all files that have landed, then stop. The checkpoint is the cursor.
 
-    A batch is written under its number, so a batch repeated after a failure replaces itself.
+    A batch is written under its number, so a batch repeated after a failure replaces itself; it
+    is compared with the batches before it only. `then` gets the written items of each batch, for
+    example to merge them by `ingest_batch` and to write the cursor.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        once = keep_first(batch, ["url"], [F.asc("entry_id")])
-        once.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        spark = batch.sparkSession
+        before = spark.read.parquet(out).where(F.col("batch") < batch_id) if batch_id else None
+        path = f"{out}/batch={batch_id}"
+        new_items(batch, before).write.mode("overwrite").parquet(path)
+        if then:
+            then(spark.read.schema(batch.schema).parquet(path), batch_id)
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

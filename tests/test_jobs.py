@@ -1,9 +1,8 @@
-"""Job isolation, enum validation and the sequence ratio."""
+"""Job isolation and enum validation."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from plinth.functions.sequence import sequence_ratio
 from plinth.operators import audit, counts, jobs
 from plinth.schema import validate_enum
 
@@ -25,12 +24,3 @@ def test_validate_enum_splits_rows(spark):
     df = spark.createDataFrame([("a",), ("x",), (None,)], "v string")
     good, bad = validate_enum(df, "v", ["a", "b"])
     assert good.count() == 2 and [r["v"] for r in bad.collect()] == ["x"]
-
-
-def test_sequence_ratio_of_neighbours(spark):
-    firms = spark.createDataFrame(
-        [(1, "alpha works berlin office", None), (2, "alpha works berlin offices", None), (3, "zeta", None)],
-        "id int, canonical_name string, merged_into string").withColumns(
-        {"display_name": F.col("canonical_name"), "publish_status": F.lit("published")})
-    got = audit.adjacent_duplicates(firms, 0.95, ratio=sequence_ratio).collect()
-    assert [(r["id"], r["next_id"], round(r["ratio"], 4)) for r in got] == [(1, 2, round(50 / 51, 4))]

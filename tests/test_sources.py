@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from plinth.functions.geo import nationality_code
 from plinth.functions.pages import image_candidates, page_facts, photo_credit
 from plinth.operators.ranking import keep_first
+from plinth.operators import relations
 from plinth.sources import award_tables, editions, feeds, labs, sinks, works
 from plinth.schema import TABLES, read_tables
-from plinth.streaming.feeds import new_items, run_feed_stream
+from plinth.streaming.feeds import run_feed_stream
 
 RSS = """<rss><channel>{items}</channel></rss>"""
 ITEM = "<item><guid>{g}</guid><link>{l}</link><title> {t} </title><pubDate>Tue, 05 Mar 2024 10:00:00 GMT</pubDate><author></author></item>"
@@ -83,7 +84,7 @@ def test_feed_stream_takes_each_item_once(spark, tmp_path):
         (feed / name).write_text(RSS.format(items="".join(ITEM.format(g=i, l=f"https://n.org/{i}", t=f"T{i}") for i in ids)))
 
     def drain():
-        stream = new_items(feeds.stream_feed_items(spark, str(feed), "Wire", "design"))
+        stream = feeds.stream_feed_items(spark, str(feed), "Wire", "design")
         run_feed_stream(stream, str(out), str(tmp_path / "state")).awaitTermination()
         return sorted(r["entry_id"] for r in spark.read.parquet(str(out)).collect())
 
@@ -91,6 +92,9 @@ def test_feed_stream_takes_each_item_once(spark, tmp_path):
     assert drain() == ["1", "2"]
     land("two.xml", [2, 3])
     assert drain() == ["1", "2", "3"]
+    # An item that is new to the store is kept however old its date is.
+    (feed / "old.xml").write_text(RSS.format(items=ITEM.format(g=9, l="https://n.org/9", t="T9").replace("2024", "1999")))
+    assert drain() == ["1", "2", "3", "9"]
     batch = feeds.read_feed_items(spark, str(feed / "two.xml"), "Wire", "design").first()
     assert batch["title"].startswith("T") and batch["published_at"].year == 2024 and batch["author"] is None
 
@@ -118,3 +122,23 @@ def test_tables_read_with_their_schema(spark, tmp_path):
 def test_keep_first_treats_nulls_as_one_key(spark):
     df = spark.createDataFrame([(None, 2), (None, 1), ("a", 3)], "k string, v int")
     assert sorted((r["k"] or "", r["v"]) for r in keep_first(df, ["k"], [F.asc("v")]).collect()) == [("", 1), ("a", 3)]
+
+
+def test_labs_of_one_name_give_one_firm(spark):
+    row = ("Lab A", "de", None, None, "about", None, "active", [], [])
+    raw = spark.createDataFrame([(*row[:2], c, *row[3:]) for c in ("b", "a", "c")], labs.LAB)
+    none = spark.createDataFrame([], "id string, canonical_name string, slug string, entity_id string, entity_type string, alias string, alias_normalized string, merged_into string")
+    got = labs.ingest_labs(raw, none, none, order=[-F.ascii("city")]).collect()
+    assert [(r["slug"], r["city"]) for r in got] == [("lab-a", "c")]
+
+
+def test_award_recipients_without_year_and_with_two_spellings(spark):
+    entries = spark.createDataFrame(
+        [(1, None, "Ann Stone", "Stone Works", None, "Grand Prize", "org", 1), (2, 2001, "Bea Field", None, None, "Grand Prize", "org", 1),
+         (3, 2001, "Cleo Marsh", None, None, "GRAND  prize!", "org", 1)],
+        "pos long, year int, person_name string, firm_name string, nationality string, award_name string, organization string, prestige int")
+    people = spark.createDataFrame([], "id string, canonical_name string, slug string, display_name string, merged_into string, nationality string")
+    firms, aliases = people.drop("nationality"), spark.createDataFrame([], "entity_id string, entity_type string, alias string, alias_normalized string")
+    facts = relations.award_facts(entries, people, firms, aliases)
+    assert facts["awards"].count() == 2 and facts["recipients"].count() == 3
+    assert sorted(r["year"] or 0 for r in facts["recipients"].collect()) == [0, 2001, 2001]
