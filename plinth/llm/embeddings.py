@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm.common import map_arrow, written
-from plinth.llm.linking import components, links
+from plinth.llm.linking import linked
 
 THRESHOLD = 0.9
 #: At cosine 0.9 a table finds a pair with probability 0.6, so twelve miss one in 70,000.
@@ -131,9 +131,9 @@ def _similar(both: DataFrame, threshold: float) -> DataFrame:
             chosen = [i for i in range(len(u)) if len(u[i]) == size == len(v[i])]
             if chosen:
                 near[chosen] = (_units([u[i] for i in chosen]) * _units([v[i] for i in chosen])).sum(1) >= threshold
-        return rows.select(["u", "v"]).filter(pa.array(near))
+        return rows.select(["u_root", "v_root"]).filter(pa.array(near))
 
-    return map_arrow(both, run, "u binary, v binary")
+    return map_arrow(both, run, "u_root binary, v_root binary")
 
 
 def _counts(group: pa.Table, threshold: float) -> pa.Table:
@@ -185,11 +185,11 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     first = F.struct(F.col("vec_id").isNull().alias("none"), F.col("vec_id").alias("vec_id"))
     nodes = written(rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("vector").alias("vector"), F.count("*").alias("n"), F.min(first).alias("first")))
     items = lambda wanted: nodes.select("node", "vector").join(wanted, "node", "left_semi")
-    roots = written(components(links(buckets(nodes, tables, hashes, probes), items, lambda both: _similar(both, threshold))))
-    linked = link_counts(nodes, roots, threshold)
+    roots = linked(buckets(nodes, tables, hashes, probes), items, lambda both: _similar(both, threshold))
+    counted = link_counts(nodes, roots, threshold)
     placed = nodes.join(roots.withColumnRenamed("node", "_m"), F.col("node") == F.col("_m"), "left").select("node", "n", "first", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy(F.col("root").alias("_r")).agg(F.min("first").alias("least"))
-    of_node = placed.join(least, F.col("root") == F.col("_r")).join(linked, F.col("node") == F.col("_n"), "left").select(
+    of_node = placed.join(least, F.col("root") == F.col("_r")).join(counted, F.col("node") == F.col("_n"), "left").select(
         F.col("node").alias("_node"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "least.vec_id"
     ).withColumnRenamed("vec_id", "least_id")
     out = rows.drop("vector").join(written(of_node), F.col("node") == F.col("_node"), "left")

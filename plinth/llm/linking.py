@@ -34,9 +34,11 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _state(links: DataFrame) -> tuple:
-    row = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _settled(links: DataFrame) -> bool:
+    """Whether every u has one v and no v is a u: each component is a star around its least node."""
+    one = links.groupBy(F.col("u").alias("_u")).agg(F.count("*").alias("n"))
+    open_ = links.join(one, F.col("v") == F.col("_u"), "left_semi").select(F.lit(1)).unionAll(one.where("n > 1").select(F.lit(1)))
+    return open_.count() == 0
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -46,15 +48,19 @@ def components(links: DataFrame) -> DataFrame:
     A node with very many links is summed before it is shuffled.
     """
     now = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    state = _state(now)
-    while state[0]:
+    while not _settled(now):
         now = written(_small_star(_large_star(now)))
-        after = _state(now)
-        if after == state:
-            break
-        state = after
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """`roots` after more links between roots; a node that had no link is its own root."""
+    moved = written(components(links))
+    named = moved.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+    old = roots.join(named, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root"))
+    first = moved.join(roots.select(F.col("node").alias("_n")), F.col("node") == F.col("_n"), "left_anti")
+    return written(old.unionByName(first))
 
 
 def paired(pairs: DataFrame, items: DataFrame) -> DataFrame:
@@ -64,42 +70,46 @@ def paired(pairs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _around(members: DataFrame, step: int) -> DataFrame:
-    """Pairs of every member of a bucket with one of its own members, another one each step."""
+    """Every member of a bucket beside one of its own members, another one each step."""
     own = F.when(F.col("own"), F.xxhash64("node", F.lit(step)) if step else F.col("node"))
-    centre = members.groupBy(F.col("bucket").alias("_b")).agg(F.min_by("node", own).alias("centre"))
-    return members.join(centre, F.col("bucket") == F.col("_b")).where("node <> centre")
+    centre = members.groupBy(F.col("bucket").alias("_b")).agg(F.min_by(F.struct("node", "root"), own).alias("c"))
+    return members.join(centre, F.col("bucket") == F.col("_b")).select("node", "root", F.col("c.node").alias("other"), F.col("c.root").alias("other_root"))
 
 
-def _pair(u: str, v: str):
-    return F.greatest(u, v).alias("u"), F.least(u, v).alias("v")
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (u, v) of different components with their roots, each once."""
+    pair = F.struct("node", "root"), F.struct(F.col("other").alias("node"), F.col("other_root").alias("root"))
+    named = rows.where("root <> other_root").select(F.greatest(*pair).alias("a"), F.least(*pair).alias("b"))
+    return named.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.root").alias("u_root"), F.col("b.root").alias("v_root")).distinct()
 
 
-def links(buckets: DataFrame, items_of: Callable, similar: Callable) -> DataFrame:
-    """Verified links (u, v) between the nodes that share buckets (bucket, node, own).
+def linked(buckets: DataFrame, items_of: Callable, similar: Callable) -> DataFrame:
+    """Components (node, root) of the similar nodes among those that share buckets (bucket, node, own).
 
     A pair counts as a candidate if one of the two is in its own bucket; the other may be there
-    by a probe. `items_of(nodes)` gives what nodes are compared by, `similar(paired)` the pairs
-    (u, v) that are similar.
+    by a probe. `items_of(nodes)` gives what nodes are compared by, `similar(paired)` the rows of
+    pairs whose two sides are similar, with u_root and v_root.
     """
     shared = buckets.groupBy(F.col("bucket").alias("_b")).agg(F.count("*").alias("n"), F.max("own").alias("any")).where("n > 1 and any")
     members = written(buckets.join(shared, F.col("bucket") == F.col("_b")).select("bucket", "node", "own"))
     items = written(items_of(members.select("node").distinct()))
-    tried = written(_around(members, 0).select(*_pair("node", "centre")).distinct())
-    found = written(similar(paired(tried, items)))
+    tried = written(_pairs(_around(members.withColumn("root", F.col("node")), 0)))
+    roots = written(components(similar(paired(tried, items)).select(F.col("u_root").alias("u"), F.col("v_root").alias("v"))))
+    tried = tried.select("u", "v")
     step = 1
     while True:
-        roots = components(found)
         placed = members.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("bucket", "node", "own", F.coalesce("root", "node").alias("root"))
         several = placed.groupBy(F.col("bucket").alias("_b")).agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("_b", "n")
         left = written(placed.join(several, F.col("bucket") == F.col("_b")).select("bucket", "node", "own", "root", "n"))
         small, large = left.where(F.col("n") <= SMALL_BUCKET), left.where(F.col("n") > SMALL_BUCKET)
-        other = small.where("own").select(F.col("bucket").alias("_b"), F.col("node").alias("centre"), F.col("root").alias("_r"))
-        by_pair = small.join(other, (F.col("bucket") == F.col("_b")) & (F.col("root") != F.col("_r"))).select(*_pair("node", "centre"))
-        roots_of = left.select(F.col("node").alias("_c"), F.col("root").alias("_r")).distinct()
-        by_centre = _around(large, step).join(roots_of, F.col("centre") == F.col("_c")).where("root <> _r").select(*_pair("node", "centre"))
-        fresh = written(by_pair.unionByName(by_centre).distinct().join(tried, ["u", "v"], "left_anti"))
+        other = small.where("own").select(F.col("bucket").alias("_b"), F.col("node").alias("other"), F.col("root").alias("other_root"))
+        by_pair = small.join(other, F.col("bucket") == F.col("_b")).select("node", "root", "other", "other_root")
+        fresh = written(_pairs(by_pair.unionByName(_around(large, step))).join(tried, ["u", "v"], "left_anti"))
+        if fresh.count() == 0:
+            return roots
         new = written(similar(paired(fresh, items)))
-        if new.isEmpty():
-            return found
-        found, tried = written(found.unionByName(new)), written(tried.unionByName(fresh))
+        if new.count() == 0:
+            return roots
+        roots = _joined(roots, new.select(F.col("u_root").alias("u"), F.col("v_root").alias("v")))
+        tried = written(tried.unionByName(fresh.select("u", "v")))
         step += 1

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.llm.common import map_arrow, row_key, written
-from plinth.llm.linking import components, links
+from plinth.llm.linking import linked
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -160,9 +160,9 @@ def _similar(both: DataFrame, threshold: float) -> DataFrame:
     def run(rows: pa.Table) -> pa.Table:
         sides = zip(*(rows[c].to_pylist() for c in ("u_elements", "u_weights", "v_elements", "v_weights")))
         near = [probability_jaccard(_unpacked(a, b), _unpacked(c, d)) >= threshold - 1e-12 for a, b, c, d in sides]
-        return rows.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
+        return rows.select(["u_root", "v_root"]).filter(pa.array(near, pa.bool_()))
 
-    return map_arrow(both, run, "u binary, v binary")
+    return map_arrow(both, run, "u_root binary, v_root binary")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -173,7 +173,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     buckets = nodes.select(F.explode("buckets").alias("bucket"), "node", F.lit(True).alias("own"))
     keys = nodes.select(F.col("node").alias("_n"), F.col("first.key").alias("key"))
     texts_of = lambda wanted: _texts(docs, wanted.join(keys, F.col("node") == F.col("_n")).select("node", "key"), doc_id, text)
-    roots = components(links(buckets, texts_of, lambda both: _similar(both, threshold)))
+    roots = linked(buckets, texts_of, lambda both: _similar(both, threshold))
     placed = nodes.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "first", "n", F.coalesce("root", "node").alias("root"))
     named = placed.groupBy(F.col("root").alias("_root")).agg(F.min("first").alias("least"), F.sum("n").alias("class_rows"))
     of_node = written(placed.join(named, F.col("root") == F.col("_root")).select(F.col("node").alias("_n"), "least", "class_rows"))
