@@ -18,9 +18,14 @@ def nest(df: DataFrame, key: str, item: Column, name: str, spread: str, part_siz
 
     Nearly every key gets one part. A key that holds a large share of all rows gets many, dealt by
     the hash of `spread`, so no task and no row holds an unbounded group and nothing is left out.
+    Only keys of more than one part are counted into `sizes`, so the planner can send it to where
+    the rows are instead of gathering the rows of a key first.
     """
-    sizes = df.groupBy(key).agg(F.ceil(F.count("*") / part_size).cast("int").alias("parts"))
-    dealt = df.select(key, spread, item.alias("_item")).join(sizes, key)
+    sizes = df.groupBy(F.col(key).alias("_key")).agg(F.ceil(F.count("*") / part_size).cast("int").alias("parts")).where("parts > 1")
+    dealt = (
+        df.where(F.col(key).isNotNull()).select(key, spread, item.alias("_item"))
+        .join(sizes, F.col(key) == F.col("_key"), "left").withColumn("parts", F.coalesce("parts", F.lit(1))).drop("_key")
+    )
     part = F.pmod(F.xxhash64(spread), F.col("parts")).cast("int")
     return (
         dealt.withColumn("part", part).groupBy(key, "parts", "part")

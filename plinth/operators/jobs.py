@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Callable
 
@@ -26,6 +27,7 @@ def run_jobs(spark: SparkSession, registry: dict[str, Callable[[SparkSession], i
         try:
             count = int(registry[name](spark))
         except Exception as failure:  # the report carries it; the other jobs still run
-            error = str(failure)
+            logging.exception("job %s failed", name)
+            error = f"{type(failure).__name__}: {failure}"
         results.append((name, count, time.time() - start, error))
     return spark.createDataFrame(results, RESULT)

@@ -188,8 +188,10 @@ def _edges_within(names: DataFrame, trigram: bool) -> DataFrame:
     met = _called(names)
     if trigram:
         near = similar_pairs_within(names, REVIEW, "normalized", inclusive=True)
-        met = met.unionByName(near.select(F.col("left_name").alias("seen"), F.col("right_name").alias("seer"))).unionByName(
-            near.select(F.col("right_name").alias("seen"), F.col("left_name").alias("seer")))
+        # Both directions from one pass over the pairs.
+        way = lambda a, b: F.struct(F.col(a).alias("seen"), F.col(b).alias("seer"))
+        ways = F.array(way("left_name", "right_name"), way("right_name", "left_name"))
+        met = met.unionByName(near.select(F.explode(ways).alias("w")).select("w.seen", "w.seer"))
     earlier = names.select(F.col("normalized").alias("seen"), F.col("first").alias("seen_first"))
     later = names.select(F.col("normalized").alias("seer"), F.col("first").alias("seer_first"))
     return met.join(earlier, "seen").join(later, "seer").where(F.col("seen_first") < F.col("seer_first")).select(

@@ -15,20 +15,22 @@ from plinth.functions.similarity import grams, jaccard, trigram_codes
 from plinth.operators.ranking import top_n
 
 BUCKETS = 16384
+#: Of the grams that names are filed under: a fixed size, fine enough to drop most other grams.
+FILED_BUCKETS = 131072
 
 
-def _bucket(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
+def _bucket(gram: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(buckets)).cast("int")
 
 
-def gram_frequencies(df: DataFrame, grams_column: str) -> DataFrame:
-    """One row with an array of BUCKETS counts: how often grams of each hash bucket occur.
+def gram_frequencies(df: DataFrame, grams_column: str, buckets: int = BUCKETS) -> DataFrame:
+    """One row with an array of `buckets` counts: how often grams of each hash bucket occur.
 
     The array has a fixed length whatever the data, so it can travel to every task.
     """
     counted = df.select(F.explode_outer(grams_column).alias("_gram")).where(F.col("_gram").isNotNull()).groupBy(
-        _bucket(F.col("_gram")).alias("_bucket")).agg(F.count("*").alias("_n"))
-    slots = df.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("_bucket"))
+        _bucket(F.col("_gram"), buckets).alias("_bucket")).agg(F.count("*").alias("_n"))
+    slots = df.sparkSession.range(buckets).select(F.col("id").cast("int").alias("_bucket"))
     filled = slots.join(counted, "_bucket", "left").select(
         F.struct("_bucket", F.coalesce("_n", F.lit(0)).alias("_n")).alias("slot"))
     listed = filled.agg(F.sort_array(F.collect_list("slot")).alias("slots"))
@@ -174,8 +176,12 @@ def match_mentions(
     frequencies = gram_frequencies(name_grams, "_grams")
     filed = rare_first(name_grams, "_grams", frequencies).select(
         "canonical_name", "id", F.get("_grams", F.lit(0)).alias("_gram"))
-    # The exploded rows carry the key alone; the text is met again only for its candidates.
-    title_grams = lowered.select(key, F.explode(grams("_title", n)).alias("_gram"))
+    # Only grams of a bucket in which some name is filed leave their task, and the exploded rows
+    # carry the key alone; the text is met again only for its candidates.
+    filed_buckets = gram_frequencies(filed.select(F.array("_gram").alias("_grams")), "_grams", FILED_BUCKETS)
+    marked = lowered.withColumn("_filed", filed_buckets.scalar())
+    likely = F.filter(grams("_title", n), lambda g: F.get(F.col("_filed"), _bucket(g, FILED_BUCKETS)) > 0)
+    title_grams = marked.select(key, F.explode(likely).alias("_gram"))
     candidates = title_grams.join(filed, "_gram").select(key, "canonical_name", "id")
     met = candidates.join(lowered, key).where(F.col("_title").contains(F.col("canonical_name")))
     if not best:

@@ -43,20 +43,19 @@ def _outcomes(rows: str, trigram: bool = True) -> str:
             coalesce(exact_id, alias_id, near_id) as target_id, sim from st left join near on near.normalized = st.normalized)"""
 
 
-_RESULT = """
+_RESULT = f"""
     case when match_type in ('trigram', 'review') then round(sim, 6) when match_type = 'new' then 0.0 else 1.0 end as confidence,
-    case when match_type = 'new' then 'minted' when match_type <> 'review' then cast(target_id as varchar) end as entity_id,
+    case when match_type = 'new' then sha256('person|' || {sp.slug('normalized')}) when match_type <> 'review' then cast(target_id as varchar) end as entity_id,
     case when match_type = 'review' then cast(target_id as varchar) end as suggested_id"""
 
 
 def _shown(df):
-    minted = F.when(F.col("match_type") == "new", F.lit("minted")).otherwise(F.col("entity_id"))
-    return df.select("pos", "match_type", F.round("confidence", 6).alias("confidence"), minted.alias("entity_id"), "suggested_id")
+    return df.select("pos", "match_type", F.round("confidence", 6).alias("confidence"), "entity_id", "suggested_id")
 
 
 @query("resolve_people", f"""
     with {_outcomes(CANDIDATES)},
-    r as (select nm.pos, case when w.id is not null then 'wikidata' else o.match_type end as match_type,
+    r as (select nm.pos, nm.normalized, case when w.id is not null then 'wikidata' else o.match_type end as match_type,
                  coalesce(w.id, o.target_id) as target_id, o.sim
           from nm join o on o.normalized = nm.normalized
           left join (select wikidata_id, min(id) as id from v_people where wikidata_id is not null group by 1) w on w.wikidata_id = nm.wikidata_id)
@@ -67,7 +66,7 @@ def _(s):
 
 @query("resolve_simple", f"""
     with {_outcomes(CANDIDATES, trigram=False)}
-    select nm.pos, o.match_type, {_RESULT} from nm join o on o.normalized = nm.normalized""")
+    select nm.pos, o.match_type, {_RESULT} from nm join o using (normalized)""")
 def _(s):
     return _shown(resolve.resolve_simple(s.sql(CANDIDATES), s.people, s.aliases, "person"))
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Enum members in declaration order, which is also their sort order.
 SECTORS = ["architecture", "design", "technology", "multidisciplinary"]
@@ -17,58 +16,66 @@ CURSOR_STATUSES = ["ok", "partial", "error"]
 RELATIONSHIPS = ["partner", "collaboration", "acquired_by", "subsidiary", "spin_off"]
 
 
-def _struct(spec: str) -> T.StructType:
-    kinds = {
-        "s": T.StringType(), "i": T.IntegerType(), "l": T.LongType(), "d": T.DoubleType(),
-        "b": T.BooleanType(), "t": T.TimestampType(),
-        "errors": T.ArrayType(T.StringType()),
-        "names": T.ArrayType(T.StringType()),
-        "runs": T.ArrayType(T.StructType([
-            T.StructField("name", T.StringType()), T.StructField("entities", T.LongType()),
-            T.StructField("duration_s", T.DoubleType()), T.StructField("error", T.StringType()),
-        ])),
-    }
-    fields = (item.split(":") for item in spec.split())
-    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in fields])
-
-
-# One line per table: column:type, with s string, i int, l long, d double, b boolean, t timestamp.
-TABLES: dict[str, T.StructType] = {
-    "firms": _struct(
-        "id:s slug:s display_name:s canonical_name:s sector:s country:s country_code:s city:s "
-        "website:s founded_year:i size_range:s short_description:s merged_into:s publish_status:s "
-        "quality_score:i source_count:i last_seen_at:t wikidata_id:s openalex_id:s latitude:d "
-        "longitude:d logo_url:s image_url:s image_credit:s created_at:t updated_at:t"),
-    "people": _struct(
-        "id:s slug:s display_name:s canonical_name:s role:s title:s sector:s current_firm_id:s "
-        "nationality:s bio:s publish_status:s quality_score:i source_count:i last_seen_at:t "
-        "wikidata_id:s openalex_id:s orcid:s birth_year:i death_year:i image_url:s image_credit:s "
-        "created_at:t updated_at:t"),
-    "sources": _struct("id:s title:s source_name:s url:s published_at:t author:s source_type:s sector:s created_at:t"),
-    "awards": _struct("id:s slug:s award_name:s organization:s category:s year:i prestige:s"),
-    "firm_people": _struct("firm_id:s person_id:s role:s is_current:b start_year:i end_year:i source:s"),
-    "award_recipients": _struct("award_id:s firm_id:s person_id:s project_name:s year:i"),
-    "entity_aliases": _struct("entity_id:s entity_type:s alias:s alias_normalized:s"),
-    "ingest_cursors": _struct("source_name:s last_cursor:s last_run_at:t entity_count:l status:s errors:errors"),
-    "enrichment_queue": _struct(
-        "id:s entity_id:s entity_type:s status:s attempts:i last_error:s created_at:t enriched_at:t"),
-    "review_queue": _struct(
-        "id:s candidate_name:s entity_type:s suggested_entity_id:s confidence:d match_type:s status:s "
-        "created_at:t resolved_at:t"),
-    "entity_sources": _struct("entity_id:s entity_type:s source_id:s mention_type:s confidence:d created_at:t"),
-    "tags": _struct("id:s name:s slug:s category:s"),
-    "entity_tags": _struct("entity_id:s entity_type:s tag_id:s source:s"),
-    "projects": _struct(
-        "id:s slug:s display_name:s description:s year:i location:s project_type:s sector:s wikidata_id:s "
-        "country:s city:s latitude:d longitude:d created_at:t updated_at:t"),
-    "project_entities": _struct("project_id:s entity_id:s entity_type:s role:s"),
-    "entity_relationships": _struct(
-        "from_entity_id:s from_entity_type:s to_entity_id:s to_entity_type:s relationship:s start_year:i "
-        "end_year:i notes:s"),
-    "education": _struct(
-        "person_id:s institution_id:s institution_name:s degree:s field:s start_year:i end_year:i source:s"),
-    "pipeline_runs": _struct(
-        "id:s started_at:t finished_at:t sources_run:names total_entities:l failures:l summary:runs"),
+# Columns of each table.
+TABLES: dict[str, str] = {
+    "firms": (
+        "id string, slug string, display_name string, canonical_name string, sector string, country string, "
+        "country_code string, city string, website string, founded_year int, size_range string, "
+        "short_description string, merged_into string, publish_status string, quality_score int, "
+        "source_count int, last_seen_at timestamp, wikidata_id string, openalex_id string, latitude double, "
+        "longitude double, logo_url string, image_url string, image_credit string, created_at timestamp, "
+        "updated_at timestamp"),
+    "people": (
+        "id string, slug string, display_name string, canonical_name string, role string, title string, "
+        "sector string, current_firm_id string, nationality string, bio string, publish_status string, "
+        "quality_score int, source_count int, last_seen_at timestamp, wikidata_id string, openalex_id string, "
+        "orcid string, birth_year int, death_year int, image_url string, image_credit string, "
+        "created_at timestamp, updated_at timestamp"),
+    "sources": (
+        "id string, title string, source_name string, url string, published_at timestamp, author string, "
+        "source_type string, sector string, created_at timestamp"),
+    "awards": (
+        "id string, slug string, award_name string, organization string, category string, year int, "
+        "prestige string"),
+    "firm_people": (
+        "firm_id string, person_id string, role string, is_current boolean, start_year int, end_year int, "
+        "source string"),
+    "award_recipients": (
+        "award_id string, firm_id string, person_id string, project_name string, year int"),
+    "entity_aliases": (
+        "entity_id string, entity_type string, alias string, alias_normalized string"),
+    "ingest_cursors": (
+        "source_name string, last_cursor string, last_run_at timestamp, entity_count bigint, status string, "
+        "errors array<string>"),
+    "enrichment_queue": (
+        "id string, entity_id string, entity_type string, status string, attempts int, last_error string, "
+        "created_at timestamp, enriched_at timestamp"),
+    "review_queue": (
+        "id string, candidate_name string, entity_type string, suggested_entity_id string, confidence double, "
+        "match_type string, status string, created_at timestamp, resolved_at timestamp"),
+    "entity_sources": (
+        "entity_id string, entity_type string, source_id string, mention_type string, confidence double, "
+        "created_at timestamp"),
+    "tags": (
+        "id string, name string, slug string, category string"),
+    "entity_tags": (
+        "entity_id string, entity_type string, tag_id string, source string"),
+    "projects": (
+        "id string, slug string, display_name string, description string, year int, location string, "
+        "project_type string, sector string, wikidata_id string, country string, city string, latitude double, "
+        "longitude double, created_at timestamp, updated_at timestamp"),
+    "project_entities": (
+        "project_id string, entity_id string, entity_type string, role string"),
+    "entity_relationships": (
+        "from_entity_id string, from_entity_type string, to_entity_id string, to_entity_type string, "
+        "relationship string, start_year int, end_year int, notes string"),
+    "education": (
+        "person_id string, institution_id string, institution_name string, degree string, field string, "
+        "start_year int, end_year int, source string"),
+    "pipeline_runs": (
+        "id string, started_at timestamp, finished_at timestamp, sources_run array<string>, "
+        "total_entities bigint, failures bigint, "
+        "summary array<struct<name: string, entities: bigint, duration_s: double, error: string>>"),
 }
 
 

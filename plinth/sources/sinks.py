@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +18,28 @@ def _versions(spark: SparkSession, base: str) -> list[int]:
 
 
 def write_snapshot(df: DataFrame, base: str) -> str:
-    """Write the table as a new version; readers keep the last complete one until this one is."""
-    versions = _versions(df.sparkSession, base)
-    target = f"{base}/version={(versions[-1] if versions else 0) + 1}"
-    df.write.mode("overwrite").parquet(target)
-    return target
+    """Write the table as a new version; readers keep the last complete one until this one is.
+
+    Rows go to a folder of their own, which is then renamed to the next free version. A writer that
+    loses the race for a number takes the next one.
+    """
+    spark = df.sparkSession
+    stage = f"{base}/_stage-{uuid.uuid4().hex}"
+    df.write.parquet(stage)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(stage).getFileSystem(spark._jsc.hadoopConfiguration())
+    number = max(_versions(spark, base), default=0) + 1
+    while True:
+        target = f"{base}/version={number}"
+        if not files.exists(hadoop(target)) and files.rename(hadoop(stage), hadoop(target)):
+            nested = hadoop(target, hadoop(stage).getName())
+            if not files.exists(nested):
+                return target
+            # Another writer came first and the rename went into its folder: take it out again.
+            files.rename(nested, hadoop(stage))
+        elif not files.exists(hadoop(stage)):
+            raise OSError(f"{stage} is gone")
+        number += 1
 
 
 def read_snapshot(spark: SparkSession, base: str) -> DataFrame:

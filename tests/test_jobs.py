@@ -13,7 +13,7 @@ def test_one_failing_job_does_not_stop_the_rest(spark):
 
     registry = {"good": lambda s: s.range(4).count(), "bad": broken}
     got = jobs.run_jobs(spark, registry)
-    assert [(r["name"], r["entity_count"], r["error"]) for r in got.collect()] == [("good", 4, None), ("bad", 0, "no feed")]
+    assert [(r["name"], r["entity_count"], r["error"]) for r in got.collect()] == [("good", 4, None), ("bad", 0, "ValueError: no feed")]
     totals = counts.run_totals(got).first()
     assert (totals["total_entities"], totals["failures"], totals["outcome"]) == (4, 1, "FAILED")
     with pytest.raises(KeyError, match="nope"):

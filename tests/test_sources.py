@@ -115,8 +115,10 @@ def test_snapshots_reports_and_run_log(spark, tmp_path):
 
 
 def test_tables_read_with_their_schema(spark, tmp_path):
-    spark.createDataFrame([], TABLES["tags"]).write.parquet(str(tmp_path / "tags"))
-    assert read_tables(spark, str(tmp_path), ["tags"])["tags"].schema == TABLES["tags"]
+    rows = [("t1", "Tag", "tag", None), ("t2", None, None, "cat")]
+    spark.createDataFrame(rows, TABLES["tags"]).write.parquet(str(tmp_path / "tags"))
+    got = read_tables(spark, str(tmp_path), ["tags"])["tags"]
+    assert sorted(map(tuple, got.collect())) == rows and got.columns == ["id", "name", "slug", "category"]
 
 
 def test_keep_first_treats_nulls_as_one_key(spark):
