@@ -12,6 +12,7 @@ from plinth.functions.similarity import jaccard, trigram_codes
 from plinth.operators.filters import active
 from plinth.operators.ranking import top_n
 from plinth.operators.simjoin import similar_pairs
+from plinth.session import write_once
 
 SHOWN = ["entity_type", "id", "slug", "display_name", "sector", "country", "city", "short_description", "role"]
 
@@ -19,7 +20,8 @@ SHOWN = ["entity_type", "id", "slug", "display_name", "sector", "country", "city
 def searchable(firms: DataFrame, people: DataFrame, stem: bool = False) -> DataFrame:
     """Public firms and people in one table, NULL-padded, with name grams and text lexemes.
 
-    Written out once, this is the search index: queries then read grams and lexemes, not text.
+    Written once (`search` does so), this is the search index: queries then read grams and lexemes,
+    not text.
     """
     none = F.lit(None).cast("string")
     firm_rows = active(firms, "firm").select(
@@ -98,13 +100,14 @@ def search(
     An entity is admitted by its name, by an alias, by a tag or by its text, and ranked by the
     greatest of 2 x name similarity, 1.5 x best alias similarity, text rank, and 0.4 for a tag.
     """
-    asked = prepared(queries, stem)
+    asked, entities, aliases, tags = map(write_once, (prepared(queries, stem), entities, aliases, tags))
     names = entities.select("entity_type", "id", "canonical_name")
     alias_names = aliases.select("entity_type", F.col("entity_id").alias("id"), "alias_normalized")
     shown = _admitted(asked, entities, {
         "name": _name_hits(asked, names, "canonical_name", threshold),
         "alias": _name_hits(asked, alias_names, "alias_normalized", threshold),
         "tag": tag_hits(asked, tags, entity_tags), "text": text_hits(asked, entities)})
+    shown = write_once(shown)
     full = shown.join(alias_best_sim(shown, aliases), ["query_id", "entity_type", "id"], "left")
     rank = F.greatest(
         jaccard("name_grams", "q_grams") * 2.0, F.coalesce(F.col("alias_sim") * 1.5, F.lit(0.0)), _text_rank(),
@@ -131,7 +134,7 @@ def search_v1(
     queries: DataFrame, entities: DataFrame, k: int = 12, threshold: float = 0.2, stem: bool = False,
 ) -> DataFrame:
     """The earlier rule: name similarity or text, the country text only, no weights."""
-    asked = prepared(queries, stem)
+    asked, entities = map(write_once, (prepared(queries, stem), entities))
     names = entities.select("entity_type", "id", "canonical_name")
     hits = {"name": _name_hits(asked, names, "canonical_name", threshold), "text": text_hits(asked, entities)}
     shown = _admitted(asked, entities, hits, codes=False)

@@ -18,7 +18,7 @@ SEARCHES = """
     union all
     select 2000000 + min(p_partkey), lower(p_type) || ' award', 'design', cast(null as string) from part group by p_type
     union all
-    select 3000000 + s_nationkey, replace(min(s_name), '#', ' '), cast(null as string), cast(null as string) from supplier group by s_nationkey
+    select 3000000 + s_nationkey, substr(md5(min(s_name)), 1, 9), cast(null as string), cast(null as string) from supplier group by s_nationkey
     union all
     select 4000000 + n_nationkey, 'the ' || n_name || ' trade', cast(null as string), cast(null as string) from nation
     union all select 5000000 + r_regionkey, '   ', cast(null as string), cast(null as string) from region"""

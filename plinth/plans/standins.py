@@ -119,7 +119,7 @@ VIEWS: dict[str, str] = {
                min(l_returnflag) as mention_type, max(l_shipdate) as created_at
         from lineitem group by 1, 2, 3""",
     "v_tags": """
-        select s_suppkey as id, 'Tag ' || s_name as name, lower(replace(s_name, '#', '-')) as slug,
+        select s_suppkey as id, 'Tag ' || s_name as name, substr(md5(s_name), 1, 9) || '-kind' as slug,
                case when s_nationkey % 5 = 0 then cast(null as string) when s_nationkey % 5 = 1 then ''
                     else 'cat' || cast(s_nationkey % 5 as string) end as category
         from supplier
