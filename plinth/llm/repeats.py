@@ -244,7 +244,8 @@ def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """key, start, end: byte ranges of rows, covered by strings that also start elsewhere."""
     found = written(anchored(docs, doc_id, text, length, kmer))
     each = found.select("key", F.explode(F.arrays_zip("place", "first", "last", "hash", "segment")).alias("a")).select("key", "a.*")
-    shared = (
+    # Written, so that the join deals both sides anew and a very common hash can be split.
+    shared = written(
         each.groupBy(F.col("hash").alias("_h")).agg(F.count("*").alias("n"), F.min("segment").alias("a"), F.max("segment").alias("z"))
         .where("n > 1").select("_h", (F.col("a") == F.col("z")).alias("alike"))
     )
