@@ -3,8 +3,8 @@
 Verifying all pairs of a bucket would grow with its square, and classes need only enough links to
 hold their members together. So a bucket first links its members to one of them. Only buckets
 that then still hold several components are looked at again: up to SMALL_BUCKET members, all
-pairs between different components; larger ones around another member each round, until a round
-finds no link. No bucket is gathered in one task, and no member is left out.
+pairs between different components; larger ones around CENTRES other members each round, until a
+round finds no link. No bucket is gathered in one task, and no member is left out.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from plinth.llm.common import written
 
 
 SMALL_BUCKET = 64
+#: Members that those of a larger bucket are compared with in one round.
+CENTRES = 8
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -70,10 +72,12 @@ def paired(pairs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _around(members: DataFrame, step: int) -> DataFrame:
-    """Every member of a bucket beside one of its own members, another one each step."""
-    own = F.when(F.col("own"), F.xxhash64("node", F.lit(step)) if step else F.col("node"))
-    centre = members.groupBy(F.col("bucket").alias("_b")).agg(F.min_by(F.struct("node", "root"), own).alias("c"))
-    return members.join(centre, F.col("bucket") == F.col("_b")).select("node", "root", F.col("c.node").alias("other"), F.col("c.root").alias("other_root"))
+    """Every member of a bucket beside its least own member, or beside CENTRES others each later step."""
+    keys = [F.xxhash64("node", F.lit(step * CENTRES + i)) for i in range(CENTRES)] if step else [F.col("node")]
+    chosen = [F.min_by(F.struct("node", "root"), F.when(F.col("own"), key)) for key in keys]
+    centres = members.groupBy(F.col("bucket").alias("_b")).agg(F.array_distinct(F.array(*chosen)).alias("centres"))
+    beside = members.join(centres, F.col("bucket") == F.col("_b")).select("node", "root", F.explode("centres").alias("c"))
+    return beside.select("node", "root", F.col("c.node").alias("other"), F.col("c.root").alias("other_root"))
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
