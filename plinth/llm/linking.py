@@ -72,10 +72,14 @@ def paired(pairs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _around(members: DataFrame, step: int) -> DataFrame:
-    """Every member of a bucket beside its least own member, or beside CENTRES others each later step."""
+    """Every member of a bucket beside its least own member; each later step, every member of one of
+    its buckets, another one each time, beside CENTRES own members of that bucket."""
     keys = [F.xxhash64("node", F.lit(step * CENTRES + i)) for i in range(CENTRES)] if step else [F.col("node")]
     chosen = [F.min_by(F.struct("node", "root"), F.when(F.col("own"), key)) for key in keys]
     centres = members.groupBy(F.col("bucket").alias("_b")).agg(F.array_distinct(F.array(*chosen)).alias("centres"))
+    if step:
+        one = F.min_by(F.struct("bucket", "root"), F.xxhash64("bucket", F.lit(step)))
+        members = members.groupBy("node").agg(one.alias("m")).select("node", "m.bucket", "m.root")
     beside = members.join(centres, F.col("bucket") == F.col("_b")).select("node", "root", F.explode("centres").alias("c"))
     return beside.select("node", "root", F.col("c.node").alias("other"), F.col("c.root").alias("other_root"))
 
