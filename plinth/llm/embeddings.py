@@ -15,6 +15,7 @@ last; repeated rows are links like any other; an empty table gives no rows; othe
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import product
 
 import numpy as np
@@ -136,6 +137,22 @@ def _similar(both: DataFrame, threshold: float) -> DataFrame:
     return map_arrow(both, run, "u_root binary, v_root binary")
 
 
+def _near(threshold: float) -> Callable:
+    """For `linked`: which vectors reach the threshold with a vector, by one matrix product."""
+
+    def prepared(rows: pa.Table) -> Callable:
+        packed = rows["vector"].to_pylist()
+        sizes = np.array([len(p) for p in packed])
+        near = np.zeros((len(packed), len(packed)), bool)
+        for size in np.unique(sizes):
+            chosen = np.flatnonzero(sizes == size)
+            unit = _units([packed[i] for i in chosen])
+            near[np.ix_(chosen, chosen)] = unit @ unit.T >= threshold
+        return lambda i, others: near[i, others]
+
+    return prepared
+
+
 def _counts(group: pa.Table, threshold: float) -> pa.Table:
     """Per node of the blocks of a group: rows of other nodes that it links with.
 
@@ -185,7 +202,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     first = F.struct(F.col("vec_id").isNull().alias("none"), F.col("vec_id").alias("vec_id"))
     nodes = written(rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("vector").alias("vector"), F.count("*").alias("n"), F.min(first).alias("first")))
     items = lambda wanted: nodes.select("node", "vector").join(wanted, "node", "left_semi")
-    roots = linked(buckets(nodes, tables, hashes, probes), items, lambda both: _similar(both, threshold))
+    roots = linked(buckets(nodes, tables, hashes, probes), items, lambda both: _similar(both, threshold), _near(threshold))
     counted = link_counts(nodes, roots, threshold)
     placed = nodes.join(roots.withColumnRenamed("node", "_m"), F.col("node") == F.col("_m"), "left").select("node", "n", "first", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy(F.col("root").alias("_r")).agg(F.min("first").alias("least"))

@@ -1,16 +1,19 @@
 """From buckets of similar items to verified links and connected components.
 
-Verifying all pairs of a bucket would grow with its square, and classes need only enough links to
-hold their members together. So a bucket first links its members to one of them. Only buckets
-that then still hold several components are looked at again: up to SMALL_BUCKET members, all
-pairs between different components; larger ones around CENTRES other members each round, until a
-round finds no link. No bucket is gathered in one task, and no member is left out.
+Classes need only enough links to hold their members together. So a bucket first links its members
+to one of them, and one of more than SMALL_BUCKET members then to CENTRES others. In each bucket
+that still holds several components, all pairs between different components are then tried: its
+members are dealt into blocks, a task compares block with block and gives only the links that join
+components. Pairs inside the largest component of a bucket are not compared. No bucket is gathered
+in one task, no pair table is made of it, and no pair between components is left untried.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +21,10 @@ from plinth.llm.common import written
 
 
 SMALL_BUCKET = 64
-#: Members that those of a larger bucket are compared with in one round.
+#: Members that those of a larger bucket are compared with before all are.
 CENTRES = 8
+#: Members of one block of a bucket whose pairs are all tried.
+BLOCK = 256
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -72,8 +77,8 @@ def paired(pairs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _around(members: DataFrame, step: int) -> DataFrame:
-    """Every member of a bucket beside its least own member; each later step, every member of one of
-    its buckets, another one each time, beside CENTRES own members of that bucket."""
+    """Every member of a bucket beside its least own member; in a later step, every member of one of
+    its buckets beside CENTRES own members of that bucket."""
     keys = [F.xxhash64("node", F.lit(step * CENTRES + i)) for i in range(CENTRES)] if step else [F.col("node")]
     chosen = [F.min_by(F.struct("node", "root"), F.when(F.col("own"), key)) for key in keys]
     centres = members.groupBy(F.col("bucket").alias("_b")).agg(F.array_distinct(F.array(*chosen)).alias("centres"))
@@ -91,33 +96,84 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return named.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.root").alias("u_root"), F.col("b.root").alias("v_root")).distinct()
 
 
-def linked(buckets: DataFrame, items_of: Callable, similar: Callable) -> DataFrame:
+def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members, with their roots, of the buckets that hold several components; of buckets with the same members one.
+
+    `n` is the number of members, `top` the component with most of them, `n_top` their number. Buckets
+    of two are settled by the first step, which tries their only pair.
+    """
+    placed = members.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("bucket", "node", "own", F.coalesce("root", "node").alias("root"))
+    marks = [F.bit_xor(F.xxhash64("node", "own")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "own", "node")).alias("y")]
+    parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"), *marks)
+    whole = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    one = whole.where("roots > 1 and n > 2").groupBy("n", "x", "y").agg(F.min(F.struct("bucket", "top")).alias("m"))
+    several = one.select(F.col("m.bucket").alias("_b"), "n", F.col("m.top.root").alias("top"), F.col("m.top.n").alias("n_top"))
+    return written(placed.join(several, F.col("bucket") == F.col("_b")).drop("_b"))
+
+
+def _joining(group: pa.Table, near: Callable) -> pa.Table:
+    """Links (u, v) between roots that join the components of each pair of blocks of a group."""
+    roots, own = group["root"].to_pylist(), group["own"].to_numpy()
+    low, high, side = (group[c].to_numpy() for c in ("low", "high", "block"))
+    by_pair: dict[tuple, list[int]] = {}
+    for i, bucket in enumerate(group["bucket"].to_pylist()):
+        by_pair.setdefault((bucket, int(low[i]), int(high[i])), []).append(i)
+    links = []
+    for (_, a, b), rows in by_pair.items():
+        index = np.array(rows)
+        names: dict[bytes, int] = {}
+        component = np.array([names.setdefault(roots[i], len(names)) for i in rows])
+        if len(names) == 1:
+            continue
+        close, owned, block = near(group.take(pa.array(index))), own[index], side[index]
+        right = np.flatnonzero(block == b)
+        for i in np.flatnonzero(block == a):
+            others = right[right > i] if a == b else right
+            others = others[(component[others] != component[i]) & (owned[others] | owned[i])]
+            for j in others[close(i, others)] if len(others) else others:
+                if component[j] != component[i]:
+                    links.append((roots[rows[i]], roots[rows[j]]))
+                    component[component == component[j]] = component[i]
+    return pa.table([pa.array([k[0] for k in links], pa.binary()), pa.array([k[1] for k in links], pa.binary())], names=["u", "v"])
+
+
+def _in_blocks(left: DataFrame, items: DataFrame, near: Callable) -> DataFrame:
+    """Links (u, v) between roots after all pairs of different components of the buckets `left` were tried.
+
+    A bucket of more than BLOCK members has blocks of its largest component, numbered first, which
+    meet only those of the others; the others meet all. Small buckets are one block and share groups.
+    """
+    divided = F.col("n") > BLOCK
+    inner = divided & (F.col("root") == F.col("top"))
+    many = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    sized = left.withColumn("_i", inner).withColumn("_a", F.when(divided, many(F.col("n_top"))).otherwise(0))
+    sized = sized.withColumn("_m", F.col("_a") + F.when(divided, many(F.col("n") - F.col("n_top"))).otherwise(1))
+    inside, outside = F.pmod(F.xxhash64("node"), F.col("_a")), F.col("_a") + F.pmod(F.xxhash64("node"), F.col("_m") - F.col("_a"))
+    dealt = sized.withColumn("block", F.when(F.col("_i"), inside).otherwise(outside).cast("int"))
+    spread = dealt.withColumn("_o", F.explode(F.sequence(F.when(F.col("_i"), F.col("_a")).otherwise(0), F.col("_m") - 1)))
+    groups = max(BLOCK, left.count() // BLOCK)
+    part = F.when(divided, F.xxhash64("bucket", F.least("block", "_o"), F.greatest("block", "_o"))).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(groups)))
+    pair = spread.select("bucket", "node", "own", "root", "block", F.least("block", "_o").alias("low"), F.greatest("block", "_o").alias("high"), part.alias("part"))
+    held = pair.join(items.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("node", "_n")
+    return held.groupBy("part").applyInArrow(lambda group: _joining(group, near), "u binary, v binary")
+
+
+def linked(buckets: DataFrame, items_of: Callable, similar: Callable, near: Callable) -> DataFrame:
     """Components (node, root) of the similar nodes among those that share buckets (bucket, node, own).
 
     A pair counts as a candidate if one of the two is in its own bucket; the other may be there
     by a probe. `items_of(nodes)` gives what nodes are compared by, `similar(paired)` the rows of
-    pairs whose two sides are similar, with u_root and v_root.
+    pairs whose two sides are similar, with u_root and v_root; `near(items)` gives a function of a
+    row and other rows of an Arrow table, by number, that says which of the others are similar to it.
     """
     shared = buckets.groupBy(F.col("bucket").alias("_b")).agg(F.count("*").alias("n"), F.max("own").alias("any")).where("n > 1 and any")
     members = written(buckets.join(shared, F.col("bucket") == F.col("_b")).select("bucket", "node", "own"))
     items = written(items_of(members.select("node").distinct()))
-    tried = written(_pairs(_around(members.withColumn("root", F.col("node")), 0)))
-    roots = written(components(similar(paired(tried, items)).select(F.col("u_root").alias("u"), F.col("v_root").alias("v"))))
-    tried = tried.select("u", "v")
-    step = 1
-    while True:
-        placed = members.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("bucket", "node", "own", F.coalesce("root", "node").alias("root"))
-        several = placed.groupBy(F.col("bucket").alias("_b")).agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("_b", "n")
-        left = written(placed.join(several, F.col("bucket") == F.col("_b")).select("bucket", "node", "own", "root", "n"))
-        small, large = left.where(F.col("n") <= SMALL_BUCKET), left.where(F.col("n") > SMALL_BUCKET)
-        other = small.where("own").select(F.col("bucket").alias("_b"), F.col("node").alias("other"), F.col("root").alias("other_root"))
-        by_pair = small.join(other, F.col("bucket") == F.col("_b")).select("node", "root", "other", "other_root")
-        fresh = written(_pairs(by_pair.unionByName(_around(large, step))).join(tried, ["u", "v"], "left_anti"))
-        if fresh.count() == 0:
-            return roots
-        new = written(similar(paired(fresh, items)))
-        if new.count() == 0:
-            return roots
-        roots = _joined(roots, new.select(F.col("u_root").alias("u"), F.col("v_root").alias("v")))
-        tried = written(tried.unionByName(fresh.select("u", "v")))
-        step += 1
+    named = lambda found: found.select(F.col("u_root").alias("u"), F.col("v_root").alias("v"))
+    roots = written(components(named(similar(paired(_pairs(_around(members.withColumn("root", F.col("node")), 0)), items)))))
+    left = _unsettled(members, roots)
+    large = left.where(F.col("n") > SMALL_BUCKET).select("bucket", "node", "own", "root")
+    if not large.isEmpty():
+        roots = _joined(roots, named(similar(paired(_pairs(_around(large, 1)), items))))
+        left = _unsettled(left.select("bucket", "node", "own"), roots)
+    return roots if left.isEmpty() else _joined(roots, _in_blocks(left, items, near))

@@ -17,6 +17,8 @@ equal in id and text are one row twice; an empty table gives no rows; other colu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -165,6 +167,44 @@ def _similar(both: DataFrame, threshold: float) -> DataFrame:
     return map_arrow(both, run, "u_root binary, v_root binary")
 
 
+def _near(threshold: float) -> Callable:
+    """For `linked`: which texts reach the threshold with a text, by a file of the shingles of all.
+
+    With X the weight of one text, Xc that of its shingles that the other has too, and Y, Yc those of
+    the other, the probability Jaccard is at most 1 / (X / Xc + (Y - Yc) / Yc), as its terms are
+    concave in the weights, and the same with the sides exchanged. Where no shingle occurs twice that
+    is the Jaccard itself; elsewhere pairs that reach the threshold by it are compared exactly.
+    """
+
+    def prepared(rows: pa.Table) -> Callable:
+        sets = [_unpacked(e, w) for e, w in zip(rows["elements"].to_pylist(), rows["weights"].to_pylist())]
+        plain = np.array([not w for w in rows["weights"].to_pylist()])
+        at = np.append(0, np.cumsum([len(e) for e, _ in sets]))
+        owner, weight = np.repeat(np.arange(len(sets)), np.diff(at)), np.concatenate([w for _, w in sets]).astype(float)
+        total = np.bincount(owner, weight, len(sets))
+        ids = np.unique(np.concatenate([e for e, _ in sets]), return_inverse=True)[1]
+        order, sizes = np.argsort(ids, kind="stable"), np.bincount(ids)
+        first, owner, held = np.append(0, np.cumsum(sizes)), owner[order], weight[order]
+
+        def close(i: int, others: np.ndarray) -> np.ndarray:
+            mine = ids[at[i] : at[i + 1]]
+            n = sizes[mine]
+            places = np.repeat(first[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            in_i = np.bincount(owner[places], np.repeat(weight[at[i] : at[i + 1]], n), len(sets))[others]
+            in_o = np.bincount(owner[places], held[places], len(sets))[others]
+            both = in_i > 0
+            x, y = np.where(both, in_i, 1), np.where(both, in_o, 1)
+            most = 1 / np.maximum(total[i] / x + (total[others] - y) / y, (total[i] - x) / x + total[others] / y)
+            near = both & (most >= threshold - 1e-12)
+            for k in np.flatnonzero(near & ~(plain[i] & plain[others])):
+                near[k] = probability_jaccard(sets[i], sets[others[k]]) >= threshold - 1e-12
+            return near
+
+        return close
+
+    return prepared
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """key, doc_id, class_id (least doc_id of the class), class_key (key of that row) and class_rows of every row."""
     rows = written(signed(docs, doc_id, text))
@@ -173,7 +213,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     buckets = nodes.select(F.explode("buckets").alias("bucket"), "node", F.lit(True).alias("own"))
     keys = nodes.select(F.col("node").alias("_n"), F.col("first.key").alias("key"))
     texts_of = lambda wanted: _texts(docs, wanted.join(keys, F.col("node") == F.col("_n")).select("node", "key"), doc_id, text)
-    roots = linked(buckets, texts_of, lambda both: _similar(both, threshold))
+    roots = linked(buckets, texts_of, lambda both: _similar(both, threshold), _near(threshold))
     placed = nodes.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "first", "n", F.coalesce("root", "node").alias("root"))
     named = placed.groupBy(F.col("root").alias("_root")).agg(F.min("first").alias("least"), F.sum("n").alias("class_rows"))
     of_node = written(placed.join(named, F.col("root") == F.col("_root")).select(F.col("node").alias("_n"), "least", "class_rows"))

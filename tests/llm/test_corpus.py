@@ -119,6 +119,28 @@ def test_large_buckets_need_no_pairs(spark, monkeypatch):
     test_classes_by_brute_force(spark)
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_edits_of_one_text_by_brute_force(spark, repeated):
+    """Edits reach the threshold with their original, hardly with each other; `repeated` makes weighted shingles."""
+    draw, base, texts = random.Random(12), words(200, 77).split(), []
+    base = base + base[:8] * repeated
+    for _ in range(1000):
+        text = list(base)
+        for place in draw.sample(range(len(base)), 4):
+            text[place] = f"x{draw.random()}"
+        texts.append(" ".join(text))
+    texts.insert(500, " ".join(base))
+    original, *sets = [minhash.shingles(t.encode()) for t in [texts[500], *texts[:500], *texts[501:]]]
+    assert all(minhash.probability_jaccard(original, s) >= 0.8 for s in sets)
+    assert sum(minhash.probability_jaccard(sets[0], s) >= 0.8 for s in sets) < 100
+    assert {r.class_id for r in minhash.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()} == {0}
+
+
+def test_small_blocks_try_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr("plinth.llm.linking.BLOCK", 4)
+    test_classes_by_brute_force(spark)
+
+
 def test_near_duplicates_take_odd_rows(odd, none):
     kept = minhash.deduplicate(odd).collect()
     ids = sorted((r.doc_id or 0 for r in kept))
