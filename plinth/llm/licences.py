@@ -1,7 +1,9 @@
 """Licence scan by sentence rules.
 
-Each text is cut into sentences, a sentence is normalised to lower-case words, and known licence
-sentences become identifiers. The identifiers of a document, in order, are matched against
+A text is normalised to lower-case words with marks where sentences, clauses and lines end. A known
+licence sentence that begins and ends at marks becomes an identifier, the longest first; inside it
+single line ends and semicolons are white space, so wrapped texts count, but a blank line, the
+end of a sentence or a list mark ends it. The identifiers of a document, in order, are matched against
 licence rules: sequences of identifiers, tried in the listed order at each place, each match
 using up its sentences. Sentences that are not known do not break a sequence.
 
@@ -70,9 +72,20 @@ RULES: list[tuple[str, list[str]]] = [
 #: Every known sentence holds one of these words, so a text without any has no known sentence.
 TRIGGERS = ["licens", "permission", "warrant", "permitted", "redistribut", "notice"]
 
-#: Where sentences end: a mark that closes one before white space, or the end of a line.
+#: Where sentences of texts without wrapped lines end, for the SQL of the query.
 SENTENCE_END = r"[.!?;]\s+|\n"
 
+#: Marks of a normalised text, in the order in which they are set: paragraphs and list marks,
+#: sentences, clauses, lines. Capitals, as the words are in lower case.
+MARKS = [
+    (r"\n\s*\n", " X "),
+    (r"(^|[\nX])\s*(?:\(?[0-9]{1,2}[.)]|\(?[a-z]\)|[-•])\s+", " X "),
+    (r"[.!?]\s+", " X "),
+    (r";\s+", " S "),
+    (r"\n", " L "),
+    (r"[^a-z0-9XSL]+", " "),
+]
+
 
 def _symbol(name: str) -> str:
     """One character for each identifier, so that rules become a regular expression."""
@@ -87,6 +100,12 @@ def rule_pattern() -> str:
     return "|".join(dict.fromkeys(_rule(s) for _, s in RULES))
 
 
+def sentence_pattern() -> str:
+    """Known sentences between marks, over line ends and semicolons, in a normalised text."""
+    longest = sorted(SENTENCES.values(), key=len, reverse=True)
+    return "(?<=^|[XSL] )(?:" + "|".join(s.replace(" ", "(?: [SL])? ") for s in longest) + ")(?= [XSL]|$)"
+
+
 def _lookup(pairs: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair))
 
@@ -95,8 +114,11 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """Per document: known sentences in order, matched rules in order, and the licences, sorted."""
     whole = F.coalesce(F.col(text), F.lit(""))
     known = _lookup({v: _symbol(k) for k, v in SENTENCES.items()})
-    normal = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    symbols = F.filter(F.transform(F.split(whole, SENTENCE_END), lambda s: F.try_element_at(known, normal(s))), lambda x: x.isNotNull())
+    marked = F.lower(whole)
+    for pattern, mark in MARKS:
+        marked = F.regexp_replace(marked, pattern, mark)
+    hits = F.regexp_extract_all(F.trim(marked), F.lit(sentence_pattern()), F.lit(0))
+    symbols = F.transform(hits, lambda s: F.element_at(known, F.regexp_replace(s, " [SL] ", " ")))
     likely = F.lower(whole).rlike("|".join(TRIGGERS))
     sequence = F.when(likely, F.array_join(symbols, "")).otherwise(F.lit(""))
     found = docs.select(F.col(doc_id).alias("doc_id"), sequence.alias("_seq"))

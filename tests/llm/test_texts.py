@@ -89,6 +89,60 @@ def test_licence_rules_take_the_longest(spark, odd, none):
     assert licences.scan(none).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+NAMES = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+
+
+def test_wrapped_licences(spark):
+    commented = "".join(f" * {line.strip()}\n" for line in GPL.splitlines())
+    bullets = BSD.replace("1. ", "(a) ").replace("2. ", "* ")
+    parted = MIT.replace("associated documentation files", "associated\n\ndocumentation files")
+    texts = [MIT, BSD, BSD + NAMES, GPL, commented, GPL.replace("\n", "\r\n"), bullets, parted.replace("The above", "An above")]
+    found = {r.doc_id: (r.matches, r.n_sentences) for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    gpl = ("GPL-3.0-or-later", 2)
+    assert [found[i] for i in range(8)] == [("MIT", 3), ("BSD-2-Clause", 3), ("BSD-3-Clause", 4), gpl, gpl, gpl, ("BSD-2-Clause", 3), ("", 1)]
+
+
 def test_counts_equal_the_library(spark, odd, none):
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     truth = sorted((i or 0, len(library.encode(t or ""))) for i, t, *_ in rows())
