@@ -2,7 +2,7 @@
 
 A rotation is three rounds of random signs and a Hadamard transform. Its hash is the axis of the
 polytope nearest to the rotated vector; HASHES of them make the code of a table. A vector lies in
-its own bucket of each of TABLES tables and also in the PROBES buckets that its runner-up axes
+its own bucket of each table (`tables_for` says how many) and also in the PROBES buckets that its runner-up axes
 make likeliest. Pairs of a bucket, one of them in its own, are verified by cosine.
 
 Equal vectors are one node. Verified links give components; inside a component all pairs are then
@@ -16,6 +16,7 @@ last; repeated rows are links like any other; an empty table gives no rows; othe
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 from itertools import product
 
 import numpy as np
@@ -28,8 +29,9 @@ from plinth.llm.common import map_arrow, written
 from plinth.llm.linking import linked
 
 THRESHOLD = 0.9
-#: At cosine 0.9 a table finds a pair with probability 0.6, so twelve miss one in 70,000.
+#: The least tables; longer vectors get more, so that a pair at the threshold is missed once in MISSES.
 TABLES, HASHES, PROBES = 12, 3, 16
+MISSES = 70_000
 #: Runner-up axes of each hash that probes are made of.
 RUNNERS = 4
 #: Nodes of one block of the exact count.
@@ -78,6 +80,24 @@ def codes(vectors: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probe
     return out
 
 
+def found_share(length: int, threshold: float, hashes: int, probes: int, tables: int = 4, pairs: int = 512) -> float:
+    """Share of random pairs at the threshold that one table finds, by a seeded simulation."""
+    draw = np.random.default_rng([SEED, length])
+    one, other = draw.normal(size=(2, pairs, length))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    other -= (one * other).sum(1, keepdims=True) * one
+    other *= np.sqrt(1 - threshold**2) / np.maximum(np.linalg.norm(other, axis=1, keepdims=True), 1e-300)
+    a, b = (codes(x, tables, hashes, probes) for x in (one, threshold * one + other))
+    return float(((a == b[:, :, :1]) | (b == a[:, :, :1])).any(2).mean())
+
+
+@cache
+def tables_for(length: int, threshold: float = THRESHOLD, hashes: int = HASHES, probes: int = PROBES) -> int:
+    """Tables that miss one pair in MISSES at the threshold for vectors of a length, TABLES at least."""
+    share = found_share(max(2, 1 << (length - 1).bit_length()), threshold, hashes, probes)
+    return max(TABLES, int(np.ceil(np.log(MISSES) / -np.log1p(-min(max(share, 1e-3), 1 - 1e-9)))))
+
+
 def _valid(vector: list | None) -> np.ndarray | None:
     if not vector or any(x is None for x in vector):
         return None
@@ -104,7 +124,7 @@ def _units(packed: list[bytes]) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def buckets(nodes: DataFrame, tables: int, hashes: int, probes: int) -> DataFrame:
+def buckets(nodes: DataFrame, tables: int | None, hashes: int, probes: int, threshold: float) -> DataFrame:
     """bucket, node, own: where the vectors of `nodes` lie."""
 
     def run(rows: pa.Table) -> pa.Table:
@@ -112,7 +132,7 @@ def buckets(nodes: DataFrame, tables: int, hashes: int, probes: int) -> DataFram
         parts = []
         for size in sorted({len(p) for p in packed}):
             chosen = [i for i, p in enumerate(packed) if len(p) == size]
-            found = codes(_units([packed[i] for i in chosen]), tables, hashes, probes)
+            found = codes(_units([packed[i] for i in chosen]), tables or tables_for(size // 8, threshold, hashes, probes), hashes, probes)
             own = np.zeros(found.shape, bool)
             own[:, :, 0] = True
             each = found.shape[1] * found.shape[2]
@@ -196,13 +216,13 @@ def link_counts(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFra
     return found.groupBy(F.col("node").alias("_n")).agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES) -> DataFrame:
+def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, tables: int | None = None, hashes: int = HASHES, probes: int = PROBES) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector."""
     rows = written(hashed(vectors, vec_id, embedding))
     first = F.struct(F.col("vec_id").isNull().alias("none"), F.col("vec_id").alias("vec_id"))
     nodes = written(rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("vector").alias("vector"), F.count("*").alias("n"), F.min(first).alias("first")))
     items = lambda wanted: nodes.select("node", "vector").join(wanted, "node", "left_semi")
-    roots = linked(buckets(nodes, tables, hashes, probes), items, lambda both: _similar(both, threshold), _near(threshold))
+    roots = linked(buckets(nodes, tables, hashes, probes, threshold), items, lambda both: _similar(both, threshold), _near(threshold))
     counted = link_counts(nodes, roots, threshold)
     placed = nodes.join(roots.withColumnRenamed("node", "_m"), F.col("node") == F.col("_m"), "left").select("node", "n", "first", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy(F.col("root").alias("_r")).agg(F.min("first").alias("least"))

@@ -61,6 +61,25 @@ def test_embeddings_by_brute_force(spark):
     assert embeddings.near_duplicates(frame.where("false")).count() == 0
 
 
+def test_spokes_of_one_vector(spark):
+    """Each reaches the threshold with the centre, hardly with each other."""
+    draw = np.random.default_rng(6)
+    centre, noise = draw.normal(size=64), draw.normal(size=(1000, 64))
+    centre /= np.linalg.norm(centre)
+    noise -= np.outer(noise @ centre, centre)
+    spokes = 0.905 * centre + np.sqrt(1 - 0.905**2) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    data = [(i, [float(x) for x in v]) for i, v in enumerate([centre, *spokes])]
+    found = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    assert found[0].n_links == 1000 and {r.component_id for r in found.values()} == {0}
+
+
+def test_tables_grow_with_the_length():
+    for length in (64, 256):
+        missed = (1 - embeddings.found_share(length, 0.9, 3, 16, tables=6, pairs=300)) ** embeddings.tables_for(length)
+        assert missed < 2 / embeddings.MISSES
+    assert embeddings.tables_for(256) > embeddings.tables_for(64) >= embeddings.TABLES
+
+
 def test_block_counts_do_not_depend_on_block_size(spark, monkeypatch):
     draw = np.random.default_rng(4)
     data = [(i, [float(x) for x in 1 + draw.normal(size=8) * 0.2]) for i in range(120)]
