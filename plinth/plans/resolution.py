@@ -195,7 +195,7 @@ def _(s):
     select a.name as left_name, b.name as right_name, round({sp.jaccard('a.g', 'b.g')}, 6) as sim
     from a, b where {sp.jaccard('a.g', 'b.g')} > 0.3""")
 def _(s):
-    lines, titles = s.sql(f"select {LINE} as line from documents"), s.sql(f"select {TITLE} as title from pages")
+    lines, titles = s.sql("select distinct explode(split(text, '\\n')) as line from documents"), s.sql(f"select {TITLE} as title from pages")
     return simjoin.similar_pairs(lines, titles, 0.3, "line", "title").withColumn("sim", F.round("sim", 6))
 
 

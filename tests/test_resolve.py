@@ -2,11 +2,13 @@
 
 import random
 import re
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from plinth.functions.text import name_aliases, normalize_name
 from plinth.operators import resolve, simjoin
+from plinth.plans import catalog
 from plinth.schema import entity_id
 from plinth.functions.text import slug_of
 
@@ -117,3 +119,13 @@ def test_mentions_prefer_the_longest_name(spark):
     firms = spark.createDataFrame([(7, "alpha"), (8, "alpha works"), (5, "alpha works"), (9, "new")], "id int, canonical_name string")
     got = {r["k"]: (r["id"], r["canonical_name"]) for r in simjoin.match_mentions(titles, firms, "k", "t").collect()}
     assert got == {1: (5, "alpha works"), 2: (7, "alpha")}
+
+
+def test_all_lines_of_documents_meet_page_titles(spark, tmp_path):
+    for path in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        if path.name not in ("documents.parquet", "pages.parquet"):
+            (tmp_path / path.name).symlink_to(path)
+    spark.createDataFrame([(1, "first line\nsecond\ngreat page titles", "en", "a", 30), (2, None, "en", "a", 0)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "u", "<title>Great page title</title>")], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = catalog()["documents_like_page_titles"].run(spark, str(tmp_path)).collect()
+    assert [(r.left_name, r.right_name) for r in found] == [("great page titles", "Great page title")]
