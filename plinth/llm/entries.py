@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import embeddings, licences, minhash, mixing, pieces, quality_classifier, quality_rules, repeats, secrets, token_counts
+from plinth.llm import alignment, embeddings, licences, minhash, mixing, pieces, quality_classifier, quality_rules, repeats, secrets, token_counts
 from plinth.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_MODEL = "byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -252,3 +253,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_repeats")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(table(spark, sf_dir, "documents"))
+
+
+@register("op11_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_MODEL), public_tokenizers.path(PIECE_MODEL))
