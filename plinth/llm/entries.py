@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import alignment, embeddings, licences, minhash, mixing, pieces, quality_classifier, quality_rules, repeats, secrets, token_counts
+from plinth.llm import alignment, embeddings, filter_audit, licences, minhash, mixing, pieces, quality_classifier, quality_rules, repeats, secrets, token_counts
 from plinth.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -258,3 +258,52 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op11_alignment")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_MODEL), public_tokenizers.path(PIECE_MODEL))
+
+
+#: Every document is led through every order, step by step; documents that fail alike are counted first.
+AUDIT_SQL = f"""
+with docs as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{_WORD}') as w from documents
+),
+firsts as (select t, min(doc_id) as least from docs group by t),
+marks as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+judged as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+    case when len(w) < 200 then 'A' else '' end
+    || case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end
+    || case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) then 'C' else '' end
+    || case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end
+    || case when docs.doc_id > least then 'E' else '' end as fails
+  from docs join firsts using (t) left join marks on marks.doc_id = docs.doc_id
+),
+counted as (select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from judged group by part, fails),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (
+  select a.x || b.x || c.x || d.x || e.x as filter_order
+  from letters a join letters b on b.x <> a.x join letters c on c.x not in (a.x, b.x)
+  join letters d on d.x not in (a.x, b.x, c.x) join letters e on e.x not in (a.x, b.x, c.x, d.x)
+),
+steps as (select filter_order, unnest(range(1, 6))::integer as step from orders),
+led as (
+  select part, filter_order, step, n, good, toxic, substr(filter_order, step, 1) as x, fails,
+    length(translate(substr(filter_order, 1, step - 1), fails, '')) = step - 1 as there,
+    contains(fails, substr(filter_order, step, 1)) as failing
+  from counted, steps
+),
+summed as (
+  select part, filter_order, step, x, coalesce(sum(n) filter (there and not failing), 0)::bigint as kept,
+    coalesce(sum(n) filter (there and failing), 0)::bigint as removed, coalesce(sum(n) filter (failing and not there), 0)::bigint as redundant,
+    coalesce(sum(n) filter (fails = x), 0)::bigint as unique_fails,
+    coalesce(sum(good) filter (there and failing), 0)::bigint as good_lost, coalesce(sum(toxic) filter (there and failing), 0)::bigint as toxic_lost
+  from led group by part, filter_order, step, x
+)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) over (partition by part, x))::bigint as shapley
+from summed
+"""
+
+
+@register("op13_filter_audit", AUDIT_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = filter_audit.five_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_audit.audit(judged, filter_audit.LETTERS, losses=("good", "toxic"))

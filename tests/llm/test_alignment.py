@@ -22,9 +22,11 @@ TEXTS = [
 ]
 
 
+ALPHABET = alignment.byte_alphabet()
+
+
 def bytes_of_a(token: str) -> bytes:
-    table = alignment.byte_alphabet()
-    return bytes(table[c] for c in token)
+    return bytes(ALPHABET[c] for c in token)
 
 
 def brute(texts):
