@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import alignment, embeddings, filter_audit, licences, minhash, mixing, pieces, quality_classifier, quality_rules, repeats, secrets, token_counts
+from plinth.llm import alignment, embeddings, filter_audit, licences, minhash, mixing, pieces, quality_classifier, quality_rules, repeats, secrets, token_counts, warc
 from plinth.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -307,3 +307,21 @@ from summed
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = filter_audit.five_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return filter_audit.audit(judged, filter_audit.LETTERS, losses=("good", "toxic"))
+
+
+#: Five hexadecimal digits are four digits of base 32.
+WARC_SQL = """
+with bodies as (select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as hex from pages),
+most as (select body, max(page_id) as most from bodies group by body)
+select page_id, octet_length(encode(body))::bigint as payload_bytes,
+  list_aggregate(list_transform(range(0, 8), lambda i: list_aggregate(list_transform([15, 10, 5, 0],
+    lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hex, (5 * i + 1)::integer, 5))::bigint >> s) & 31) + 1)::integer, 1)), 'string_agg', '')), 'string_agg', '') as payload_digest,
+  case when page_id is not distinct from most then 'response' else 'revisit' end as record_type,
+  case when page_id is not distinct from most then null else most end as refers_to
+from bodies join most using (body)
+"""
+
+
+@register("op12_warc", WARC_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
