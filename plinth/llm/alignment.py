@@ -22,10 +22,11 @@ named columns are read, so others never clash.
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +40,9 @@ from plinth.llm.common import map_arrow, written
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _SPACE = "▁"
-#: Units that are encoded in one call, and nonzeros that one product expands at a time.
-ENCODE_UNITS = 20_000
-PRODUCT_ITEMS = 4_000_000
+#: Units that are encoded and multiplied together, and nonzeros that one product expands at a time.
+ENCODE_UNITS = 8_000
+PRODUCT_ITEMS = 500_000
 
 
 @dataclass
@@ -133,22 +134,52 @@ class Units:
         totals = np.concatenate([[0], np.cumsum(values)])
         return totals[ends] - totals[np.concatenate([[0], ends[:-1]])]
 
-    def group_texts(self) -> list[str]:
-        """Per unit `a1,a2|b1;a3|b2`."""
-        a, b = (list(map(str, x.tolist())) for x in (self.a_ids, self.b_ids))
-        ends_a, ends_b = self.group_a.tolist(), self.group_b.tolist()
-        groups = [
-            f"{','.join(a[i:j])}|{','.join(b[k:m])}"
-            for i, j, k, m in zip([0, *ends_a[:-1]], ends_a, [0, *ends_b[:-1]], ends_b)
-        ]
-        ends = self.group_ends.tolist()
-        return [";".join(groups[i:j]) for i, j in zip([0, *ends[:-1]], ends)]
+    @staticmethod
+    def joined(parts: list["Units"]) -> "Units":
+        """Units of several parts, numbered on."""
+        shift = lambda name, of: np.concatenate([x + o for x, o in zip((getattr(p, name) for p in parts), of)])
+        plain = lambda name: np.concatenate([getattr(p, name) for p in parts])
+        before = lambda sizes: np.cumsum([0, *sizes[:-1]])
+        a, b = before([len(p.a_ids) for p in parts]), before([len(p.b_ids) for p in parts])
+        groups, links = before([len(p.group_a) for p in parts]), before([len(p.links.indices) for p in parts])
+        table = Csr(
+            np.concatenate([[0], *(p.links.indptr[1:] + o for p, o in zip(parts, links))]),
+            np.concatenate([p.links.indices + o for p, o in zip(parts, b)]).astype(np.int32),
+            np.concatenate([p.links.values for p in parts]).astype(np.int32), sum(len(p.b_ids) for p in parts),
+        )
+        return Units(
+            plain("valid"), plain("a_ids"), plain("b_ids"), shift("a_ends", a), shift("b_ends", b), shift("group_ends", groups),
+            shift("link_ends", links), shift("group_a", a), shift("group_b", b), table, plain("shared"),
+        )
+
+    def group_texts(self, pieces: list[str], n_a: int, n_b: int) -> list[str]:
+        """Per unit `a1,a2|b1;a3|b2;`, of `pieces`: the ids of A before a comma, before a bar, of B before a comma, before a semicolon."""
+        groups = np.arange(len(self.group_a))
+        in_a, in_b = (np.repeat(groups, np.diff(ends, prepend=0)) for ends in (self.group_a, self.group_b))
+        order = np.empty(len(self.a_ids) + len(self.b_ids), np.int32)
+        # A token stands behind those of its own side before it and those of the other side of the groups before it.
+        at_a = np.arange(len(in_a)) + np.concatenate([[0], self.group_b])[in_a]
+        at_b = np.arange(len(in_b)) + self.group_a[in_b]
+        order[at_a], order[at_b] = self.a_ids, self.b_ids + 2 * n_a
+        order[at_a[self.group_a - 1]] += n_a
+        order[at_b[self.group_b - 1]] += n_b
+        out: list[str] = []
+        ends = self.a_ends + self.b_ends
+        for at in range(0, len(ends), ENCODE_UNITS):
+            part = ends[at : at + ENCODE_UNITS]
+            first = int(ends[at - 1]) if at else 0
+            words = list(map(pieces.__getitem__, order[first : part[-1]].tolist()))
+            stops = [0, *(part - first).tolist()]
+            out += ["".join(words[i:j]) for i, j in zip(stops, stops[1:])]
+        return out
 
 
 class Aligner:
     """Two tokenizers and the bytes of their ids."""
 
     def __init__(self, path_a: str, path_b: str) -> None:
+        # Spark's tasks are the threads.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
@@ -161,6 +192,8 @@ class Aligner:
             bytes([int(n[3:5], 16)]) if self.b.is_byte(i) else n.replace(_SPACE, " ").encode() for i, n in enumerate(names)
         ]
         self.splits = not any(re.search(f"[^{_SPACE}]{_SPACE}", n) for n in names)
+        # Ids with what follows them in the text of the groups.
+        self.pieces = [f"{i}{mark}" for side, marks in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for mark in marks for i in range(len(side))]
         self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
 
     def cut(self, text: str) -> list[str]:
@@ -169,23 +202,38 @@ class Aligner:
     def tokens(self, units: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
         """Ids of A and B of each unit, and whether both give its bytes back; none where they do not."""
         all_a, all_b, valid = [], [], []
-        for at in range(0, len(units), ENCODE_UNITS):
-            part = units[at : at + ENCODE_UNITS]
-            spaced = [" " + u for u in part]
-            ids_a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
-            ids_b = self.b.encode(part, num_threads=1)
-            for text, x, y in zip(spaced, ids_a, ids_b):
-                whole = text.encode()
-                good = whole == b"".join(map(self.a_bytes.__getitem__, x)) and whole == b"".join(map(self.b_bytes.__getitem__, y))
-                all_a.append(x if good else [])
-                all_b.append(y if good else [])
-                valid.append(good)
+        spaced = [" " + u for u in units]
+        ids_a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+        ids_b = self.b.encode(units, num_threads=1)
+        whole = "".join(spaced).encode()
+        if all(whole == b"".join(map(table.__getitem__, chain.from_iterable(ids))) for table, ids in ((self.a_bytes, ids_a), (self.b_bytes, ids_b))):
+            # Equal as a whole, so equal each if the lengths are.
+            sizes = np.fromiter(map(len, map(str.encode, spaced)), np.int64)
+            if all((self._sizes(table, ids) == sizes).all() for table, ids in ((self.a_sizes, ids_a), (self.b_sizes, ids_b))):
+                return ids_a, ids_b, np.ones(len(units), bool)
+        for text, x, y in zip(spaced, ids_a, ids_b):
+            whole = text.encode()
+            good = whole == b"".join(map(self.a_bytes.__getitem__, x)) and whole == b"".join(map(self.b_bytes.__getitem__, y))
+            all_a.append(x if good else [])
+            all_b.append(y if good else [])
+            valid.append(good)
         return all_a, all_b, np.array(valid, bool)
 
+    @staticmethod
+    def _sizes(table: np.ndarray, ids: list[list[int]]) -> np.ndarray:
+        """Bytes of each list of ids."""
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64))
+        along = np.concatenate([[0], np.cumsum(table[np.fromiter(chain.from_iterable(ids), np.int64)])])
+        return np.diff(along[ends], prepend=0)
+
     def units(self, units: list[str]) -> Units:
+        """Tokens, groups and links of distinct units, a part at a time."""
+        return Units.joined([self._part(units[at : at + ENCODE_UNITS]) for at in range(0, max(len(units), 1), ENCODE_UNITS)])
+
+    def _part(self, units: list[str]) -> Units:
         all_a, all_b, valid = self.tokens(units)
         a_ends, b_ends = (np.cumsum([len(x) for x in ids]).astype(np.int64) for ids in (all_a, all_b))
-        a_ids, b_ids = (np.array([i for x in ids for i in x], np.int64) for ids in (all_a, all_b))
+        a_ids, b_ids = (np.fromiter(chain.from_iterable(ids), np.int32) for ids in (all_a, all_b))
         a, b = tiling(self.a_sizes[a_ids]), tiling(self.b_sizes[b_ids])
         links = row_products(a, transposed(b))
         bounds = np.intersect1d(a.indptr[1:], b.indptr[1:], assume_unique=True)
@@ -207,20 +255,22 @@ class Aligner:
 
     def batch(self, texts: list[str | None]) -> tuple[Units, np.ndarray, np.ndarray, list[bool]]:
         """Units of a batch, the units of its texts one after the other, where each text ends, and which texts have tokens."""
-        known: dict[str, int] = {}
-        rows = [[known.setdefault(u, len(known)) for u in self.cut(t)] if t else [] for t in texts]
+        parts = [self.cut(t) if t else [] for t in texts]
+        known = dict.fromkeys(chain.from_iterable(parts))
+        known.update(zip(known, range(len(known))))
+        rows = [np.fromiter(map(known.__getitem__, units), np.int32, len(units)) for units in parts]
+        del parts
         found = self.units(list(known))
-        bad = set(np.flatnonzero(~found.valid).tolist())
-        if bad:
+        if not found.valid.all():
             # Judged as a whole: the text is one unit.
-            again = [i for i, row in enumerate(rows) if not bad.isdisjoint(row)]
+            again = [i for i, row in enumerate(rows) if not found.valid[row].all()]
             for i in again:
-                rows[i] = [known.setdefault(texts[i], len(known))]
-            found = self.units(list(known))
+                rows[i] = np.array([known.setdefault(texts[i], len(known))], np.int32)
+            found = Units.joined([found, self.units(list(known)[len(found.valid) :])])
             for i in again:
-                rows[i] = rows[i] if found.valid[rows[i][0]] else []
+                rows[i] = rows[i] if found.valid[rows[i][0]] else rows[i][:0]
         ends = np.cumsum([len(r) for r in rows]).astype(np.int64)
-        return found, np.array([u for r in rows for u in r], np.int64), ends, [bool(r) for r in rows]
+        return found, np.concatenate([np.zeros(0, np.int32), *rows]), ends, [len(r) > 0 for r in rows]
 
 
 _LOADED: dict[tuple[str, str], Aligner] = {}
@@ -288,12 +338,12 @@ def _measured(docs: DataFrame, path_a: str, path_b: str, doc_id: str, text: str)
                 np.diff(units.link_ends, prepend=0), units.sums(units.shared, units.a_ends),
             )
         ]
-        groups, each, starts = units.group_texts(), picked.tolist(), [0, *ends.tolist()]
+        groups, starts = units.group_texts(machine.pieces, len(machine.a_bytes), len(machine.b_bytes)), [0, *ends.tolist()]
         digests = [
-            sha256(";".join([groups[u] for u in each[i:j]]).encode()).hexdigest() if good else ""
+            sha256("".join([groups[u] for u in picked[i:j].tolist()])[:-1].encode()).hexdigest() if good else ""
             for i, j, good in zip(starts, starts[1:], valid)
         ]
-        pairs = units.a_ids[units.links.rows()] * len(machine.b_bytes) + units.b_ids[units.links.indices]
+        pairs = units.a_ids[units.links.rows()].astype(np.int64) * len(machine.b_bytes) + units.b_ids[units.links.indices]
         distinct, pair_of = np.unique(pairs, return_inverse=True)
         used = np.bincount(picked, minlength=len(units.valid))
         counted = np.bincount(pair_of, np.repeat(used, np.diff(units.link_ends, prepend=0)), minlength=len(distinct)).astype(np.int64)
