@@ -111,7 +111,7 @@ def tags_of(entity_tags: DataFrame, tags: DataFrame, n: int = 10) -> DataFrame:
 
 
 def entities_for_tag(
-    tag_slug: str, tags: DataFrame, entity_tags: DataFrame, firms: DataFrame, people: DataFrame,
+    tag_slug: str | Column, tags: DataFrame, entity_tags: DataFrame, firms: DataFrame, people: DataFrame,
 ) -> DataFrame:
     """Public firms and people that hold the tag, people with their firm's name."""
     holders = entity_tags.join(

@@ -81,15 +81,18 @@ def _(s):
     return detail.tags_of(s.entity_tags, s.tags).select("entity_type", "entity_id", "place", "slug")
 
 
+FIRST_TAG = "select min(slug) as slug from v_tags where name like 'Tag %'"
+
+
 @query("entities_for_tag", f"""
-    with h as (select e.* from v_entity_tags e join v_tags t on t.id = e.tag_id where t.slug = 'supplier-000000003')
+    with h as (select e.* from v_entity_tags e join v_tags t on t.id = e.tag_id where t.slug = ({FIRST_TAG}))
     select 'firm' as entity_type, id, display_name, cast(null as varchar) as firm_name from v_firms
     where {ACTIVE} and id in (select entity_id from h where entity_type = 'firm')
     union all
     select 'person', p.id, p.display_name, f.display_name from v_people p left join v_firms f on f.id = p.current_firm_id
     where p.publish_status = 'published' and p.id in (select entity_id from h where entity_type = 'person')""")
 def _(s):
-    return detail.entities_for_tag("supplier-000000003", s.tags, s.entity_tags, s.firms, s.people)
+    return detail.entities_for_tag(s.sql(FIRST_TAG).scalar(), s.tags, s.entity_tags, s.firms, s.people)
 
 
 @query("canonical_targets", """

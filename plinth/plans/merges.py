@@ -103,13 +103,13 @@ def _(s):
     return merge.link_edges(old, s.sql(LINKS), ["entity_id", "entity_type", "source_id"], [F.asc("pos")])
 
 
-WON = "select award_id, firm_id, person_id, year, project_name, award_id * 7 as pos from v_recipients where project_name is not null"
+WON = "select award_id, firm_id, person_id, year, project_name, award_id * 7 as pos from v_recipients"
 
 
 @query("link_recipients_null_safe", f"""
     select distinct award_id, firm_id, person_id, year from (
         select award_id, firm_id, person_id, year from v_recipients
-        union all select award_id, firm_id, cast(null as bigint), year from v_recipients where project_name is not null)""")
+        union all select award_id, firm_id, cast(null as bigint), year from v_recipients)""")
 def _(s):
     keys = ["award_id", "firm_id", "person_id", "year"]
     old = s.recipients.select(*keys).distinct()
@@ -156,7 +156,7 @@ def _(s):
     return merge.enqueue(s.queue, s.sql(WANTED))
 
 
-OUTCOMES = "select event_id as id, value > 50 as ok, 'too low' as error from events where event_type <> 'signup'"
+OUTCOMES = "select event_id as id, value > 50 as ok, 'too low' as error from events"
 
 
 @query("queue_transition", f"""
@@ -186,7 +186,7 @@ def _(s):
 
 
 DECISIONS = """select event_id as id, case event_id % 3 when 0 then 'accept' when 1 then 'reject' else 'skip' end as decision,
-    'at ' || cast(event_id as string) as at from events where event_type <> 'error'"""
+    'at ' || cast(event_id as string) as at from events"""
 
 
 @query("apply_review", f"""

@@ -177,7 +177,6 @@ def _(s):
 
 
 TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
-LINE = "split_part(text, chr(10), 1)"
 
 
 @query("similar_page_titles", f"""
@@ -190,7 +189,7 @@ def _(s):
 
 
 @query("documents_like_page_titles", f"""
-    with d as (select distinct {LINE} as name from documents), p as (select distinct {TITLE} as name from pages),
+    with d as (select distinct unnest(string_split(text, chr(10))) as name from documents), p as (select distinct {TITLE} as name from pages),
     a as (select name, {sp.trigrams('name')} as g from d), b as (select name, {sp.trigrams('name')} as g from p)
     select a.name as left_name, b.name as right_name, round({sp.jaccard('a.g', 'b.g')}, 6) as sim
     from a, b where {sp.jaccard('a.g', 'b.g')} > 0.3""")

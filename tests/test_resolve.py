@@ -114,11 +114,15 @@ def test_no_pair_comparison_in_plans(spark):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def test_mentions_prefer_the_longest_name(spark):
+def test_mentions_are_all_names_or_the_longest(spark):
     titles = spark.createDataFrame([(1, "New tower by Alpha Works Berlin"), (2, "alphaworks"), (3, "nothing")], "k int, t string")
     firms = spark.createDataFrame([(7, "alpha"), (8, "alpha works"), (5, "alpha works"), (9, "new")], "id int, canonical_name string")
-    got = {r["k"]: (r["id"], r["canonical_name"]) for r in simjoin.match_mentions(titles, firms, "k", "t").collect()}
-    assert got == {1: (5, "alpha works"), 2: (7, "alpha")}
+
+    def found(best):
+        return {(r["k"], r["id"], r["canonical_name"]) for r in simjoin.match_mentions(titles, firms, "k", "t", best=best).collect()}
+
+    assert found(False) == {(1, 5, "alpha works"), (1, 7, "alpha"), (2, 7, "alpha")}
+    assert found(True) == {(1, 5, "alpha works"), (2, 7, "alpha")}
 
 
 def test_all_lines_of_documents_meet_page_titles(spark, tmp_path):
