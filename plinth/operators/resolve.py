@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions.text import name_aliases, normalize_name, slug_of
 from plinth.operators.ranking import number_rows
+from plinth.operators.simindex import SimilarityIndex
 from plinth.operators.simjoin import best_match, similar_pairs, similar_pairs_within
 from plinth.schema import entity_id
 from plinth.session import cut_lineage
@@ -60,11 +61,12 @@ def not_in_by_id(rows: DataFrame, targets: DataFrame, column: str = "wikidata_id
 
 def name_outcomes(
     names: DataFrame, targets: DataFrame, aliases: DataFrame, kind: str, trigram: bool = True,
-    follow_merges: bool = False,
+    follow_merges: bool = False, index: SimilarityIndex | None = None,
 ) -> DataFrame:
     """Per distinct `normalized`: stage, matched id and similarity against what is known.
 
-    Cheap equality stages come first; the similarity join sees what they left.
+    Cheap equality stages come first; the similarity join sees what they left. With `index`, a stored
+    index of the live targets' names, they are met there and not prepared anew.
     """
     staged = match_alias(
         match_exact(names.select("normalized").distinct(), targets, kind), aliases, kind,
@@ -73,7 +75,12 @@ def name_outcomes(
         return _outcome(staged.withColumn("near_id", F.lit(None).cast(targets.schema["id"].dataType)).withColumn(
             "sim", F.lit(None).cast("double")))
     open_names = staged.where(F.col("exact_id").isNull() & F.col("alias_id").isNull()).select("normalized")
-    near = best_match(open_names, live_targets(targets, kind), "normalized", (AUTO, REVIEW)).withColumnRenamed("id", "near_id")
+    live = live_targets(targets, kind)
+    if index is None:
+        near = best_match(open_names, live, "normalized", (AUTO, REVIEW))
+    else:
+        near = index.best(open_names, "normalized", live, (AUTO, REVIEW))
+    near = near.withColumnRenamed("id", "near_id")
     return _outcome(staged.join(near, "normalized", "left"))
 
 
@@ -100,7 +107,7 @@ def _finished(rows: DataFrame, kind: str, keep: list[str]) -> DataFrame:
 
 def resolve(
     candidates: DataFrame, targets: DataFrame, aliases: DataFrame, kind: str, trigram: bool = True,
-    id_column: str | None = None, follow_merges: bool = False,
+    id_column: str | None = None, follow_merges: bool = False, index: SimilarityIndex | None = None,
 ) -> DataFrame:
     """Resolve `candidates` (with `name`) against known targets and aliases, all rows at once.
 
@@ -115,7 +122,7 @@ def resolve(
         open_rows = named.where(F.col("matched_id").isNull())
     else:
         open_rows = named
-    outcomes = name_outcomes(open_rows, targets, aliases, kind, trigram, follow_merges)
+    outcomes = name_outcomes(open_rows, targets, aliases, kind, trigram, follow_merges, index)
     joined = named.join(outcomes, "normalized", "left")
     if id_column:
         by_id = F.col("matched_id").isNotNull()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions.similarity import grams, jaccard, trigram_codes
 from plinth.operators.ranking import top_n
+from plinth.session import write_once
 
 BUCKETS = 16384
 #: Of the grams that names are filed under: a fixed size, fine enough to drop most other grams.
@@ -45,7 +46,7 @@ def rare_first(df: DataFrame, grams_column: str, frequencies: DataFrame) -> Data
     return with_counts.withColumn(grams_column, ordered).drop("_freq")
 
 
-def _signatures(grams_column: str) -> list[Column]:
+def signatures(grams_column: str) -> list[Column]:
     """Four 64-bit words with one bit set per gram, by hash."""
     def word(number: int) -> Column:
         def add(bits: Column, gram: Column) -> Column:
@@ -65,7 +66,7 @@ def _missing(mine: str, theirs: str) -> Column:
     return lacking[0] + lacking[1] + lacking[2] + lacking[3]
 
 
-def _prefixes(df: DataFrame, side: str, threshold: float) -> DataFrame:
+def prefix_postings(df: DataFrame, side: str, threshold: float) -> DataFrame:
     """One row per prefix gram, with its place, the set, its size and signature.
 
     The outer form of explode keeps the optimizer from deriving a filter on the set, which would
@@ -80,8 +81,8 @@ def _prefixes(df: DataFrame, side: str, threshold: float) -> DataFrame:
     return exploded.where(F.col("_gram").isNotNull())
 
 
-def _joined(left: DataFrame, right: DataFrame, threshold: float, inclusive: bool, within: bool) -> DataFrame:
-    a, b = _prefixes(left, "left", threshold), _prefixes(right, "right", threshold)
+def join_prefixes(a: DataFrame, b: DataFrame, threshold: float, inclusive: bool, within: bool = False) -> DataFrame:
+    """(left_name, right_name, sim) of two tables of postings that meet above the threshold."""
     la, lb, pa, pb = F.col("left_size"), F.col("right_size"), F.col("left_at") + 1, F.col("right_at") + 1
     sizes = (F.lit(threshold) * la <= lb + 1e-9) & (F.lit(threshold) * lb <= la + 1e-9)
     # Two upper bounds on the shared grams: by place in the order (the smaller place so far plus the
@@ -101,6 +102,10 @@ def _joined(left: DataFrame, right: DataFrame, threshold: float, inclusive: bool
     return met.select("left_name", "right_name", sim.alias("sim"))
 
 
+def _joined(left: DataFrame, right: DataFrame, threshold: float, inclusive: bool, within: bool) -> DataFrame:
+    return join_prefixes(prefix_postings(left, "left", threshold), prefix_postings(right, "right", threshold), threshold, inclusive, within)
+
+
 def spread(df: DataFrame, column: str) -> DataFrame:
     """Rows dealt over all shuffle partitions. Names are small but dear to compare, and by size alone
     the adaptive planner would put them into few tasks."""
@@ -111,7 +116,7 @@ def spread(df: DataFrame, column: str) -> DataFrame:
 def _gram_sets(names: DataFrame, column: str) -> DataFrame:
     distinct = names.select(F.col(column).alias("_name")).distinct().where(F.col("_name").isNotNull())
     sets = spread(distinct, "_name").withColumn("_grams", trigram_codes("_name"))
-    return sets.select("_name", "_grams", *_signatures("_grams"))
+    return sets.select("_name", "_grams", *signatures("_grams"))
 
 
 def similar_pairs(
@@ -153,7 +158,8 @@ def best_match(
     left = names.select(name).distinct()
     found = None
     for tier in tiers:
-        hit = match_trigram(left, targets, name, tier, 1, inclusive=True).select(name, "id", "sim")
+        # Written, for it is read twice: as a result and to take its names out.
+        hit = write_once(match_trigram(left, targets, name, tier, 1, inclusive=True).select(name, "id", "sim"))
         found = hit if found is None else found.unionByName(hit)
         left = left.join(hit.select(name), name, "left_anti")
     return found

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from plinth.operators import audit, resolve, simjoin
+from plinth.operators import audit, resolve, simindex, simjoin
 from plinth.plans import sqlparts as sp
 from plinth.plans.registry import query
+from plinth.session import checkpoint_root
 
 LIVE = "merged_into is null"
 
@@ -53,17 +56,44 @@ def _shown(df):
     return df.select("pos", "match_type", F.round("confidence", 6).alias("confidence"), "entity_id", "suggested_id")
 
 
-@query("resolve_people", f"""
+RESOLVED = f"""
     with {_outcomes(CANDIDATES)},
     r as (select nm.pos, nm.normalized, case when w.id is not null then 'wikidata' else o.match_type end as match_type,
                  coalesce(w.id, o.target_id) as target_id, o.sim
           from nm join o on o.normalized = nm.normalized
           left join (select wikidata_id, min(id) as id from v_people where wikidata_id is not null group by 1) w on w.wikidata_id = nm.wikidata_id)
-    select pos, match_type, {_RESULT} from r""")
+    select pos, match_type, {_RESULT} from r"""
+
+
+@query("resolve_people", RESOLVED)
 def _(s):
     return _shown(resolve.resolve(s.sql(CANDIDATES), s.people, s.aliases, "person", id_column="wikidata_id"))
 
 
+def _name_index(s):
+    """The names of published people, with those of the others filed later."""
+    people = s.people
+    index = simindex.build(people.where("publish_status = 'published'"), "canonical_name", f"{checkpoint_root(s.spark)}/names-{uuid.uuid4().hex}", 0.5)
+    index.extend(people, "canonical_name")
+    return index
+
+
+@query("resolve_people_indexed", RESOLVED)
+def _(s):
+    return _shown(resolve.resolve(s.sql(CANDIDATES), s.people, s.aliases, "person", id_column="wikidata_id", index=_name_index(s)))
+
+
+@query("similar_names_indexed", f"""
+    with a as (select name, {sp.trigrams('name')} as g from (select distinct {sp.normalize('name')} as name from ({CANDIDATES}))),
+    b as (select canonical_name, {sp.trigrams('canonical_name')} as g from (select distinct canonical_name from v_people))
+    select name as left_name, canonical_name as right_name, round({sp.jaccard('a.g', 'b.g')}, 6) as sim
+    from a, b where {sp.jaccard('a.g', 'b.g')} > 0.5""")
+def _(s):
+    from plinth.functions.text import normalize_name
+    index = _name_index(s).compact(f"{checkpoint_root(s.spark)}/names-{uuid.uuid4().hex}")
+    return index.pairs(s.sql(CANDIDATES).select(normalize_name("name").alias("name")), "name", 0.5).withColumn("sim", F.round("sim", 6))
+
+
 @query("resolve_simple", f"""
     with {_outcomes(CANDIDATES, trigram=False)}
     select nm.pos, o.match_type, {_RESULT} from nm join o using (normalized)""")

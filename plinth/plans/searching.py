@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from plinth.functions.fulltext import STOP_WORDS
-from plinth.operators import search
+from plinth.operators import search, searchindex
 from plinth.plans import sqlparts as sp
 from plinth.plans.registry import query
+from plinth.session import checkpoint_root
 
 SEARCHES = """
     select min(p_partkey) as query_id, ' ' || upper(p_name) || ' ' as query, cast(null as string) as sector, cast(null as string) as country
@@ -62,7 +65,7 @@ TAGGED = f"""
            (select entity_type, entity_id, {sp.trigrams('alias_normalized')} as g from v_aliases) group by 1, 2, 3)"""
 
 
-@query("search_directory", f"""
+SEARCHED = f"""
     with {_base()}, {TAGGED},
     j as (select q.query_id, e.entity_type, e.id, e.display_name,
                  greatest(ns.sim * 2.0, coalesce(al.alias_sim * 1.5, 0), coalesce(fr.fts, 0), case when tg.id is not null then 0.4 else 0 end) as rank
@@ -74,13 +77,51 @@ TAGGED = f"""
           left join tg on tg.query_id = q.query_id and tg.entity_type = e.entity_type and tg.id = e.id
           where ns.sim > 0.35 or coalesce(al.alias_sim, 0) > 0.35 or tg.id is not null or fr.id is not null),
     r as (select *, cast(row_number() over (partition by query_id, entity_type order by round(rank, 9) desc, id) as int) as place from j)
-    select query_id, entity_type, id, display_name, round(rank, 6) as rank, place from r where place <= 12""")
+    select query_id, entity_type, id, display_name, round(rank, 6) as rank, place from r where place <= 12"""
+
+
+@query("search_directory", SEARCHED)
 def _(s):
     entities = search.searchable(s.firms, s.people)
     found = search.search(s.sql(SEARCHES), entities, s.aliases, s.tags, s.entity_tags)
     return found.select("query_id", "entity_type", "id", "display_name", F.round("rank", 6).alias("rank"), "place")
 
 
+def _indexed(s, extended: bool = False):
+    """A search index of the directory; `extended` files the firms of one sector later, as a second segment."""
+    entities = search.searchable(s.firms, s.people)
+    first = entities.where("sector <> 'design'") if extended else entities
+    index = searchindex.build(first, s.aliases, s.tags, f"{checkpoint_root(s.spark)}/search-{uuid.uuid4().hex}")
+    if extended:
+        index.extend(entities, s.aliases, s.tags)
+        index.extend(entities)
+    return index
+
+
+def _found(s, index):
+    found = index.search(s.sql(SEARCHES), s.aliases, s.tags, s.entity_tags)
+    return found.select("query_id", "entity_type", "id", "display_name", F.round("rank", 6).alias("rank"), "place")
+
+
+@query("search_indexed", SEARCHED)
+def _(s):
+    return _found(s, _indexed(s))
+
+
+@query("search_extended_index", SEARCHED)
+def _(s):
+    return _found(s, _indexed(s, extended=True))
+
+
+@query("index_words", f"""
+    with {_base()} select entity_type, word, count(distinct id) as n, max(c) as most from (
+        select entity_type, id, word, count(*) as c from tk where not list_contains({STOPS}, word) group by all) group by entity_type, word""")
+def _(s):
+    index = _indexed(s, extended=True)
+    most = index.postings().groupBy("entity_type", "word").agg(F.max("most").cast("long").alias("most"))
+    return index.words().join(most, ["entity_type", "word"])
+
+
 @query("search_v1", f"""
     with {_base()},
     j as (select q.query_id, e.entity_type, e.id, e.display_name, greatest(ns.sim, coalesce(fr.fts, 0)) as rank
