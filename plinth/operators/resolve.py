@@ -10,7 +10,7 @@ from plinth.operators.ranking import number_rows
 from plinth.operators.simindex import SimilarityIndex
 from plinth.operators.simjoin import best_match, similar_pairs, similar_pairs_within
 from plinth.schema import entity_id
-from plinth.session import cut_lineage
+from plinth.session import write_once
 
 AUTO, REVIEW = 0.85, 0.6
 
@@ -147,29 +147,27 @@ def to_review(resolved: DataFrame, kind: str) -> DataFrame:
 def creators(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Names that create an entity: those without an earlier creator among their neighbours.
 
-    `nodes` has `normalized`; `edges` has (later, earlier) between nodes. Rounds decide every node
-    without an undecided earlier neighbour, and absorb its later neighbours. Each round is written
-    to the checkpoint folder, so the plan stays short and survives lost executors.
+    `nodes` has `normalized`; `edges` has (later, earlier) between nodes. In each round the names that
+    no undecided earlier neighbour blocks absorb their later neighbours; what is absorbed blocks nobody
+    and leaves with its edges. Only the edges and the absorbed names are kept, both written, so the
+    plan stays short and survives lost executors.
     """
-    undecided = nodes.select("normalized")
-    waiting = cut_lineage(edges.select("later", "earlier").distinct())
-    decided = None
+    waiting = write_once(edges.select("later", "earlier").distinct())
+    absorbed = None
     while not waiting.isEmpty():
-        blocked = waiting.select(F.col("later").alias("normalized")).distinct()
-        roots = undecided.join(blocked, "normalized", "left_anti")
-        absorbed = waiting.join(roots.withColumnRenamed("normalized", "earlier"), "earlier", "left_semi").select(
-            F.col("later").alias("normalized")).distinct()
-        roots, absorbed = cut_lineage(roots), cut_lineage(absorbed)
-        decided = roots if decided is None else decided.unionByName(roots)
-        gone = roots.unionByName(absorbed)
-        undecided = cut_lineage(undecided.join(gone, "normalized", "left_anti"))
-        waiting = cut_lineage(
-            waiting.join(gone.withColumnRenamed("normalized", "later"), "later", "left_anti")
-            .join(gone.withColumnRenamed("normalized", "earlier"), "earlier", "left_anti").select("later", "earlier"))
-    return undecided if decided is None else decided.unionByName(undecided)
+        blocked = waiting.select(F.col("later").alias("earlier")).distinct()
+        met = write_once(waiting.join(blocked, "earlier", "left_anti").select(F.col("later").alias("normalized")).distinct())
+        absorbed = met if absorbed is None else absorbed.unionByName(met)
+        waiting = write_once(
+            waiting.join(blocked, "earlier", "left_semi")
+            .join(met.withColumnRenamed("normalized", "later"), "later", "left_anti")
+            .join(met.withColumnRenamed("normalized", "earlier"), "earlier", "left_anti"))
+    left = nodes.select("normalized")
+    return left if absorbed is None else left.join(absorbed, "normalized", "left_anti")
 
 
-BLOCK = 4096
+#: Names whose pairs are one edge list. Longer batches go on in blocks that double.
+BLOCK = 32768
 
 
 def _called(names: DataFrame) -> DataFrame:
@@ -208,11 +206,11 @@ def _edges_within(names: DataFrame, trigram: bool) -> DataFrame:
 def batch_creators(fresh: DataFrame, trigram: bool = True, block: int = BLOCK) -> DataFrame:
     """(normalized, first) of the names of a batch that create an entity.
 
-    Names are taken in blocks that double in size. A block first meets the creators found so far,
+    Up to `block` names are one edge list. More are taken in blocks that double in size: a block first meets the creators found so far,
     which absorb the copies of names seen before, and only what is left is compared with itself.
     A name with very many near-copies thus costs one match per copy, not one per pair of copies.
     """
-    numbered = cut_lineage(number_rows(fresh, [F.asc("first")], "_no").withColumn(
+    numbered = write_once(number_rows(fresh, [F.asc("first")], "_no").withColumn(
         "_block", F.floor(F.log2(F.col("_no") / F.lit(block) + 1.0)).cast("int")))
     last = numbered.agg(F.max("_block")).first()[0]
     found = None
@@ -220,8 +218,8 @@ def batch_creators(fresh: DataFrame, trigram: bool = True, block: int = BLOCK) -
         names = numbered.where(F.col("_block") == number).select("normalized", "first")
         if found is not None:
             absorbed = _seen_by(names, found, trigram).select(F.col("seer").alias("normalized")).distinct()
-            names = cut_lineage(names.join(absorbed, "normalized", "left_anti"))
-        made = cut_lineage(creators(names, _edges_within(names, trigram)).join(names, "normalized"))
+            names = write_once(names.join(absorbed, "normalized", "left_anti"))
+        made = write_once(creators(names, _edges_within(names, trigram)).join(names, "normalized"))
         found = made if found is None else found.unionByName(made)
     return fresh.limit(0) if found is None else found.select("normalized", "first")
 
@@ -238,10 +236,10 @@ def resolve_batch(
     """
     keep = candidates.columns
     named = candidates.withColumn("normalized", normalize_name("name"))
-    outcomes = cut_lineage(name_outcomes(named, targets, aliases, kind, trigram).withColumn(
+    outcomes = write_once(name_outcomes(named, targets, aliases, kind, trigram).withColumn(
         "target_id", F.col("target_id").cast("string")))
     first = named.groupBy("normalized").agg(F.min(order).alias("first"))
-    open_names = cut_lineage(
+    open_names = write_once(
         outcomes.where(F.col("match_type").isin("trigram", "review", "new")).join(first, "normalized"))
     fresh = open_names.where(F.col("match_type") == "new").select("normalized", "first")
     made = batch_creators(fresh, trigram, block)

@@ -16,10 +16,9 @@ threshold. The result equals `search`.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.functions.fulltext import fts_match, fts_rank
@@ -28,6 +27,7 @@ from plinth.operators import simindex
 from plinth.operators.ranking import top_n
 from plinth.operators.search import _best, _filtered, alias_best_sim, prepared
 from plinth.session import write_once
+from plinth.sources.segments import Segments
 
 BLOCK = 128
 #: Weights of a name, of an alias, of one cover of all words, and the rank of a tag.
@@ -48,45 +48,34 @@ def blocked_postings(entities: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """The folder of a search index and its parts."""
+    """The parts of a search index: segments of `entities`, `postings` and `words`, and three similarity indexes."""
 
-    spark: SparkSession
-    path: str
-
-    def _read(self, part: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{part}")
-
-    def _listed(self, part: str) -> DataFrame:
-        segments = [r["segment"] for r in self._read("segments").select("segment").collect()]
-        return self._read(part).where(F.col("segment").isin(segments)).drop("segment")
+    parts: Segments
 
     def entities(self) -> DataFrame:
-        return self._listed("entities")
+        return self.parts.listed("entities")
 
     def postings(self) -> DataFrame:
-        return self._listed("postings")
+        return self.parts.listed("postings")
 
     def words(self) -> DataFrame:
         """entity_type, word, n: in how many texts; summed over the segments."""
-        return self._listed("words").groupBy("entity_type", "word").agg(F.sum("n").alias("n"))
+        return self.parts.listed("words").groupBy("entity_type", "word").agg(F.sum("n").alias("n"))
 
     def _names(self, part: str) -> simindex.SimilarityIndex:
-        return simindex.SimilarityIndex(self.spark, f"{self.path}/{part}")
-
-    def _append(self, entities: DataFrame) -> None:
-        segment = "s" + uuid.uuid4().hex
-        put = lambda df, part: df.withColumn("segment", F.lit(segment)).write.mode("append").partitionBy("segment").parquet(f"{self.path}/{part}")
-        put(entities, "entities")
-        stored = self._read("entities").where(F.col("segment") == segment).drop("segment")
-        put(blocked_postings(stored), "postings")
-        blocks = self._read("postings").where(F.col("segment") == segment).drop("segment")
-        put(blocks.groupBy("entity_type", "word").agg(F.sum("n").alias("n")), "words")
-        self.spark.createDataFrame([(segment,)], "segment string").coalesce(1).write.mode("append").parquet(f"{self.path}/segments")
+        return simindex.SimilarityIndex(Segments(self.parts.spark, f"{self.parts.path}/{part}"))
+
+    def append(self, entities: DataFrame) -> None:
+        segment = Segments.new()
+        stored = self.parts.put(segment, "entities", entities)
+        blocks = self.parts.put(segment, "postings", blocked_postings(stored))
+        self.parts.put(segment, "words", blocks.groupBy("entity_type", "word").agg(F.sum("n").alias("n")))
+        self.parts.commit(segment)
 
     def extend(self, entities: DataFrame, aliases: DataFrame | None = None, tags: DataFrame | None = None) -> None:
         """Entities, aliases and tags that are not in the index yet. A repeated call adds nothing."""
         fresh = entities.join(self.entities().select("entity_type", "id"), ["entity_type", "id"], "left_anti")
-        self._append(write_once(fresh.select(*self.entities().columns)))
+        self.append(write_once(fresh.select(*self.entities().columns)))
         self._names("names").extend(entities, "canonical_name")
         for part, table, column in (("aliases", aliases, "alias_normalized"), ("tags", tags, "slug")):
             if table is not None:
@@ -170,8 +159,8 @@ class SearchIndex:
 
 def build(entities: DataFrame, aliases: DataFrame, tags: DataFrame, path: str) -> SearchIndex:
     """A search index of `search.searchable` entities, aliases and tags."""
-    index = SearchIndex(entities.sparkSession, path)
-    index._append(entities)
+    index = SearchIndex(Segments(entities.sparkSession, path))
+    index.append(entities)
     simindex.build(index.entities(), "canonical_name", f"{path}/names", FLOOR)
     simindex.build(aliases, "alias_normalized", f"{path}/aliases", FLOOR)
     simindex.build(tags, "slug", f"{path}/tags", FLOOR)

@@ -6,72 +6,61 @@ up may look under. A batch then orders its own grams by the stored array and mee
 names are neither cut into grams nor counted again. Any order that both sides share gives exact results,
 so `extend` files new names by the same array as a further segment; `compact` writes the segments anew with
 fresh frequencies once the order has aged.
-
-Every segment is written under a new number and then listed; readers take the listed segments only, so a
-writer that is lost leaves files that nobody reads. One writer at a time is assumed.
 """
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.functions.similarity import trigram_codes
 from plinth.operators.ranking import top_n
 from plinth.operators.simjoin import gram_frequencies, join_prefixes, prefix_postings, rare_first, signatures, spread
+from plinth.session import write_once
+from plinth.sources.segments import Segments
 
 
 @dataclass(frozen=True)
 class SimilarityIndex:
-    """The folder of an index and its parts."""
+    """The parts of an index: `order`, and segments of `names` and `postings`."""
 
-    spark: SparkSession
-    path: str
+    parts: Segments
 
-    def _read(self, part: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{part}")
+    def _order(self) -> DataFrame:
+        return self.parts.spark.read.parquet(f"{self.parts.path}/order")
 
     def floor(self) -> float:
         """The lowest threshold that the postings serve."""
-        return self._read("order").first()["floor"]
-
-    def _listed(self, part: str) -> DataFrame:
-        """The rows of a part in the listed segments; a segment is a folder, so others are not opened."""
-        segments = [r["segment"] for r in self._read("segments").select("segment").collect()]
-        return self._read(part).where(F.col("segment").isin(segments)).drop("segment")
+        return self._order().first()["floor"]
 
     def names(self) -> DataFrame:
         """Distinct names: `_name`, `_grams` in stored order, signatures."""
-        return self._listed("names")
+        return self.parts.listed("names")
 
     def postings(self) -> DataFrame:
         """A row for each gram a name is filed under, with its place in the order and the whole set."""
-        return self._listed("postings")
+        return self.parts.listed("postings")
 
     def ordered(self, names: DataFrame, column: str) -> DataFrame:
         """Distinct names of a batch with their grams in the stored order, and signatures."""
         distinct = names.select(F.col(column).alias("_name")).distinct().where(F.col("_name").isNotNull())
         sets = spread(distinct, "_name").withColumn("_grams", trigram_codes("_name")).select("_name", "_grams", *signatures("_grams"))
-        return rare_first(sets, "_grams", self._read("order").select("frequencies"))
+        return rare_first(sets, "_grams", self._order().select("frequencies"))
 
-    def _append(self, sets: DataFrame, floor: float) -> None:
-        segment = "s" + uuid.uuid4().hex
-        stored = sets.withColumn("segment", F.lit(segment))
-        stored.write.mode("append").partitionBy("segment").parquet(f"{self.path}/names")
-        written = self._read("names").where(F.col("segment") == segment)
+    def append(self, sets: DataFrame, floor: float) -> None:
+        segment = Segments.new()
+        stored = self.parts.put(segment, "names", sets)
         # Neighbouring grams lie together, so a scan can pass over row groups that hold none of those asked for.
-        filed = prefix_postings(written, "right", floor).withColumn("segment", F.lit(segment))
-        filed.repartitionByRange("_gram").sortWithinPartitions("_gram", "right_size").write.mode("append").partitionBy("segment").parquet(f"{self.path}/postings")
-        rows = self.spark.createDataFrame([(segment,)], "segment string")
-        rows.coalesce(1).write.mode("append").parquet(f"{self.path}/segments")
+        filed = prefix_postings(stored, "right", floor).repartitionByRange("_gram").sortWithinPartitions("_gram", "right_size")
+        self.parts.put(segment, "postings", filed)
+        self.parts.commit(segment)
 
     def extend(self, names: DataFrame, column: str) -> None:
         """Names that the index does not hold yet, filed by the stored order. A repeated call adds nothing."""
         fresh = names.select(F.col(column).alias("_name")).join(self.names().select("_name"), "_name", "left_anti")
-        self._append(self.ordered(fresh, "_name"), self.floor())
+        self.append(self.ordered(fresh, "_name"), self.floor())
 
     def pairs(self, names: DataFrame, column: str, threshold: float, inclusive: bool = False) -> DataFrame:
         """(left_name, right_name, sim) of a batch's distinct names and the indexed names above the threshold."""
@@ -89,8 +78,6 @@ class SimilarityIndex:
 
         Names with a match in one tier leave before the next, where prefixes are longer.
         """
-        from plinth.session import write_once
-
         lowest = top_n(targets.select("id", F.col("canonical_name").alias("right_name")), ["right_name"], [F.asc("id")], 1)
         left, found = write_once(self.ordered(names, column)), None
         for tier in tiers:
@@ -109,10 +96,10 @@ class SimilarityIndex:
 
 def build(names: DataFrame, column: str, path: str, floor: float = 0.3) -> SimilarityIndex:
     """An index of the distinct names of a column for thresholds from `floor` up."""
-    index = SimilarityIndex(names.sparkSession, path)
+    index = SimilarityIndex(Segments(names.sparkSession, path))
     distinct = names.select(F.col(column).alias("_name")).distinct().where(F.col("_name").isNotNull())
     sets = spread(distinct, "_name").select("_name", trigram_codes("_name").alias("_grams"))
     order = gram_frequencies(sets, "_grams").select("frequencies", F.lit(floor).alias("floor"))
     order.write.parquet(f"{path}/order")
-    index._append(index.ordered(names, column), floor)
+    index.append(index.ordered(names, column), floor)
     return index

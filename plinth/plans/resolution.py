@@ -101,9 +101,44 @@ def _(s):
     return _shown(resolve.resolve_simple(s.sql(CANDIDATES), s.people, s.aliases, "person"))
 
 
-@query("resolve_batch")
+# Names without a match in order of their first row, each with its earlier neighbours; a walk over them carries
+# those that create an entity. Every row then takes the best of what is known and of the creators before it.
+IN_ORDER = f"""
+    with recursive {_outcomes(CANDIDATES)},
+    firsts as (select normalized, min(pos) as first from nm group by 1),
+    open as materialized (select o.*, first, {sp.trigrams('o.normalized')} as g from o join firsts using (normalized) where match_type in ('trigram', 'review', 'new')),
+    fresh as materialized (select normalized, first, g, row_number() over (order by first) as i from open where match_type = 'new'),
+    forms as (select normalized as seen, i, first, unnest({sp.aliases('normalized')}) as alias from fresh),
+    called as materialized (select distinct seen, i, first, {sp.normalize('alias')} as seer from forms),
+    alike as materialized (select f.i, e.i as j from fresh f join fresh e on e.i < f.i and ({sp.jaccard('f.g', 'e.g')} >= 0.6
+              or exists (select 1 from called c where c.i = e.i and c.seer = f.normalized))),
+    neighbours as materialized (select fresh.i, coalesce(list(j) filter (where j is not null), []) as js from fresh left join alike on alike.i = fresh.i group by fresh.i),
+    walk as (select 0::bigint as i, []::bigint[] as made
+             union all select n.i, case when list_has_any(made, js) then made else list_append(made, n.i) end from walk join neighbours n on n.i = walk.i + 1),
+    made as materialized (select fresh.*, sha256('person|' || {sp.slug('normalized')}) as target_id from fresh
+             where list_contains((select made from walk order by i desc limit 1), i)),
+    options as materialized (
+        select o.normalized, m.first as since, 0 as kind, m.first::double as rank, m.target_id, cast(null as double) as sim
+        from open o join called c on c.seer = o.normalized and c.seen <> o.normalized join made m on m.i = c.i
+        union all
+        select o.normalized, m.first, 1, -{sp.jaccard('o.g', 'm.g')}, m.target_id, {sp.jaccard('o.g', 'm.g')}
+        from open o join made m on m.normalized <> o.normalized and {sp.jaccard('o.g', 'm.g')} >= 0.6
+        union all
+        select normalized, -1, 1, -sim, cast(target_id as varchar), sim from open where target_id is not null),
+    best as (select nm.pos, arg_min({{'kind': kind, 'target_id': p.target_id, 'sim': p.sim}}, (kind, rank, p.target_id)) as b
+             from nm join options p on p.normalized = nm.normalized and p.since < nm.pos group by nm.pos),
+    r as (select nm.pos, nm.normalized,
+                 case when o.match_type in ('exact', 'alias') then o.match_type when m.first = nm.pos then 'new' when m.i is not null then 'exact'
+                      when b.kind = 0 then 'alias' when b.sim >= 0.85 then 'trigram' else 'review' end as match_type,
+                 case when o.match_type in ('exact', 'alias') then cast(o.target_id as varchar) when m.i is not null then m.target_id else b.target_id end as target_id,
+                 b.sim as sim
+          from nm join o on o.normalized = nm.normalized left join made m on m.normalized = nm.normalized left join best on best.pos = nm.pos)
+    select pos, match_type, {_RESULT} from r"""
+
+
+@query("resolve_batch", IN_ORDER)
 def _(s):
-    return resolve.resolve_batch(s.sql(CANDIDATES), s.people, s.aliases, "person")
+    return _shown(resolve.resolve_batch(s.sql(CANDIDATES), s.people, s.aliases, "person"))
 
 
 @query("resolve_reviews", f"""

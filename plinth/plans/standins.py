@@ -199,8 +199,8 @@ def with_views(sql: str) -> str:
     parts = [f"{name} as ({VIEWS[name]})" for name in needed_views(body)]
     if not parts:
         return body
-    if re.match(r"(?i)with\s", body):
-        return "with " + ",\n".join(parts) + ",\n" + body[4:].lstrip()
+    if found := re.match(r"(?i)with\s+(recursive\s)?", body):
+        return found[0] + ",\n".join(parts) + ",\n" + body[found.end() :]
     return "with " + ",\n".join(parts) + "\n" + body
 
 
