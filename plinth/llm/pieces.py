@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,9 @@ from pyspark.sql import types as T
 from plinth.llm.common import map_arrow
 
 UNKNOWN_PENALTY = 10.0
-#: Stretches that a worker remembers before it starts anew.
-MEMO = 200_000
+#: Bytes of stretches and their ids that a worker remembers before it starts anew, and what an entry costs besides.
+MEMO_BYTES = 32 << 20
+ENTRY_BYTES = 200
 #: Characters of texts that are split together, and of new stretches in one Viterbi pass.
 GROUP_CHARS = 1_500_000
 BLOCK_CHARS = 200_000
@@ -134,6 +136,7 @@ class Lattice:
         self.single = np.array(sorted(ord(n) for n in names if len(n) == 1), np.uint32)
         self.splits = not any(re.search(f"[^{_SPACE}]{_SPACE}", n) for n in names)
         self.memo: dict[str, bytes] = {}
+        self.memo_bytes = 0
 
     def viterbi(self, stretches: list[str]) -> list[bytes]:
         """Ids of the best path of each stretch, packed; spaces are escaped, longest stretch first.
@@ -235,23 +238,34 @@ class Lattice:
 
     def _encode(self, group: list[list[str]]) -> list[bytes]:
         memo = self.memo
-        if len(memo) > MEMO:
+        if self.memo_bytes > MEMO_BYTES:
             memo.clear()
+            self.memo_bytes = 0
         fresh = sorted({s for stretches in group for s in stretches if s not in memo}, key=len, reverse=True)
         at = 0
         while at < len(fresh) and len(fresh[at]) > LONG_STRETCH:
             memo[fresh[at]] = self.one(fresh[at])
+            self.memo_bytes += ENTRY_BYTES + len(fresh[at]) + len(memo[fresh[at]])
             at += 1
         while at < len(fresh):
             upto = at + max(1, BLOCK_CHARS // len(fresh[at]))
-            memo.update(zip(fresh[at:upto], self.viterbi(fresh[at:upto])))
+            found = self.viterbi(fresh[at:upto])
+            memo.update(zip(fresh[at:upto], found))
+            self.memo_bytes += sum(map(len, found)) + sum(map(len, fresh[at:upto])) + ENTRY_BYTES * len(found)
             at = upto
         return [b"".join(map(memo.__getitem__, stretches)) for stretches in group]
 
     def decode(self, ids: list[int] | None) -> str:
         output, n = self.output, len(self.output)
-        text = b"".join([output[i] for i in ids or () if i is not None and 0 <= i < n]).decode("utf-8", "replace")
-        return text.removeprefix(" ")
+        return self._text(output[i] for i in ids or () if i is not None and 0 <= i < n)
+
+    def unpack(self, packed: bytes) -> str:
+        """The text of ids that `encode` packed."""
+        return self._text(map(self.output.__getitem__, memoryview(packed).cast("i")))
+
+    @staticmethod
+    def _text(parts: Iterable[bytes]) -> str:
+        return b"".join(parts).decode("utf-8", "replace").removeprefix(" ")
 
 
 _LOADED: dict[str, Lattice] = {}
@@ -264,39 +278,42 @@ def lattice(path: str) -> Lattice:
     return _LOADED[path]
 
 
-def _adding(docs: DataFrame, name: str, kind: T.DataType) -> tuple[DataFrame, T.StructType]:
-    kept = docs.drop(name)
-    return kept, T.StructType([*kept.schema, T.StructField(name, kind)])
+def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", same: str | None = None) -> DataFrame:
+    """`docs` with the piece ids of its texts and, if named, with `same`: whether they decode to the text.
 
-
-def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """`docs` with the piece ids of its texts."""
-    kept, schema = _adding(docs.withColumn("_in", F.col(text).cast("string")), ids, T.ArrayType(T.IntegerType()))
-    schema = T.StructType([f for f in schema if f.name != "_in"])
+    Rows travel whole in one column beside the text, so no name can clash.
+    """
+    source = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text).cast("string").alias("text"))
+    fields = [source.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("same", T.BooleanType())]
 
     def run(rows: pa.Table) -> pa.Table:
         model = lattice(model_path)
-        packed = model.encode(rows["_in"].to_pylist())
+        texts = rows["text"].to_pylist()
+        packed = model.encode(texts)
+        equal = [model.unpack(p) == (t or "") for p, t in zip(packed, texts)] if same else [None] * len(texts)
         ends = np.cumsum([0, *map(len, packed)]) // 4
-        values = pa.array(np.frombuffer(b"".join(packed), np.int32))
-        return rows.drop_columns(["_in"]).append_column(ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values))
+        values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+        return pa.table([rows["row"], values, pa.array(equal, pa.bool_())], names=["row", "ids", "same"])
 
-    return map_arrow(kept, run, schema)
+    found = map_arrow(source, run, T.StructType(fields))
+    added = {ids: "ids", **({same: "same"} if same else {})}
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in added]
+    return found.select(*kept, *(F.col(c).alias(name) for name, c in added.items()))
 
 
 def decode(encoded: DataFrame, model_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """`encoded` with the text that its piece ids stand for."""
-    kept, schema = _adding(encoded, text, T.StringType())
+    source = encoded.select(F.struct(*[F.col(c) for c in encoded.columns]).alias("row"), F.col(ids).alias("ids"))
 
     def run(rows: pa.Table) -> pa.Table:
         model = lattice(model_path)
-        return rows.append_column(text, pa.array(list(map(model.decode, rows[ids].to_pylist())), pa.string()))
+        return pa.table([rows["row"], pa.array(list(map(model.decode, rows["ids"].to_pylist())), pa.string())], names=["row", "text"])
 
-    return map_arrow(kept, run, schema)
+    found = map_arrow(source, run, T.StructType([source.schema["row"], T.StructField("text", T.StringType())]))
+    return found.select(*(F.col("row").getField(c).alias(c) for c in encoded.columns if c != text), F.col("text").alias(text))
 
 
 def round_trip(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ids, n_tokens, and whether decoding gives the text back."""
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    back = decode(encode(source, model_path, "_text"), model_path)
-    return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.col("_text")).alias("same"))
+    """doc_id, ids, n_tokens, and whether decoding gives the text back, in one pass of one worker a task."""
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return encode(source, model_path, same="same").select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "same")
