@@ -105,18 +105,16 @@ def fail_bits() -> Column:
 def ledger(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """`docs` (or its `carry` columns) with MEASURES and `fail_bits`."""
     names = [c for c in (docs.columns if carry is None else carry) if c not in (*MEASURES, "fail_bits")]
-    source = docs.select(*names, F.col(text).cast("binary").alias("_bytes"))
-    kept = T.StructType([f for f in source.schema if f.name != "_bytes"])
-    schema = T.StructType([*kept, *(T.StructField(m, T.LongType()) for m in MEASURES)])
+    # The kept columns travel as one, so no name can clash.
+    source = docs.select(F.struct(F.lit(1), *[F.col(c) for c in names]).alias("row"), F.col(text).cast("binary").alias("text"))
+    schema = T.StructType([source.schema["row"], *(T.StructField(m, T.LongType()) for m in MEASURES)])
 
     def run(rows: pa.Table) -> pa.Table:
-        found = list(zip(*map(measure, rows["_bytes"].to_pylist())))
-        rows = rows.drop_columns(["_bytes"])
-        for name, values in zip(MEASURES, found):
-            rows = rows.append_column(name, pa.array(values, pa.int64()))
-        return rows
+        found = list(zip(*map(measure, rows["text"].to_pylist())))
+        return pa.table([rows["row"], *(pa.array(values, pa.int64()) for values in found)], names=["row", *MEASURES])
 
-    return map_arrow(source, run, schema).withColumn("fail_bits", fail_bits())
+    judged = map_arrow(source, run, schema).withColumn("fail_bits", fail_bits())
+    return judged.select(*(F.col("row").getField(c).alias(c) for c in names), *MEASURES, "fail_bits")
 
 
 def passes(policy: str, bits: str = "fail_bits") -> Column:

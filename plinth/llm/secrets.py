@@ -139,11 +139,12 @@ def redact(docs: DataFrame, owner: Column, repository: Column, doc_id: str = "do
     """`docs` with the values of live spans replaced. Texts without a candidate are never shuffled."""
     live = classify(spans(candidates(docs, owner, repository, doc_id, text)), example_owners).where(F.col("class") == "live")
     cuts = live.groupBy("row", "key").agg(F.array_sort(F.collect_list(F.struct(F.col("value_start").alias("start"), "end"))).alias("_cuts"))
-    # Rows equal in id and text have equal cuts.
+    # Rows equal in id and text have equal cuts. Rows travel whole in one column, so no name can clash.
     cuts = cuts.groupBy(F.col("key").alias("_cut_key")).agg(F.first("_cuts").alias("_cuts"))
-    likely = F.coalesce(F.col(text), F.lit("")).rlike("|".join(KINDS.values()))
-    hit = docs.where(likely).withColumn("_key", row_key(doc_id, text)).join(cuts, F.col("_key") == F.col("_cut_key"), "left")
-    body = F.col(text)
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(text).alias("_text"), row_key(doc_id, text).alias("_key"))
+    likely = F.coalesce(F.col("_text"), F.lit("")).rlike("|".join(KINDS.values()))
+    hit = whole.where(likely).join(cuts, F.col("_key") == F.col("_cut_key"), "left")
+    body = F.col("_text")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def cut(state: Column, span: Column) -> Column:
@@ -152,5 +153,6 @@ def redact(docs: DataFrame, owner: Column, repository: Column, doc_id: str = "do
         return F.struct(F.when(span["start"] >= state["at"], fresh).otherwise(state["out"]).alias("out"), F.greatest(state["at"], span["end"]).alias("at"))
 
     done = F.aggregate("_cuts", start, cut, lambda s: F.concat(s["out"], F.substring(body, (s["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    cleaned = hit.withColumn(text, F.coalesce(done, body)).select(*docs.columns)
-    return docs.where(~likely).unionByName(cleaned)
+    cleaned = hit.select("_row", F.coalesce(done, body).alias("_text"))
+    both = whole.where(~likely).select("_row", "_text").unionByName(cleaned)
+    return both.select(*(F.col("_text").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns))

@@ -35,7 +35,7 @@ def rows():
     ]
 
 
-CLASHING = ["n_words", "fail_bits", "ids", "decoded", "key", "node", "row", "hash", "size", "bucket", "target", "copies", "text_bytes", "_copies", "start", "place", "label", "n_tokens", "score"]
+CLASHING = ["n_words", "fail_bits", "ids", "decoded", "key", "node", "row", "hash", "size", "bucket", "target", "copies", "text_bytes", "_copies", "start", "place", "label", "n_tokens", "score", "_key", "_cuts", "_cut_key", "_bytes", "_in", "_row", "_text", "same"]
 
 
 @pytest.fixture(scope="session")
