@@ -49,8 +49,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and whether they decode to its text."""
     model = public_tokenizers.path(PIECE_MODEL)
-    both = pieces.decode(pieces.encode(docs.select("doc_id", "source", "lang", "n_chars", "text"), model), model)
-    return both.select("doc_id", "source", "lang", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"), F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("same"))
+    coded = pieces.encode(docs.select("doc_id", "source", "lang", "n_chars", "text"), model, same="same")
+    return coded.select("doc_id", "source", "lang", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"), "same")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
