@@ -25,8 +25,9 @@ def upsert(
     order: list[Column] | None = None,
     stamp: str | None = None,
     now: Column | None = None,
+    null_keys: bool = True,
 ) -> DataFrame:
-    """Merge `rows` into `target` on `keys` (NULL keys match each other).
+    """Merge `rows` into `target` on `keys` (NULL keys match each other, unless told that there are none).
 
     Columns the rows lack are preserved. Policies for matched keys: `overwrite` takes the incoming
     value, `keep_first` leaves the row alone, `coalesce` fills only NULLs. `update_cols` limits
@@ -40,7 +41,9 @@ def upsert(
 
     old = target.withColumn("_old", F.lit(True)).alias("t")
     new = incoming.withColumn("_new", F.lit(True)).alias("u")
-    matched = _all([F.col(f"t.{k}").eqNullSafe(F.col(f"u.{k}")) for k in keys])
+    # Plain equality lets a bucketed table keep its place.
+    same = Column.eqNullSafe if null_keys else Column.__eq__
+    matched = _all([same(F.col(f"t.{k}"), F.col(f"u.{k}")) for k in keys])
     joined = old.join(new, matched, "full_outer")
     is_old, is_new = F.col("_old").isNotNull(), F.col("_new").isNotNull()
 

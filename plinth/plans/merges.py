@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from plinth.operators import ingest, merge
 from plinth.plans import sqlparts as sp
 from plinth.plans.registry import query
+from plinth.session import checkpoint_root, write_once
+from plinth.sources.keyed import BucketedTable, KeyedTable
 
 # A firm update feed: known firms and new ones, with many keys more than once.
 UPDATES = """
@@ -33,6 +37,41 @@ def _(s):
     return merge.upsert(_core(s), _updates(s), ["id"], order=[F.asc("pos")])
 
 
+# A hundredth of the firms, those of three numbers that follow each other in the MD5 order of parts.
+RENAMED = "select id, 'Touched ' || display_name as display_name from v_firms where substr(md5(cast(id as string)), 6, 2) < '03'"
+PARTS = 64
+PART_SQL = f"(('0x' || substr(md5(cast(id as varchar)), 1, 7))::int % {PARTS})"
+
+
+@query("merge_touched_parts", f"""
+    with r as (select *, {PART_SQL} as part from ({RENAMED}))
+    select f.id, coalesce(r.display_name, f.display_name) as display_name, f.city, {PART_SQL.replace('id as', 'f.id as')} as part,
+           {PART_SQL.replace('id as', 'f.id as')} not in (select part from r) as kept_file
+    from v_firms f left join r on r.id = f.id""")
+def _(s):
+    path = f"{checkpoint_root(s.spark)}/keyed-{uuid.uuid4().hex}"
+    table = KeyedTable(s.spark, path, ["id"], PARTS).create(s.firms.select("id", "display_name", "city"))
+    before = write_once(table.stored().select(F.col("_metadata.file_name").alias("_file")).distinct()).withColumn("_was", F.lit(True))
+    table.merge(s.sql(RENAMED))
+    after = table.stored().withColumn("_file", F.col("_metadata.file_name"))
+    return after.join(before, "_file", "left").select(
+        "id", "display_name", "city", F.col("_part").alias("part"), F.coalesce("_was", F.lit(False)).alias("kept_file"))
+
+
+@query("merge_buckets_twice", f"""
+    select coalesce(f.id, u.id) as id, f.slug, case when u.id is not null then u.display_name else 'before' end as display_name,
+           case when u.id is not null then u.city else f.city end as city, f.quality_score
+    from v_firms f full join {FIRST} u on u.id = f.id""")
+def _(s):
+    table = BucketedTable(s.spark, f"firms_{uuid.uuid4().hex[:12]}", ["id"], 16)
+    folder = checkpoint_root(s.spark)
+    first = table.create(_core(s), folder)
+    renamed = first.merge(_core(s).select("id", F.lit("before").alias("display_name")), folder)
+    merged = write_once(renamed.merged(_updates(s), order=[F.asc("pos")]))
+    first.drop(), renamed.drop()
+    return merged
+
+
 @query("upsert_keep_first", f"""
     select coalesce(f.id, u.id) as id, f.slug, case when f.id is not null then f.display_name else u.display_name end as display_name,
            case when f.id is not null then f.city else u.city end as city, f.quality_score

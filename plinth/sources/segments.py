@@ -26,6 +26,9 @@ class Segments:
         """The rows written as a part of a segment, and read back."""
         df.limit(0).write.mode("ignore").parquet(f"{self.path}/schema/{part}")
         df.withColumn("segment", F.lit(segment)).write.mode("append").partitionBy("segment").parquet(f"{self.path}/{part}")
+        return self.read(segment, part)
+
+    def read(self, segment: str, part: str) -> DataFrame:
         return self._read(part).where(F.col("segment") == segment).drop("segment")
 
     def commit(self, segment: str) -> None:

@@ -2,51 +2,32 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.functions.text import has
-
-
-def _versions(spark: SparkSession, base: str) -> list[int]:
-    """Complete versions under `base`, from their success markers."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/version=*/_SUCCESS")
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in files or [])
+from plinth.sources.segments import Segments
 
 
 def write_snapshot(df: DataFrame, base: str) -> str:
-    """Write the table as a new version; readers keep the last complete one until this one is.
+    """Write the table as a new version and return its name; readers keep the version before until this one is whole.
 
-    Rows go to a folder of their own, which is then renamed to the next free version. A writer that
-    loses the race for a number takes the next one.
+    Of writers that end at the same time one name is the greater, for all readers alike.
     """
-    spark = df.sparkSession
-    stage = f"{base}/_stage-{uuid.uuid4().hex}"
-    df.write.parquet(stage)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    files = hadoop(stage).getFileSystem(spark._jsc.hadoopConfiguration())
-    number = max(_versions(spark, base), default=0) + 1
-    while True:
-        target = f"{base}/version={number}"
-        if not files.exists(hadoop(target)) and files.rename(hadoop(stage), hadoop(target)):
-            nested = hadoop(target, hadoop(stage).getName())
-            if not files.exists(nested):
-                return target
-            # Another writer came first and the rename went into its folder: take it out again.
-            files.rename(nested, hadoop(stage))
-        elif not files.exists(hadoop(stage)):
-            raise OSError(f"{stage} is gone")
-        number += 1
+    parts = Segments(df.sparkSession, base)
+    number = 1 + max((int(v.split("-")[0]) for v in parts.segments()), default=0)
+    version = f"{number}-{Segments.new()}"
+    parts.put(version, "rows", df)
+    parts.commit(version)
+    return version
 
 
 def read_snapshot(spark: SparkSession, base: str) -> DataFrame:
-    versions = _versions(spark, base)
+    parts = Segments(spark, base)
+    versions = sorted(parts.segments(), key=lambda v: (int(v.split("-")[0]), v))
     if not versions:
         raise FileNotFoundError(f"no complete version under {base}")
-    return spark.read.parquet(f"{base}/version={versions[-1]}")
+    return parts.read(versions[-1], "rows")
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from plinth.functions.geo import nationality_code
@@ -11,6 +12,7 @@ from plinth.operators import relations
 from plinth.sources import award_tables, editions, feeds, labs, sinks, works
 from plinth.schema import TABLES, read_tables
 from plinth.streaming.feeds import run_feed_stream
+from plinth.sources.segments import Segments
 
 RSS = """<rss><channel>{items}</channel></rss>"""
 ITEM = "<item><guid>{g}</guid><link>{l}</link><title> {t} </title><pubDate>Tue, 05 Mar 2024 10:00:00 GMT</pubDate><author></author></item>"
@@ -101,9 +103,16 @@ def test_feed_stream_takes_each_item_once(spark, tmp_path):
 
 def test_snapshots_reports_and_run_log(spark, tmp_path):
     base = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        sinks.read_snapshot(spark, base)
     sinks.write_snapshot(spark.range(3), base)
     target = sinks.write_snapshot(sinks.read_snapshot(spark, base).where("id > 0"), base)
-    assert target.endswith("version=2") and sinks.read_snapshot(spark, base).count() == 2
+    assert target.startswith("2-") and sinks.read_snapshot(spark, base).count() == 2
+    # A version that was never listed is not read, and an empty table can be.
+    Segments(spark, base).put("9-lost", "rows", spark.range(100))
+    assert sinks.read_snapshot(spark, base).count() == 2
+    sinks.write_snapshot(spark.range(0), base)
+    assert sinks.read_snapshot(spark, base).count() == 0
     sinks.write_report(spark.range(2), str(tmp_path / "r"), "csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "r")).count() == 2
     results = spark.createDataFrame([("a", 3, 1.26, None), ("b", 1, 2.0, "boom")], "name string, entity_count int, duration_s double, error string")
