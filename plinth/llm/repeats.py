@@ -270,7 +270,7 @@ def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, kmer: int = KMER, group: int = GROUP) -> DataFrame:
-    """Per row: doc_id, n_bytes, the removed runs (start, end) and the remaining bytes."""
+    """Per row: doc_id, n_bytes, the removed runs (start, end), the remaining bytes, and the same as text."""
     ranges = repeated_ranges(docs, doc_id, text, length, kmer, group)
     per_row = ranges.groupBy(F.col("key").alias("_k")).agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     source = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("key"), F.col(text).cast("binary").alias("_bytes"))
@@ -287,12 +287,20 @@ def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
             runs.append([{"start": a, "end": b} for a, b in removed])
             kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
         spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        return pa.table([rows["doc_id"], pa.array(sizes, pa.int64()), pa.array(runs, spans), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "removed", "kept"])
+        texts = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
+        return pa.table(
+            [rows["doc_id"], pa.array(sizes, pa.int64()), pa.array(runs, spans), pa.array(kept, pa.binary()), texts],
+            names=["doc_id", "n_bytes", "removed", "kept", "kept_text"],
+        )
 
-    return map_arrow(joined, run, f"doc_id {kind}, n_bytes bigint, removed array<struct<start:int,end:int>>, kept binary")
+    return map_arrow(joined, run, f"doc_id {kind}, n_bytes bigint, removed array<struct<start:int,end:int>>, kept binary, kept_text string")
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of `cleaned`."""
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of `cleaned`, the remaining text (without characters
+    that a cut broke) and the removed runs."""
     lost = F.aggregate("removed", F.lit(0).cast("long"), lambda total, r: total + (r["end"] - r["start"]))
-    return cleaned(docs, **options).select("doc_id", "n_bytes", lost.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return cleaned(docs, **options).select(
+        "doc_id", "n_bytes", lost.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.col("kept_text").alias("text"), "removed",
+    )
