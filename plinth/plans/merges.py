@@ -242,21 +242,54 @@ INCOMING = """select o_orderkey as pos, case o_orderkey % 3 when 0 then 'Firm '
     'design' as sector, case when o_orderkey % 2 = 0 then 'Q' || cast(o_orderkey as string) end as wikidata_id, o_orderstatus as city from orders"""
 
 
-@query("upsert_entities_with_aliases", f"""
-    with i as (select *, case when display_name like 'New%' then 'new-' else '' end || 'firm-' || split_part(display_name, ' ', -1) as slug from ({INCOMING})),
+GROUPED = f"""
+    i as (select *, case when display_name like 'New%' then 'new-' else '' end || 'firm-' || split_part(display_name, ' ', -1) as slug from ({INCOMING})),
     g as (select slug, arg_max(display_name, pos) as display_name, arg_min(city, pos) as city,
-                 arg_min(wikidata_id, pos) filter (where wikidata_id is not null) as wikidata_id from i group by slug)
-    select coalesce(f.slug, g.slug) as slug, coalesce(g.display_name, f.display_name) as display_name,
+                 arg_min(wikidata_id, pos) filter (where wikidata_id is not null) as wikidata_id from i group by slug),
+    ids as (select g.slug, g.display_name, coalesce(cast(f.id as varchar), sha256('firm|' || g.slug)) as id from g left join v_firms f on f.slug = g.slug)"""
+
+
+def _upserted(s):
+    entities = s.firms.withColumn("id", F.col("id").cast("string"))
+    aliases = s.aliases.withColumn("entity_id", F.col("entity_id").cast("string"))
+    queue = s.queue.withColumn("entity_id", F.col("entity_id").cast("string"))
+    return merge.upsert_entities(entities, aliases, queue, s.sql(INCOMING), "firm")
+
+
+@query("upsert_entities_with_aliases", f"""
+    with {GROUPED}
+    select coalesce(cast(f.id as varchar), ids.id) as id, coalesce(f.slug, g.slug) as slug, coalesce(g.display_name, f.display_name) as display_name,
            coalesce(lower(g.display_name), f.canonical_name) as canonical_name,
            case when f.slug is null then 'design' else f.sector end as sector, case when f.slug is null then g.city else f.city end as city,
            coalesce(f.wikidata_id, g.wikidata_id) as wikidata_id
-    from v_firms f full join g on g.slug = f.slug""")
+    from v_firms f full join g on g.slug = f.slug left join ids on ids.slug = g.slug""")
 def _(s):
-    entities = s.firms.withColumn("id", F.col("id").cast("string"))
-    aliases = s.aliases.withColumn("entity_id", F.col("entity_id").cast("string"))
-    queue = s.queue.withColumn("entity_id", F.col("entity_id").cast("string"))
-    out = merge.upsert_entities(entities, aliases, queue, s.sql(INCOMING), "firm")
-    return out["entities"].select("slug", "display_name", "canonical_name", "sector", "city", "wikidata_id")
+    return _upserted(s)["entities"].select("id", "slug", "display_name", "canonical_name", "sector", "city", "wikidata_id")
+
+
+@query("upsert_entities_ids", f"with {GROUPED} select slug, id from ids")
+def _(s):
+    return _upserted(s)["ids"]
+
+
+@query("upsert_entities_queue", f"""
+    with {GROUPED} select cast(entity_id as varchar) as entity_id, entity_type, status from v_queue
+    union all select id, 'firm', 'pending' from ids where not exists (
+        select 1 from v_queue q where cast(q.entity_id as varchar) = ids.id and q.entity_type = 'firm' and q.status in ('pending', 'processing'))""")
+def _(s):
+    return _upserted(s)["queue"].select("entity_id", "entity_type", "status")
+
+
+@query("upsert_entities_aliases", f"""
+    with {GROUPED},
+    forms as (select id as entity_id, unnest({sp.aliases(sp.normalize('display_name'))}) as alias from ids),
+    named as (select entity_id, alias, {sp.normalize('alias')} as alias_normalized from forms),
+    firsts as (select *, row_number() over (partition by alias_normalized order by entity_id, alias) as rn from named where length(alias_normalized) > 0)
+    select cast(entity_id as varchar) as entity_id, entity_type, alias, alias_normalized from v_aliases
+    union all select entity_id, 'firm', alias, alias_normalized from firsts where rn = 1 and not exists (
+        select 1 from v_aliases a where a.entity_type = 'firm' and a.alias_normalized = firsts.alias_normalized)""")
+def _(s):
+    return _upserted(s)["aliases"].select("entity_id", "entity_type", "alias", "alias_normalized")
 
 
 @query("upsert_awards", """
