@@ -11,6 +11,7 @@ from plinth.functions.similarity import similarity
 from plinth.functions.text import has, normalize_name
 from plinth.operators import counts, filters
 from plinth.operators.ranking import top_n, with_next
+from plinth.session import write_once
 
 SEVERITIES = ["critical", "high", "medium", "low"]
 COLUMNS = ["severity", "category", "entity_type", "entity_id", "name", "detail"]
@@ -38,19 +39,52 @@ def _mismatch(expected: Column) -> tuple[Column, Column]:
     return ~F.col("canonical_name").eqNullSafe(expected), detail
 
 
-def firm_issues(firms: DataFrame) -> DataFrame:
-    name, expected = F.col("display_name"), F.col("_expected")
-    wrong, detail = _mismatch(expected)
-    live = firms.where(F.col("merged_into").isNull()).withColumn("_expected", normalize_name("display_name"))
-    return _rows(live, F.lit("firm"), F.col("id"), name, [
-        _issue(filters.junk_name(name), "critical", "junk_name", _quoted("Name too short or garbage: ", name)),
-        _issue(filters.irrelevant_firm(name, filters.AUDIT_IRRELEVANT_WORDS), "high", "irrelevant_entity",
-               _quoted("Likely irrelevant: ", name)),
-        _issue(filters.bad_slug("slug"), "medium", "bad_slug", _quoted("Bad slug: ", "slug")),
-        _issue(filters.thin_firm(), "low", "thin_record", F.lit("Fewer than 2 metadata fields filled")),
-        _issue(~has("sector"), "high", "missing_field", F.lit("Missing sector")),
-        _issue(wrong, "medium", "canonical_mismatch", detail),
-    ])
+def _firm_checks() -> list[tuple[Column, str, str, Column]]:
+    """Condition, severity, category and detail of each check of one firm, by the bit it sets."""
+    name, expected = F.col("display_name"), F.col("expected")
+    detail = F.concat(F.lit("canonical='"), F.col("canonical_name"), F.lit("' vs expected='"), expected, F.lit("'"))
+    return [
+        (filters.junk_name(name), "critical", "junk_name", _quoted("Name too short or garbage: ", name)),
+        (filters.irrelevant_firm(name, filters.AUDIT_IRRELEVANT_WORDS), "high", "irrelevant_entity", _quoted("Likely irrelevant: ", name)),
+        (filters.bad_slug("slug"), "medium", "bad_slug", _quoted("Bad slug: ", "slug")),
+        (filters.thin_firm(), "low", "thin_record", F.lit("Fewer than 2 metadata fields filled")),
+        (~has("sector"), "high", "missing_field", F.lit("Missing sector")),
+        (~F.col("canonical_name").eqNullSafe(expected), "medium", "canonical_mismatch", detail),
+    ]
+
+
+def firm_flags(firms: DataFrame) -> DataFrame:
+    """The columns that audits of firms read, and `flags`: a bit for each check of `_firm_checks` that fails.
+
+    One scan evaluates every check once; written, it is all that the other checks need of the firms.
+    """
+    judged = firms.withColumn("expected", normalize_name("display_name"))
+    bits = [F.when(failing, F.lit(1 << bit)).otherwise(F.lit(0)) for bit, (failing, *_) in enumerate(_firm_checks())]
+    return judged.select(
+        "id", "slug", "display_name", "canonical_name", "merged_into", "publish_status", "expected",
+        reduce(lambda x, y: x.bitwiseOR(y), bits).alias("flags"))
+
+
+def _set(bit: int) -> Column:
+    return F.col("flags").bitwiseAND(F.lit(1 << bit)) != 0
+
+
+def firm_issues(flagged: DataFrame) -> DataFrame:
+    """The issues of firms by their flags."""
+    live = flagged.where(F.col("merged_into").isNull() & (F.col("flags") != 0))
+    return _rows(live, F.lit("firm"), F.col("id"), F.col("display_name"), [
+        _issue(_set(bit), severity, category, detail) for bit, (_, severity, category, detail) in enumerate(_firm_checks())])
+
+
+def firm_totals(flagged: DataFrame) -> DataFrame:
+    """Per check of one firm: severity, category and how many live firms fail it, by one aggregate over the flags."""
+    by_flags = flagged.where(F.col("merged_into").isNull()).groupBy("flags").agg(F.count("*").alias("n"))
+    cells = [
+        F.struct(F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.when(_set(bit), F.col("n")).otherwise(0).alias("n"))
+        for bit, (_, severity, category, _) in enumerate(_firm_checks())
+    ]
+    spread = by_flags.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    return spread.groupBy("severity", "category").agg(F.sum("n").cast("long").alias("count"))
 
 
 def person_issues(people: DataFrame) -> DataFrame:
@@ -154,13 +188,13 @@ def fuzzy_issues(firms: DataFrame, threshold: float = 0.95, ratio=similarity) ->
 
 
 def audit_issues(tables: dict[str, DataFrame], fuzzy_threshold: float = 0.95) -> DataFrame:
-    """Every check as one stream of issue rows."""
+    """Every check as one stream of issue rows. The firms are scanned once, for their flags."""
+    firms = write_once(firm_flags(tables["firms"]))
     parts = [
-        firm_issues(tables["firms"]), person_issues(tables["people"]), alias_issues(tables["entity_aliases"]),
-        duplicate_issues(tables["firms"]), queue_issues(tables["enrichment_queue"], tables["review_queue"]),
+        firm_issues(firms), person_issues(tables["people"]), alias_issues(tables["entity_aliases"]),
+        duplicate_issues(firms), queue_issues(tables["enrichment_queue"], tables["review_queue"]),
         source_issues(tables["sources"], tables["ingest_cursors"]),
-        unlinked_issues(tables["firms"], tables["entity_sources"]), dangling_issues(tables["firms"]),
-        fuzzy_issues(tables["firms"], fuzzy_threshold),
+        unlinked_issues(firms, tables["entity_sources"]), dangling_issues(firms), fuzzy_issues(firms, fuzzy_threshold),
     ]
     return reduce(DataFrame.unionByName, parts)
 

@@ -162,6 +162,15 @@ def _(s):
     return _issues(s)
 
 
+@query("audit_firm_totals", f"""
+    with {LINKED}, {FUZZY}, i as ({ISSUES}), c as (select severity, category, count(*) as count from i where entity_type = 'firm' group by 1, 2),
+    k as (select unnest(['critical', 'high', 'medium', 'low', 'high', 'medium']) as severity,
+                 unnest(['junk_name', 'irrelevant_entity', 'bad_slug', 'thin_record', 'missing_field', 'canonical_mismatch']) as category)
+    select severity, category, coalesce(count, 0) as count from k left join c using (severity, category)""")
+def _(s):
+    return audit.firm_totals(audit.firm_flags(s.firms))
+
+
 @query("audit_by_severity", f"""
     with {LINKED}, {FUZZY}, i as ({ISSUES}), m as (select * from (values ('critical', 1), ('high', 2), ('medium', 3), ('low', 4)) t(severity, position))
     select m.severity, position, count(i.category) as count from m left join i on i.severity = m.severity group by all""")
