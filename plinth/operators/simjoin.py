@@ -18,6 +18,8 @@ from plinth.session import write_once
 BUCKETS = 16384
 #: Of the grams that names are filed under: a fixed size, fine enough to drop most other grams.
 FILED_BUCKETS = 131072
+#: Characters of the runs that titles are cut into, and that names are filed under.
+LONGEST = 8
 
 
 def _bucket(gram: Column, buckets: int = BUCKETS) -> Column:
@@ -172,24 +174,29 @@ def match_mentions(
 
     `best` keeps the longest name of each title, the first on ties.
 
-    Every name is filed under the rarest of its 5-grams and every title under all of its own, so a
-    name meets just the titles that hold its gram; the whole name is then looked for.
+    A name of up to LONGEST characters is filed whole, a longer one under the rarest of its grams of that
+    length. A title is cut once into its runs of LONGEST characters, and the beginnings of a run that fall in
+    a bucket in which some name is filed leave the task, with the key alone. A whole name that is met is found;
+    for longer names the text is met again.
     """
-    n = min(min_length, 5)
+    shortest = max(1, min(min_length, LONGEST))
     lowered = titles.select(key, F.lower(title).alias("_title"))
     names = firms.where(F.length("canonical_name") >= min_length).groupBy("canonical_name").agg(F.min("id").alias("id"))
-    name_grams = names.withColumn("_grams", grams("canonical_name", n))
-    frequencies = gram_frequencies(name_grams, "_grams")
-    filed = rare_first(name_grams, "_grams", frequencies).select(
-        "canonical_name", "id", F.get("_grams", F.lit(0)).alias("_gram"))
-    # Only grams of a bucket in which some name is filed leave their task, and the exploded rows
-    # carry the key alone; the text is met again only for its candidates.
+    long = names.where(F.length("canonical_name") > LONGEST).withColumn("_grams", grams("canonical_name", LONGEST))
+    ordered = rare_first(long, "_grams", gram_frequencies(long, "_grams"))
+    filed = names.where(F.length("canonical_name") <= LONGEST).select("canonical_name", "id", F.col("canonical_name").alias("_gram")).unionByName(
+        ordered.select("canonical_name", "id", F.get("_grams", F.lit(0)).alias("_gram")))
     filed_buckets = gram_frequencies(filed.select(F.array("_gram").alias("_grams")), "_grams", FILED_BUCKETS)
-    marked = lowered.withColumn("_filed", filed_buckets.scalar())
-    likely = F.filter(grams("_title", n), lambda g: F.get(F.col("_filed"), _bucket(g, FILED_BUCKETS)) > 0)
-    title_grams = marked.select(key, F.explode(likely).alias("_gram"))
-    candidates = title_grams.join(filed, "_gram").select(key, "canonical_name", "id")
-    met = candidates.join(lowered, key).where(F.col("_title").contains(F.col("canonical_name")))
+    buckets = filed_buckets.scalar()
+    runs = F.array_distinct(F.regexp_extract_all("_title", F.lit(f"(?s)(?=(.{{{shortest},{LONGEST}}}))"), F.lit(1)))
+    starts = [F.substring("_run", 1, n) for n in range(shortest, LONGEST + 1)]
+    likely = F.array(*[F.when(F.get(buckets, _bucket(g, FILED_BUCKETS)) > 0, g) for g in starts])
+    title_grams = lowered.select(key, F.explode(runs).alias("_run")).select(key, F.explode(likely).alias("_gram")).where(F.col("_gram").isNotNull())
+    # Written, for it is read twice and dear to make.
+    candidates = write_once(title_grams.join(filed, "_gram").select(key, "canonical_name", "id"))
+    whole = candidates.where(F.length("canonical_name") <= LONGEST)
+    longer = candidates.where(F.length("canonical_name") > LONGEST).join(lowered, key).where(F.col("_title").contains(F.col("canonical_name")))
+    met = whole.unionByName(longer.select(key, "canonical_name", "id"))
     if not best:
         return met.select(key, "id", "canonical_name").distinct()
     first = F.min(F.struct((-F.length("canonical_name")).alias("l"), F.col("canonical_name").alias("n"), F.col("id").alias("id")))
