@@ -8,7 +8,7 @@ from collections.abc import Callable
 from plinth.plans.registry import ENTRIES, Entry
 
 MODULES = [
-    "facets", "scalars", "details", "merges", "resolution", "quality", "searching", "ingestion", "extraction", "streams",
+    "facets", "scalars", "details", "merges", "resolution", "quality", "searching", "ingestion", "extraction", "streams", "enriching",
 ]
 
 

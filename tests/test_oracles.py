@@ -14,6 +14,7 @@ QUICK = [
     "firm_detail", "entity_sources_of", "upsert_overwrite", "queue_transition", "resolve_people", "match_trigram_top5", "title_mentions",
     "adjacent_duplicates", "firm_quality", "classify_relevance", "audit_issues", "flatten_editions", "work_authors", "award_table_facts",
     "route_firm_people", "extract_education", "ingest_batch_links", "stream_new_items",
+    "stream_first_seen", "feed_job_tables", "resolve_batch", "merge_touched_parts", "merge_buckets_twice", "entities_for_tag",
 ]
 NAMES = sorted(catalog()) if os.environ.get("PLINTH_ALL") else QUICK
 
