@@ -96,6 +96,27 @@ def award_facts(
     }
 
 
+def award_counters(raw: DataFrame, entries: DataFrame, facts: dict[str, DataFrame], by: str = "programme") -> DataFrame:
+    """What the award job did, per programme: entries read and skipped, people and firms created and linked, recipients.
+
+    `raw` are the rows before `entries` were chosen from them, `facts` the tables of `award_facts`; both have `by`
+    and `pos`. A row counts as created if it brought its entity, as linked if it met one, else it waits for review.
+    """
+    read = raw.groupBy(by).agg(F.count("*").alias("n_read"))
+    kept = entries.groupBy(by).agg(F.count("*").alias("n_kept"))
+    counted = read.join(kept, by, "left").select(by, "n_read", (F.col("n_read") - F.coalesce("n_kept", F.lit(0))).alias("skipped"))
+    for kind in ("people", "firms"):
+        stage = F.col("match_type")
+        done = entries.select("pos", by).join(facts[kind].select("pos", "match_type"), "pos").groupBy(by).agg(
+            F.count_if(stage == "new").alias(f"{kind}_created"), F.count_if(~stage.isin("new", "review")).alias(f"{kind}_linked"))
+        counted = counted.join(done, by, "left")
+    ids = lambda kind, name: facts[kind].select("pos", F.col("entity_id").alias(name))
+    who = entries.where(F.col("award_name").isNotNull()).join(ids("people", "person_id"), "pos").join(ids("firms", "firm_id"), "pos", "left")
+    won = who.groupBy(by).agg(F.count_distinct(F.struct(award_slug(), "firm_id", "person_id", "year")).alias("recipients"))
+    zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("people_created", "people_linked", "firms_created", "firms_linked", "recipients")]
+    return counted.join(won, by, "left").select(by, "n_read", "skipped", *zero)
+
+
 FIRM_FACTS = ["wikidata_id", "founded_year", "website", "longitude", "latitude"]
 PERSON_FACTS = ["wikidata_id", "birth_year", "death_year", "nationality"]
 

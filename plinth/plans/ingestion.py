@@ -53,6 +53,24 @@ def _(s):
     return won.select("award_id", "year", F.col("people").alias("person"), F.col("firms").alias("firm")).distinct()
 
 
+@query("award_counters", f"""
+    with k as (select *, {sp.normalize('person_name')} as person, {sp.normalize('firm_name')} as firm from {KEPT}),
+    p as (select programme, count(*) as n_kept, count(*) filter (pos = first) as people_created, count(*) filter (pos <> first) as people_linked
+          from (select *, min(pos) over (partition by person) as first from k) group by programme),
+    f as (select programme, count(*) filter (pos = first) as firms_created, count(*) filter (pos <> first) as firms_linked
+          from (select *, min(pos) over (partition by firm) as first from k where firm <> '') group by programme),
+    w as (select programme, count(*) as recipients from (select distinct programme, award_name, year, person, coalesce(firm, '') from k) group by programme),
+    r as (select programme, count(*) as n_read from ({ENTRIES}) group by programme)
+    select programme, n_read, n_read - coalesce(n_kept, 0) as skipped, coalesce(people_created, 0) as people_created, coalesce(people_linked, 0) as people_linked,
+           coalesce(firms_created, 0) as firms_created, coalesce(firms_linked, 0) as firms_linked, coalesce(recipients, 0) as recipients
+    from r left join p using (programme) left join f using (programme) left join w using (programme)""")
+def _(s):
+    raw = s.sql(ENTRIES)
+    entries = award_tables.award_entries(raw)
+    facts = relations.award_facts(entries, s.people.where("false"), s.firms.where("false"), s.aliases.where("false"))
+    return relations.award_counters(raw, entries, facts)
+
+
 @query("award_facts_firm_links", f"select count(*) as links from (select distinct person_name, firm_name from {KEPT} where firm_name is not null)")
 def _(s):
     return _facts(s)["firm_people"].agg(F.count("*").alias("links"))
