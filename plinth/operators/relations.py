@@ -96,6 +96,22 @@ def award_facts(
     }
 
 
+def award_facts_of_rows(rows: DataFrame, people: DataFrame, firms: DataFrame, aliases: DataFrame) -> dict[str, DataFrame]:
+    """Award rows of pages or editions (pos, year, name, entity_type, award_name, organization, prestige) as resolved
+    people and firms, awards, and recipients that are one of both."""
+    def resolved(kind: str, known: DataFrame) -> DataFrame:
+        return resolve_batch(rows.where(F.col("entity_type") == kind).select("pos", "name"), known, aliases, kind, trigram=False)
+
+    persons, houses, awards = resolved("person", people), resolved("firm", firms), award_rows(rows)
+    placed = (
+        rows.withColumn("_slug", award_slug()).join(awards.select(F.col("slug").alias("_slug"), F.col("id").alias("award_id")), "_slug")
+        .join(persons.select("pos", F.col("entity_id").alias("person_id")), "pos", "left")
+        .join(houses.select("pos", F.col("entity_id").alias("firm_id")), "pos", "left")
+    )
+    won = placed.where(F.coalesce("person_id", "firm_id").isNotNull()).select("award_id", "firm_id", "person_id", "year").distinct()
+    return {"people": persons, "firms": houses, "awards": awards, "recipients": won}
+
+
 def award_counters(raw: DataFrame, entries: DataFrame, facts: dict[str, DataFrame], by: str = "programme") -> DataFrame:
     """What the award job did, per programme: entries read and skipped, people and firms created and linked, recipients.
 

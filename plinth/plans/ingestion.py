@@ -352,6 +352,10 @@ def _(s):
     union all
     select o_orderkey, 2, 1999, 'Ann ' || lower(c_mktsegment), 'person' from orders join customer on o_custkey = c_custkey""")
 def _(s):
+    return _table_facts(s)
+
+
+def _table_facts(s):
     lines = s.sql("""select o_orderkey as programme, year(o_orderdate) as y, o_custkey, c_mktsegment from orders join customer on o_custkey = c_custkey""")
     html = F.concat(
         F.lit('<p>x</p><table class="sortable wikitable"><tr><th>Year</th><th>Winner</th></tr><tr><td>'), "y", F.lit("</td><td><b>"), "c_mktsegment",
@@ -360,6 +364,19 @@ def _(s):
     return award_tables.award_table_facts(lines.select("programme", html.alias("html")))
 
 
+@query("award_table_recipients", f"""
+    with t as (select o_orderkey as k, cast(year(o_orderdate) as int) as year, c_mktsegment || ' Architects ' || o_custkey as name, 'firm' as kind, 'Prize ' || o_orderpriority as award_name
+               from orders join customer on o_custkey = c_custkey
+               union all select o_orderkey, 1999, 'Ann ' || lower(c_mktsegment), 'person', 'Prize ' || o_orderpriority from orders join customer on o_custkey = c_custkey),
+    i as (select *, sha256('award|' || {AWARD_SLUG}) as award_id, sha256(kind || '|' || {sp.slug(sp.normalize('name'))}) as id from t)
+    select distinct award_id, case when kind = 'firm' then id end as firm_id, case when kind = 'person' then id end as person_id, year from i""")
+def _(s):
+    named = s.sql("select o_orderkey as programme, 'Prize ' || o_orderpriority as award_name, o_orderpriority as organization, '1' as prestige from orders")
+    rows = _table_facts(s).join(named, "programme").withColumn("pos", F.col("programme") * 10 + F.col("row_no"))
+    facts = relations.award_facts_of_rows(rows, s.people.where("false"), s.firms.where("false"), s.aliases.where("false"))
+    return facts["recipients"]
+
+
 @query("run_log", """
     select run_day, cast(sum(entity_count) as bigint) as total_entities, count(error) as failures, count(*) as jobs,
            string_agg(name, ',' order by name) as names, round(sum(round(duration_s, 1)), 1) as seconds from v_runs group by run_day""")
