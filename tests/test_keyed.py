@@ -71,3 +71,20 @@ def test_a_batch_is_in_all_tables_or_in_none(spark, tmp_path):
     small = ledger.compact(str(tmp_path / "m"), ["a", "b"])
     assert small.done() == {0} and rows(small.state("b")) == rows(ledger.state("b"))
     assert small.commit(1, {"a": row(3, "w")}) and rows(small.state("a")) == [(1, "y"), (3, "w")]
+
+
+def test_stream_state_tells_what_is_new(spark, tmp_path):
+    from plinth.streaming import feeds
+
+    schema, got = "entry_id string, url string, n int", []
+
+    def land(*items):
+        spark.createDataFrame(items, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        feeds.run_new_items(stream, str(tmp_path / "state"), lambda new, _: got.append(rows(new))).awaitTermination()
+
+    land(("b", "u", 1), ("a", "u", 2), ("c", "v", 3))
+    # Known keys are not new, whatever their order, and the first of a batch stands for a new one.
+    land(("0", "u", 9), ("e", "w", 5), ("d", "w", 4))
+    assert got == [[("a", 2, "u"), ("c", 3, "v")], [("d", 4, "w")]]
+    assert list((tmp_path / "state/state").rglob("*.sst"))
