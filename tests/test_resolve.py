@@ -133,3 +133,33 @@ def test_all_lines_of_documents_meet_page_titles(spark, tmp_path):
     spark.createDataFrame([(1, "u", "<title>Great page title</title>")], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     found = catalog()["documents_like_page_titles"].run(spark, str(tmp_path)).collect()
     assert [(r.left_name, r.right_name) for r in found] == [("great page titles", "Great page title")]
+
+
+def _brute(left, right, t, within=False):
+    return {(a, b, round(sim(a, b), 9)) for a in left for b in right if sim(a, b) > t and (not within or a < b)}
+
+
+def test_both_ways_of_the_similarity_join_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(11)
+    name = lambda: " ".join(rng.choice(WORDS) for _ in range(rng.choice([1, 2, 3, 5, 9, 16])))
+    left, right = ({name() for _ in range(150)} | {"", "!!"} for _ in range(2))
+    a, b = (spark.createDataFrame([(n,) for n in names] + [(None,)], "name string") for names in (left, right))
+    taken = lambda df: sorted((r[0], r[1], round(r[2], 9)) for r in df.collect())
+    # All by blocks, of which there are many; then all by prefixes.
+    for settings in ({"BLOCK_ROWS": 20}, {"FEW_PAIRS": 0, "MEETING_COST": 0}):
+        with monkeypatch.context() as m:
+            for key, value in settings.items():
+                m.setattr(simjoin, key, value)
+            for t in (0.3, 0.6):
+                assert taken(simjoin.similar_pairs(a, b, t, "name", "name")) == sorted(_brute(left, right, t))
+                assert taken(simjoin.similar_pairs_within(a, t, "name")) == sorted(_brute(left, left, t, True))
+
+
+def test_similarity_join_ships_no_grams_with_each_prefix_gram(spark):
+    """Long lines against short names: what is written stays near the size of the sets."""
+    lines = spark.range(40).selectExpr("concat_ws(' ', transform(sequence(1, 60), i -> substr(md5(cast(id * 100 + i as string)), 1, 6))) as line")
+    sets = simjoin._numbered(lines, "line")
+    counts = simjoin.gram_frequencies(sets, "_grams")
+    one = simjoin.rare_first(sets, "_grams", counts).select("*", *simjoin.signatures("_grams"))
+    for side in simjoin._postings(one, one, 0.3, True, counts, counts):
+        assert not any(f.dataType.typeName() in ("array", "string") for f in side.schema)
