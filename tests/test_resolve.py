@@ -163,3 +163,18 @@ def test_similarity_join_ships_no_grams_with_each_prefix_gram(spark):
     one = simjoin.rare_first(sets, "_grams", counts).select("*", *simjoin.signatures("_grams"))
     for side in simjoin._postings(one, one, 0.3, True, counts, counts):
         assert not any(f.dataType.typeName() in ("array", "string") for f in side.schema)
+
+
+def test_near_copies_of_a_batch_are_not_compared_with_each_other(spark, monkeypatch):
+    """1,500 names, all alike: only those of the first block are one edge list."""
+    compared, within = [], simjoin.similar_pairs_within
+
+    def counted(names, *args, **options):
+        compared.append(names.count())
+        return within(names, *args, **options)
+
+    monkeypatch.setattr(resolve, "similar_pairs_within", counted)
+    fresh = spark.range(1, 1501).selectExpr("concat('supplier', lpad(cast(id as string), 9, '0'), ' and co') as normalized", "id as first")
+    made = [r["normalized"] for r in resolve.batch_creators(fresh).collect()]
+    assert made == ["supplier000000001 and co"]
+    assert compared == [1024, 0]
