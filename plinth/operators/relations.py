@@ -12,6 +12,7 @@ from plinth.operators.listings import reconcile_worklist
 from plinth.operators.merge import fill_missing
 from plinth.operators.ranking import keep_first
 from plinth.operators.resolve import not_in_by_id, resolve, resolve_batch
+from plinth.session import write_once
 
 # Predicate with the role it gives a person at a firm, and with the relationship it means.
 FIRM_ROLES = [("works_at", "Employee"), ("founded", "Founder"), ("partner_at", "Partner")]
@@ -99,6 +100,9 @@ def award_facts(
 def award_facts_of_rows(rows: DataFrame, people: DataFrame, firms: DataFrame, aliases: DataFrame) -> dict[str, DataFrame]:
     """Award rows of pages or editions (pos, year, name, entity_type, award_name, organization, prestige) as resolved
     people and firms, awards, and recipients that are one of both."""
+    # Written, for rows of pages are dear to parse and read in each step below.
+    rows = write_once(rows)
+
     def resolved(kind: str, known: DataFrame) -> DataFrame:
         return resolve_batch(rows.where(F.col("entity_type") == kind).select("pos", "name"), known, aliases, kind, trigram=False)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plinth.functions import scoring
 from plinth.functions.text import normalize_name
 from plinth.operators import relations
+from plinth.operators.simjoin import dealt_out
 from plinth.plans import sqlparts as sp
 from plinth.plans.registry import query
 from plinth.sources import award_tables, editions, elements, feeds, labs, repos, sinks, works
@@ -361,7 +362,8 @@ def _table_facts(s):
         F.lit('<p>x</p><table class="sortable wikitable"><tr><th>Year</th><th>Winner</th></tr><tr><td>'), "y", F.lit("</td><td><b>"), "c_mktsegment",
         F.lit(" Architects "), "o_custkey", F.lit("</b>[1] (UK)</td></tr><tr><td>1999<td>Ann "), F.lower("c_mktsegment"),
         F.lit(" ;</tr><tr><td>2001</td></tr></table><table><tr><td>2002</td><td>Nobody</td></tr></table>"))
-    return award_tables.award_table_facts(lines.select("programme", html.alias("html")))
+    # Dealt over all tasks: the rows are few bytes, their pages are dear to parse.
+    return award_tables.award_table_facts(dealt_out(lines, "programme").select("programme", html.alias("html")))
 
 
 @query("award_table_recipients", f"""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.functions.pages import page_facts
-from plinth.functions.text import clean_recipient, contains_any, year_of
+from plinth.functions.text import clean_recipient, contains_any, let, year_of
 from plinth.operators.filters import not_person
 
 ENTRY_SCHEMA = "year int, person_name string, firm_name string, nationality string"
@@ -79,16 +79,20 @@ def award_row(cells: Column | str, legacy: bool = False) -> Column:
     names = F.filter(F.transform(row, lambda c: F.when(
         (F.length(c) > 2) & ~c.rlike("^\\d+$"), clean_recipient(c))),
         lambda n: (F.length(n) > 2) & ~n.rlike("^\\d+$"))
-    year, name = F.get(years, F.lit(0)), F.get(names, F.lit(0))
-    if legacy:
-        header = contains_any(name, HEADER_WORDS)
-    else:
-        header = F.lower(F.trim(name)).rlike("^(" + "|".join(HEADER_WORDS) + ")s?(\\(s\\))?$")
-    good = (F.size(row) >= 2) & year.isNotNull() & name.isNotNull() & ~header
-    return F.when(good, F.struct(year.alias("year"), name.alias("name")))
+    def judged(fact: Column) -> Column:
+        year, name = fact["year"], fact["name"]
+        if legacy:
+            header = contains_any(name, HEADER_WORDS)
+        else:
+            header = F.lower(F.trim(name)).rlike("^(" + "|".join(HEADER_WORDS) + ")s?(\\(s\\))?$")
+        return F.when((F.size(row) >= 2) & year.isNotNull() & name.isNotNull() & ~header, fact)
+
+    return let(F.struct(F.get(years, F.lit(0)).alias("year"), F.get(names, F.lit(0)).alias("name")), judged)
 
 
 def award_table_facts(pages: DataFrame, key: str = "programme", html: str = "html", legacy: bool = False) -> DataFrame:
     """(key, row_no, year, name, entity_type) for each award row of the pages."""
-    found = table_rows(pages, key, html).withColumn("fact", award_row("cells", legacy)).where(F.col("fact").isNotNull())
+    # Exploded, so that no row is judged once to keep it and once to show it.
+    fact = F.explode(F.array_compact(F.array(award_row("cells", legacy)))).alias("fact")
+    found = table_rows(pages, key, html).select(key, "row_no", fact)
     return found.select(key, "row_no", "fact.year", "fact.name", entity_kind(F.col("fact.name")).alias("entity_type"))

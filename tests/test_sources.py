@@ -153,3 +153,11 @@ def test_award_recipients_without_year_and_with_two_spellings(spark):
     facts = relations.award_facts(entries, people, firms, aliases)
     assert facts["awards"].count() == 2 and facts["recipients"].count() == 3
     assert sorted(r["year"] or 0 for r in facts["recipients"].collect()) == [0, 2001, 2001]
+
+
+def test_pages_of_awards_are_parsed_once(spark):
+    """The rows are written before the steps that read them, so no step parses pages again."""
+    from plinth.plans import catalog
+
+    plan = catalog()["award_table_recipients"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan
