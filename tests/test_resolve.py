@@ -178,3 +178,22 @@ def test_near_copies_of_a_batch_are_not_compared_with_each_other(spark, monkeypa
     made = [r["normalized"] for r in resolve.batch_creators(fresh).collect()]
     assert made == ["supplier000000001 and co"]
     assert compared == [1024, 0]
+
+
+def test_mentions_meet_words_and_names_with_spaces(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [(i, " ".join(rng.choice(WORDS) + rng.choice(["", "", "x", "\n", "."]) for _ in range(12))) for i in range(40)] + [(40, None), (41, "")]
+    names = [(1, "alpha"), (2, "alpha"), (3, "lphas"), (4, "studio lab"), (5, "north works"), (6, "gamma\nbeta"), (7, "beta"), (8, "a.alphasx"), (9, "norths. delta"), (10, "studiox")]
+    looked, held = [], simjoin._held
+
+    def counted(lowered, key, *args):
+        looked.append((key, lowered.count()))
+        return held(lowered, key, *args)
+
+    monkeypatch.setattr(simjoin, "_held", counted)
+    found = simjoin.match_mentions(spark.createDataFrame(texts, "k long, t string"), spark.createDataFrame(names, "id long, canonical_name string"), "k", "t")
+    first = {n: i for i, n in reversed(names)}
+    assert sorted(map(tuple, found.collect())) == sorted((k, i, n) for k, t in texts if t for n, i in first.items() if len(n) >= 5 and n in t)
+    # Names without a space are looked for in each distinct word once, not in each text.
+    words = {w for _, t in texts if t for w in re.split("[ \n]", t) if len(w) >= 5}
+    assert looked == [("_word", len(words)), ("k", len(texts))]
