@@ -135,7 +135,7 @@ def enqueue(queue: DataFrame, rows: DataFrame) -> DataFrame:
     busy = queue.where(F.col("status").isin("pending", "processing")).select("entity_id", "entity_type")
     return (
         rows.select("entity_id", "entity_type").distinct()
-        .join(busy, ["entity_id", "entity_type"], "left_anti").withColumn("status", F.lit("pending"))
+        .hint("merge").join(busy, ["entity_id", "entity_type"], "left_anti").withColumn("status", F.lit("pending"))
     )
 
 

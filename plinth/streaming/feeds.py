@@ -40,7 +40,7 @@ def ingest_batch(
     changing = [c for c in items.columns if c != "url"]
     merged = upsert(sources, minted, ["url"], changing, order=[F.asc("entry_id")])
     mentions = match_mentions(items.select("url", "title").distinct(), live, "url", "title")
-    subjects = mentions.select("url", F.col("id").alias("entity_id")).join(merged.select("url", F.col("id").alias("source_id")), "url").select(
+    subjects = mentions.select("url", F.col("id").alias("entity_id")).hint("merge").join(merged.select("url", F.col("id").alias("source_id")), "url").select(
         "entity_id", F.lit("firm").alias("entity_type"), "source_id", F.lit("subject").alias("mention_type"))
     edges = upsert(links, subjects, ["entity_id", "entity_type", "source_id"], policy="keep_first")
     waiting = enqueue(queue, subjects)
@@ -93,13 +93,14 @@ def ingest_changes(items: DataFrame, sources: DataFrame, firms: DataFrame, links
     A known source keeps its id and what the items lack. A firm that a title names gets a link and, if none is
     pending, a place in the queue. The cursor of each source is its newest entry.
     """
-    known = sources.join(items.select("url"), "url", "left_semi")
+    # Merges, for all of these tables grow; by their small files the driver would gather them.
+    known = sources.hint("merge").join(items.select("url"), "url", "left_semi")
     merged = upsert(known, items.drop("source_name", "entry_id").withColumn("id", entity_id("source", "url")), ["url"], ["title"])
     live = firms.where(F.col("merged_into").isNull())
     named = match_mentions(items.select("url", "title"), live, "url", "title").select("url", F.col("id").alias("entity_id"))
-    subjects = named.join(merged.select("url", F.col("id").alias("source_id")), "url").select(
+    subjects = named.hint("merge").join(merged.select("url", F.col("id").alias("source_id")), "url").select(
         "entity_id", F.lit("firm").alias("entity_type"), "source_id", F.lit("subject").alias("mention_type"))
-    edges = subjects.join(links, ["entity_id", "entity_type", "source_id"], "left_anti")
+    edges = subjects.hint("merge").join(links, ["entity_id", "entity_type", "source_id"], "left_anti")
     runs = items.groupBy("source_name").agg(
         F.max("entry_id").alias("last_cursor"), F.count("*").alias("entity_count"), F.lit("ok").alias("status"))
     return {"sources": merged, "links": edges, "queue": enqueue(queue, subjects), "cursors": runs}
