@@ -4,7 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from plinth import session
 from plinth.operators import detail
+from plinth.plans.standins import StandIns
 
 
 def test_source_context_packs_titles_before_the_shuffle(spark):
@@ -30,3 +32,36 @@ def test_source_context_orders_titles_of_one_source(spark):
     sources = spark.createDataFrame([(7, "b"), (7, "a")], "id long, title string")
     assert detail.source_context(links, sources).first()["context"] == "Mentioned in: a; b"
     assert detail.source_context(links, sources.where(F.lit(False))).count() == 0
+
+
+def test_shuffles_begin_in_proportion_to_the_input(spark, monkeypatch):
+    name, merged = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name, None)
+    monkeypatch.setattr(session, "PARTITION_INPUT_BYTES", 1_000)
+    try:
+        df = StandIns(spark, "/root/testdata/sf0.001").sql("select o_custkey, count(*) as n from orders group by 1")
+        started = int(spark.conf.get(name))
+        assert started > 4 and df.count() > 0
+        assert f"{started})" in df._jdf.queryExecution().toString()
+        spark.conf.set(merged, "1000000b")
+        session.roomy_shuffles(spark, 0)
+        assert spark.conf.get(merged) == "1000000b"
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+        spark.conf.unset(merged)
+
+
+def test_rows_without_a_key_meet_no_single_task(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(4000).select("id", F.when(F.col("id") % 4 == 0, F.col("id") % 50).alias("k"))
+        known = spark.range(40).select(F.col("id").alias("k"), F.concat(F.lit("n"), "id").alias("name"))
+        joined = detail.left_join(rows, known, "k", ["id"])
+        got = {(r["id"], r["name"]) for r in joined.collect()}
+        assert got == {(i, f"n{i % 50}" if i % 4 == 0 and i % 50 < 40 else None) for i in range(4000)}
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 2000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
