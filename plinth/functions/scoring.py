@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plinth.functions.text import as_col, blank_to_null, count_words, cut, has, has_number, location_label, normalize_name, points
+from plinth.functions.text import as_col, blank_to_null, count_words, cut, has, has_number, let, location_label, normalize_name, points
 from plinth.operators.filters import QUALITY_IRRELEVANT_WORDS, irrelevant_firm
 
 # Words that vote for a sector, sectors in tie-break order.
@@ -49,13 +49,15 @@ def person_publish_status(score: Column | str, at_least: int = 30) -> Column:
 
 def classify_sector(topics: Column | str) -> Column:
     """Sector with most words found in the joined topics, ties to the declared order, else technology."""
-    text = F.array_join(as_col(topics), " ")
-    votes = [
-        F.struct((-count_words(text, words)).alias("hits"), F.lit(rank).alias("rank"), F.lit(sector).alias("sector"))
-        for rank, (sector, words) in enumerate(SECTOR_WORDS.items())
-    ]
-    best = F.sort_array(F.array(*votes))[0]
-    return F.when(best["hits"] < 0, best["sector"]).otherwise(F.lit("technology"))
+    def voted(text: Column) -> Column:
+        votes = [
+            F.struct((-count_words(text, words)).alias("hits"), F.lit(rank).alias("rank"), F.lit(sector).alias("sector"))
+            for rank, (sector, words) in enumerate(SECTOR_WORDS.items())
+        ]
+        return F.sort_array(F.array(*votes))[0]
+
+    best = let(F.array_join(as_col(topics), " "), voted)
+    return let(best, lambda b: F.when(b["hits"] < 0, b["sector"]).otherwise(F.lit("technology")))
 
 
 def confidence(kind: str, description: str = "description", website: str = "found_website",

@@ -144,7 +144,7 @@ def _works(s):
         F.when(F.col("k") % 7 != 0, F.year("o_orderdate")).alias("publication_year"),
         F.array(F.struct(F.concat("topic", F.lit(" robot design")).alias("display_name"))).alias("topics"),
         F.transform("a", lambda x: F.struct(x["author"].alias("author"), x["institutions"].alias("institutions"))).alias("authorships"))
-    return grouped.select(F.from_json(F.to_json(work), works.WORK).alias("w")).select("w.*")
+    return works.parse_works(grouped.select(F.to_json(work).alias("value")))
 
 
 URL = "case when k % 4 = 0 then 'https://doi.org/' || k else 'W' || k end"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions.geo import last_segment
 from plinth.functions.scoring import classify_sector
-from plinth.functions.text import as_col, blank_to_null, has
+from plinth.functions.text import as_col, blank_to_null, has, let
 from plinth.operators.filters import relevant_institution
 
 WORK = (
@@ -18,17 +18,23 @@ WORK = (
 )
 
 
+def parse_works(df: DataFrame, column: str = "value") -> DataFrame:
+    """JSON texts as works. Each is parsed once: a plain `from_json` would be put into every filter and
+    column behind it by the optimizer, and run again for each."""
+    return df.select(F.inline(F.array(F.from_json(column, WORK))))
+
+
 def work_url(doi: Column | str, work_id: Column | str) -> Column:
     return F.coalesce(blank_to_null(doi), blank_to_null(work_id))
 
 
 def topics_of(topics: Column | str = "topics", concepts: Column | str = "concepts") -> Column:
     """Topic names, else names of concepts of level 2 or lower; a missing level is too high."""
-    named = F.filter(F.transform(as_col(topics), lambda t: t["display_name"]), lambda n: F.length(n) > 0)
+    every = F.filter(F.transform(as_col(topics), lambda t: t["display_name"]), lambda n: F.length(n) > 0)
     broad = F.filter(as_col(concepts), lambda c: F.coalesce(c["level"], F.lit(99)) <= 2)
     fallback = F.filter(F.transform(broad, lambda c: c["display_name"]), lambda n: F.length(n) > 0)
     none = F.array().cast("array<string>")
-    return F.when(F.size(F.coalesce(named, none)) > 0, named).otherwise(F.coalesce(fallback, none))
+    return let(every, lambda named: F.when(F.size(F.coalesce(named, none)) > 0, named).otherwise(F.coalesce(fallback, none)))
 
 
 def first_relevant(institutions: Column | str) -> Column:
@@ -61,8 +67,8 @@ def work_institutions(works: DataFrame) -> DataFrame:
     every = F.flatten(F.transform("authorships", lambda a: a["institutions"]))
     trimmed = F.transform(every, lambda i: F.struct(
         F.trim(i["display_name"]).alias("name"), i["country_code"].alias("country_code")))
-    names = F.transform(trimmed, lambda i: i["name"])
-    first = F.filter(trimmed, lambda i, at: F.array_position(names, i["name"]) == at + 1)
+    first = let(trimmed, lambda held: let(F.transform(held, lambda i: i["name"]), lambda names: F.filter(
+        held, lambda i, at: F.array_position(names, i["name"]) == at + 1)))
     rows = works.select("url", "sector", F.explode(first).alias("i"))
     relevant = rows.where(has("i.name") & relevant_institution("i.name"))
     return relevant.select("url", "i.name", blank_to_null("i.country_code").alias("country_code"), "sector")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plinth import session
 from plinth.operators import detail
 from plinth.plans.standins import StandIns
+from plinth.sources import works
 
 
 def test_source_context_packs_titles_before_the_shuffle(spark):
@@ -65,3 +66,15 @@ def test_rows_without_a_key_meet_no_single_task(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_works_are_parsed_once(spark):
+    text = ('{"id": "W1", "title": " T ", "publication_year": 2000, "topics": [{"display_name": "urban robot"}], "authorships": ['
+            '{"author": {"id": "A1", "display_name": "Ann"}, "institutions": [{"display_name": " Urban Lab "}, {"display_name": "Urban Lab", "country_code": "DE"}]}]}')
+    parsed = works.parse_works(spark.createDataFrame([(text,), (None,), ("{",)], "value string"))
+    out = works.flatten_works(parsed)
+    assert [tuple(r) for r in out["institutions"].select("url", "name", "country_code", "sector").collect()] == [("W1", "Urban Lab", None, "architecture")]
+    assert [r["author"] for r in out["sources"].collect()] == ["Ann"]
+    for df in out.values():
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") == 1, plan
