@@ -6,12 +6,13 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plinth.functions.extract import clean_credit, credit_in_text, looks_like_credit
-from plinth.functions.text import as_col, collapse_spaces
+from plinth.functions.text import as_col, collapse_spaces, let
+from plinth.session import bounded_batches
 
 # Elements whose content is not page text.
 DROPPED_ELEMENTS = ["script", "style", "nav", "footer", "header", "aside"]
@@ -130,9 +131,17 @@ class _PageFacts(HTMLParser):
         return self.images, self.metas, self.captions, self.credits, self.rows
 
 
+def page_facts(html: Column | str) -> Column:
+    """Images, meta tags, captions, credit elements and award-table rows of each page.
+
+    Pages go to Python in batches of bounded bytes; a batch of Spark's 10,000 rows is all pages of a task.
+    """
+    bounded_batches(SparkSession.active())
+    return _facts_of(html)
+
+
 @F.pandas_udf(FACTS)
-def page_facts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Images, meta tags, captions, credit elements and award-table rows of each page."""
+def _facts_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     names = ["images", "metas", "captions", "credits", "rows"]
     for html in batches:
         out = []
@@ -173,10 +182,12 @@ def bump_cdn_width(url: Column | str, target: int = 1600) -> Column:
         dull = (name == "quality") & (number < 85)
         return F.when(small, F.concat(name, F.lit(f"={target}"))).when(dull, F.lit("quality=90")).otherwise(pair)
 
-    bumped = F.array_join(F.transform(F.split(query, "&"), raised), "&")
-    rebuilt = F.concat(
-        F.regexp_extract(value, "^([^?#]*)", 1), F.lit("?"), bumped, F.regexp_extract(value, "(#.*)?$", 1))
-    return F.when((F.length(query) > 0) & (bumped != query), rebuilt).otherwise(value)
+    def rebuilt(bumped: Column) -> Column:
+        whole = F.concat(
+            F.regexp_extract(value, "^([^?#]*)", 1), F.lit("?"), bumped, F.regexp_extract(value, "(#.*)?$", 1))
+        return F.when((F.length(query) > 0) & (bumped != query), whole).otherwise(value)
+
+    return let(F.array_join(F.transform(F.split(query, "&"), raised), "&"), rebuilt)
 
 
 _HERO = "hero|banner|cover|splash|featured"
@@ -230,16 +241,18 @@ def image_candidates(facts: Column | str, base: Column | str, min_width: int = 8
         return F.filter(_metas(page, keys), lambda u: u.startswith("http"))
 
     og = shared(["og:image:secure_url", "og:image", "og:image:url"])
-    bumped = F.filter(
-        F.transform(og, lambda u, i: F.when(bump_cdn_width(u) != u, entry(4, i, F.lit("og:image bumped"), bump_cdn_width(u)))),
-        lambda e: e.isNotNull())
+    def wider(url: Column, position: Column) -> Column:
+        return let(bump_cdn_width(url), lambda b: F.when(b != url, entry(4, position, F.lit("og:image bumped"), b)))
+
+    bumped = F.filter(F.transform(og, wider), lambda e: e.isNotNull())
     plain = F.transform(og, lambda u, i: entry(5, i, F.lit("og:image"), u))
     cards = F.transform(shared(["twitter:image", "twitter:image:src"]), lambda u, i: entry(6, i, F.lit("twitter:image"), u))
     ranked = F.sort_array(F.concat(
         F.array_compact(F.transform(images, widest)), F.array_compact(F.transform(images, hero)),
         F.array_compact(F.transform(images, large)), bumped, plain, cards))
-    urls = F.transform(ranked, lambda e: e["url"])
-    return F.filter(ranked, lambda e, i: F.array_position(urls, e["url"]) == i + 1)
+    # `ranked` inside the filter's body would be worked out again for each of its own elements.
+    return let(ranked, lambda held: let(F.transform(held, lambda e: e["url"]), lambda urls: F.filter(
+        held, lambda e, i: F.array_position(urls, e["url"]) == i + 1)))
 
 
 # Meta keys that may carry a credit, in the order they are tried.

@@ -1,10 +1,13 @@
 """Plans and results of queries that must not grow faster than their input."""
 
 import random
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from plinth import session
+from plinth.functions import pages
 from plinth.operators import detail
 from plinth.plans.standins import StandIns
 from plinth.sources import works
@@ -78,3 +81,27 @@ def test_works_are_parsed_once(spark):
     for df in out.values():
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("from_json") == 1, plan
+
+
+def test_image_candidates_work_out_their_ranking_once(spark):
+    html = "".join(f'<img srcset="a{i % 30}.jpg 1200w">' for i in range(60)) + '<meta property="og:image" content="https://c.example.com/x.jpg?w=400">'
+    facts = spark.createDataFrame([(html,)], "html string").select(pages.page_facts("html").alias("facts"))
+    found = facts.select(pages.image_candidates("facts", F.lit("https://s.example.com/p")).alias("i"))
+    assert [(i["priority"], i["url"].rsplit("/", 1)[1]) for i in found.first()["i"]] == [
+        (1, f"a{i}.jpg") for i in range(30)] + [(4, "x.jpg?w=1600"), (5, "x.jpg?w=400")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("sort_array") == 1
+
+
+def test_pages_go_to_python_in_batches_of_bounded_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+
+    @F.pandas_udf("int")
+    def batch_rows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([len(batch)] * len(batch))
+
+    pages.page_facts("html")
+    rows = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 200_000).alias("html"))
+    most = rows.select(batch_rows("html").alias("n")).agg(F.max("n")).first()[0]
+    assert most <= 60
