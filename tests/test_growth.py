@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from plinth import session
-from plinth.functions import pages
+from plinth.functions import pages, text
 from plinth.operators import detail
 from plinth.plans.standins import StandIns
 from plinth.sources import works
@@ -105,3 +105,14 @@ def test_pages_go_to_python_in_batches_of_bounded_bytes(spark):
     rows = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 200_000).alias("html"))
     most = rows.select(batch_rows("html").alias("n")).agg(F.max("n")).first()[0]
     assert most <= 60
+
+
+def test_words_are_not_looked_for_byte_by_byte(spark):
+    rng = random.Random(5)
+    words = ["art", "arts & crafts", "tar", "ar", "a.b", "rta", "r", "ta r", "über", "c++", "(x)"]
+    texts = ["".join(rng.choices(["ar", "t", "a", " ", "s & crafts", ".", "b", "über", "c++", "(x)", "ÜBER", "A.B", "xb"], k=9)) for _ in range(300)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").select("id", text.matching_words("t", words).alias("found"))
+    got = {r["id"]: r["found"] for r in df.collect()}
+    assert got == {i: [w for w in words if w in (t or "").lower()] for i, t in enumerate(texts)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "Contains(" not in plan
