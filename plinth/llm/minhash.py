@@ -17,7 +17,7 @@ equal in id and text are one row twice; an empty table gives no rows; other colu
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,10 @@ from plinth.llm.linking import linked
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
-#: Word hashes that a worker remembers before it starts anew.
-MEMO = 500_000
+#: Word hashes that a worker remembers before it starts anew, about 150 bytes each.
+MEMO = 50_000
+#: Shingles that are signed at once; a longer text is signed alone.
+SLICE = 100_000
 
 _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
@@ -129,16 +131,33 @@ def _unpacked(elements: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
     return e, np.frombuffer(weights, np.int64) if weights else np.ones(len(e), np.int64)
 
 
+def sign(texts: Iterable[bytes | None]) -> tuple[list[bytes | None], np.ndarray]:
+    """The node of each text and its buckets, one row a text; the shingles of SLICE are held at a time."""
+    nodes: list[bytes | None] = []
+    buckets = [np.zeros((0, BANDS), np.int64)]
+    sets: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+    for text in texts:
+        found = shingles(text)
+        if sets and held + len(found[0]) > SLICE:
+            buckets.append(bands(signatures(sets)))
+            sets, held = [], 0
+        sets.append(found)
+        held += len(found[0])
+        nodes.append(xxhash.xxh3_128_digest(found[0].tobytes() + found[1].tobytes()) if len(found[0]) else None)
+    if sets:
+        buckets.append(bands(signatures(sets)))
+    return nodes, np.concatenate(buckets)
+
+
 def signed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """key, doc_id, the node (digest of the weighted shingles, NULL without words) and the buckets of every row."""
     source = docs.select(row_key(doc_id, text).alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("_bytes"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(rows: pa.Table) -> pa.Table:
-        sets = list(map(shingles, rows["_bytes"].to_pylist()))
-        nodes = [xxhash.xxh3_128_digest(e.tobytes() + w.tobytes()) if len(e) else None for e, w in sets]
-        buckets = bands(signatures(sets))
-        ends = np.arange(len(sets) + 1, dtype=np.int32) * BANDS
+        nodes, buckets = sign(value.as_py() for value in rows["_bytes"])
+        ends = np.arange(len(nodes) + 1, dtype=np.int32) * BANDS
         listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(buckets.ravel()))
         return pa.table([rows["key"], rows["doc_id"], pa.array(nodes, pa.binary()), listed], names=["key", "doc_id", "node", "buckets"])
 

@@ -67,7 +67,7 @@ class Automaton:
             piece[at] = i
         n = len(children)
         fail, link = [0] * n, [0] * n
-        moves = np.zeros((n, self.DENSE + 1), np.int32)
+        moves = np.zeros((n, self.DENSE + 1), np.uint16 if n <= 1 << 16 else np.int32)
         queue = [0]
         for state in queue:
             up = fail[state]

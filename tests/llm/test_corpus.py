@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -126,6 +127,19 @@ def test_signatures_estimate_the_jaccard():
     assert (one == minhash.signatures([a], 4000)[0]).all()
 
 
+def test_signing_a_batch_holds_few_shingles_at_a_time():
+    texts = [words(2000, i).encode() for i in range(400)] + [None, b""]
+    minhash.shingles(b" ".join(texts[:-2]))
+    tracemalloc.start()
+    nodes, buckets = minhash.sign(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30 << 20  # all at once are about 70 MB
+    sets = [minhash.shingles(t) for t in texts]
+    assert (buckets == minhash.bands(minhash.signatures(sets))).all()
+    assert nodes[-2:] == [None, None] and len(set(nodes)) == 401
+
+
 def test_classes_by_brute_force(spark):
     texts = copies(6) + [None, "", "one two", "one two", "\n \t"]
     truth = near_truth(texts)
