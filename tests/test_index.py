@@ -7,6 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from plinth.functions.fulltext import fts_match, fts_rank, lexemes
+from plinth.functions.similarity import jaccard, trigram_codes
 from plinth.operators import search, searchindex, simindex, simjoin
 
 WORDS = ["alpha", "beta", "gamma", "delta", "works", "studio", "north", "south", "lab", "house"]
@@ -101,3 +103,25 @@ def test_blocks_hold_their_greatest_impact_and_low_ones_are_left_out(spark, tmp_
     assert every == sum(b.n for b in blocks if b.entity_type == "firm" and b.word == "alpha")
     assert index._text_hits(asked, bounds(0.7), 0.7).count() == every
     assert index._text_hits(asked, bounds(0.71), 0.7).count() < every
+
+
+def test_search_v1_ranks_names_without_texts_and_equals_all_pairs(spark):
+    words = ["alpha", "beta", "gamma", "delta"]
+    firms = [("firm" if i % 3 else "person", i, f"s{i}", f"{words[i % 4]} works", f"{words[i % 4]} works {i % 5}", words[i % 2], ["DE", None][i % 2], None, None,
+              f"a {words[i % 3]} of {words[i % 4]} trade", None) for i in range(90)]
+    names = "entity_type string, id long, slug string, display_name string, canonical_name string, sector string, country string, country_code string, city string, short_description string, role string"
+    text = F.concat("display_name", F.lit(" "), "short_description")
+    entities = spark.createDataFrame(firms, names).withColumns({"name_grams": trigram_codes("canonical_name"), "text_lexemes": lexemes(text)})
+    queries = spark.createDataFrame(
+        [(1, "alpha works", None, None), (2, "beta alpha", None, "DE"), (3, "gamma trade", "alpha", None), (4, "delta works 3", None, None), (5, "zzz", None, None)],
+        "query_id long, query string, sector string, country string")
+    pairs = search._filtered(search.prepared(queries).crossJoin(entities), codes=False)
+    told = fts_match(F.col("text_lexemes"), F.col("q_words"))
+    sim, rank = jaccard("name_grams", "q_grams"), fts_rank(F.col("text_lexemes"), F.col("q_words"))
+    every = pairs.withColumn("rank", F.greatest(sim, F.when(told, rank).otherwise(0.0))).where((sim > 0.2) | told)
+    keep = ["query_id", "entity_type", "id", F.round("rank", 9).alias("rank"), "place"]
+    found = search.search_v1(queries, entities, k=4)
+    want = search._best(every, 4).select(*keep).collect()
+    assert len(want) > 20 and sorted(found.select(*keep).collect()) == sorted(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit [canonical_name" in plan and "BroadcastHashJoin [entity_type" not in plan
