@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from plinth import session
 from plinth.functions import pages, text
-from plinth.operators import detail
+from plinth.operators import detail, resolve
 from plinth.plans.standins import StandIns
 from plinth.sources import works
 
@@ -116,3 +116,16 @@ def test_words_are_not_looked_for_byte_by_byte(spark):
     assert got == {i: [w for w in words if w in (t or "").lower()] for i, t in enumerate(texts)}
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" in plan and "Contains(" not in plan
+
+
+def test_names_are_normalised_once_and_in_all_tasks(spark):
+    targets = spark.createDataFrame([(5, "north works"), (3, "north works"), (9, "delta lab")], "id long, canonical_name string")
+    aliases = spark.createDataFrame([(9, "person", "dl")], "entity_id long, entity_type string, alias_normalized string")
+    rows = [(1, "North  Works, GmbH"), (2, "north works s"), (3, "DL"), (4, "unheard of"), (5, None), (6, "North  Works, GmbH")]
+    candidates = spark.createDataFrame(rows, "pos long, name string").coalesce(1)
+    for way in (resolve.resolve, resolve.resolve_batch):
+        got = way(candidates.where("name is not null") if way is resolve.resolve_batch else candidates, targets, aliases, "person")
+        found = {r["pos"]: (r["match_type"], r["entity_id"] or r["suggested_id"]) for r in got.collect()}
+        assert found[1] == found[6] == ("exact", "3") and found[2] == ("trigram", "3") and found[3] == ("alias", "9") and found[4][0] == "new"
+        # The pattern of the legal forms: names are read, not normalised again (a batch also normalises aliases).
+        assert way is resolve.resolve_batch or "gmbh" not in got._jdf.queryExecution().optimizedPlan().toString()
