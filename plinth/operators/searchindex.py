@@ -25,13 +25,13 @@ from plinth.functions.fulltext import fts_match, fts_rank
 from plinth.functions.similarity import jaccard
 from plinth.operators import simindex
 from plinth.operators.ranking import top_n
-from plinth.operators.search import _best, _filtered, alias_best_sim, prepared
+from plinth.operators.search import ALIAS, NAME, PAIR, _best, _best_named, _filtered, alias_best_sim, holders, prepared
 from plinth.session import write_once
 from plinth.sources.segments import Segments
 
 BLOCK = 128
-#: Weights of a name, of an alias, of one cover of all words, and the rank of a tag.
-NAME, ALIAS, COVER, TAG = 2.0, 1.5, 0.1, 0.4
+#: Weight of one cover of all words, and the rank of a tag.
+COVER, TAG = 0.1, 0.4
 #: The lowest similarity that any search asks for.
 FLOOR = 0.2
 
@@ -89,8 +89,8 @@ class SearchIndex:
     def _tag_hits(self, open_pairs: DataFrame, asked: DataFrame, tags: DataFrame, entity_tags: DataFrame, threshold: float) -> DataFrame:
         near = self._names("tags").pairs(asked, "q", threshold).select(F.col("left_name").alias("q"), F.col("right_name").alias("slug"))
         meant = near.join(asked.select("query_id", "q"), "q").join(tags.select(F.col("id").alias("tag_id"), "slug"), "slug").select("query_id", "tag_id").distinct()
-        wanted = meant.join(open_pairs, "query_id")
-        return wanted.join(entity_tags, ["tag_id", "entity_type"]).select("query_id", "entity_type", F.col("entity_id").alias("id")).distinct()
+        wanted = write_once(meant.join(open_pairs, "query_id"))
+        return wanted.join(holders(wanted, entity_tags), ["tag_id", "entity_type"]).select("query_id", "entity_type", F.col("entity_id").alias("id")).distinct()
 
     def _text_hits(self, asked: DataFrame, bounds: DataFrame, other: float) -> DataFrame:
         """query_id, entity_type, id from the blocks of each query's rarest word that may reach its bound.
@@ -113,7 +113,9 @@ class SearchIndex:
         asked = write_once(prepared(queries, stem))
         entities = self.entities()
         alias_names = aliases.select("entity_type", F.col("entity_id").alias("id"), "alias_normalized")
-        named = self._hits(asked, "names", entities.select("entity_type", "id", "canonical_name"), "canonical_name", threshold).unionByName(
+        # Of the names only the k best of each query: others can be among the k best of all by text or alias only, and are met there.
+        near = self._names("names").pairs(asked, "q", threshold)
+        named = _best_named(asked, entities, near, k).select(*PAIR).unionByName(
             self._hits(asked, "aliases", alias_names, "alias_normalized", threshold)).distinct()
         first = write_once(self._ranked(named.withColumn("by_tag", F.lit(False)), asked, entities, aliases))
         # Whoever comes by tag or text alone has at most this rank, but for its text.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from plinth import session
 from plinth.functions import pages, text
-from plinth.operators import detail, resolve
+from plinth.operators import detail, resolve, search
 from plinth.plans.standins import StandIns
 from plinth.sources import works
 
@@ -129,3 +129,25 @@ def test_names_are_normalised_once_and_in_all_tasks(spark):
         assert found[1] == found[6] == ("exact", "3") and found[2] == ("trigram", "3") and found[3] == ("alias", "9") and found[4][0] == "new"
         # The pattern of the legal forms: names are read, not normalised again (a batch also normalises aliases).
         assert way is resolve.resolve_batch or "gmbh" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_search_ranks_only_the_best_names_of_a_query_further(spark, monkeypatch):
+    firms = [(i, f"f{i}", "Alpha Works", "alpha works", "design", "X", None, None, None, None, "published") for i in range(1, 41)]
+    firms += [(90, "f90", "Beta", "beta", "design", "X", None, None, "alpha works trade", None, "published")]
+    columns = "id long, slug string, display_name string, canonical_name string, sector string, country string, country_code string, city string, short_description string, merged_into long, publish_status string"
+    people = spark.createDataFrame([], "id long, slug string, display_name string, canonical_name string, sector string, bio string, role string, publish_status string")
+    queries = spark.createDataFrame([(1, " Alpha Works ")], "query_id long, query string")
+    aliases = spark.createDataFrame([("firm", 40, "alpha work")], "entity_type string, entity_id long, alias_normalized string")
+    tags = spark.createDataFrame([(7, "alpha-works"), (8, "other")], "id long, slug string")
+    held = spark.createDataFrame([("firm", 39, 7), ("firm", 38, 8)], "entity_type string, entity_id long, tag_id long").distinct()
+    ranked, whole = [], search.alias_best_sim
+    monkeypatch.setattr(search, "alias_best_sim", lambda pairs, names: ranked.extend(r["id"] for r in pairs.select("id").collect()) or whole(pairs, names))
+    entities = search.searchable(spark.createDataFrame(firms, columns), people)
+    got = search.search(queries, entities, aliases, tags, held, k=3).collect()
+    assert [(r["id"], r["rank"], r["place"]) for r in got] == [(1, 2.0, 1), (2, 2.0, 2), (3, 2.0, 3)]
+    # Of forty equal names three are handed on by the name; texts, tags and aliases admit others..
+    named = search._best_named(search.prepared(queries), entities, spark.createDataFrame([("alpha works", "alpha works", 1.0)], "left_name string, right_name string, sim double"), 3)
+    assert sorted(r["id"] for r in named.collect()) == [1, 2, 3]
+    assert {39, 40, 90} <= set(ranked)
+    plan = search.holders(session.write_once(tags.select(F.col("id").alias("tag_id"))), held)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("LeftSemi")
