@@ -151,3 +151,14 @@ def test_search_ranks_only_the_best_names_of_a_query_further(spark, monkeypatch)
     assert {39, 40, 90} <= set(ranked)
     plan = search.holders(session.write_once(tags.select(F.col("id").alias("tag_id"))), held)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate") < plan.index("LeftSemi")
+
+
+def test_merged_shuffle_partitions_stay_small(spark):
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name, None)
+    try:
+        spark.conf.unset(name)
+        session.roomy_shuffles(spark, 0)
+        assert int(spark.conf.get(name).rstrip("b")) <= 16 << 20
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
