@@ -155,6 +155,23 @@ def test_both_ways_of_the_similarity_join_equal_brute_force(spark, monkeypatch):
                 assert taken(simjoin.similar_pairs_within(a, t, "name")) == sorted(_brute(left, left, t, True))
 
 
+def test_blocks_count_shared_grams_by_bits_and_name_their_pairs(spark, monkeypatch):
+    """64 pairs a word, in few words and small batches; pairs leave a block with their names, so nothing is joined to them."""
+    rng = random.Random(7)
+    name = lambda: " ".join(rng.choice(WORDS) for _ in range(rng.choice([1, 2, 4, 8, 20])))
+    left, right = {name() for _ in range(300)}, {name() for _ in range(90)} | {"\u00dcber die Br\u00fccke", "\u6771\u4eac \u5927\u5b66"}
+    for key, value in {"BITS_WORDS": 2, "BATCH_WORDS": 5, "PAIRS_OF_A_BATCH": 7}.items():
+        monkeypatch.setattr(simjoin, key, value)
+    a, b = (spark.createDataFrame([(n,) for n in sorted(names)], "name string") for names in (left, right))
+    for t, inclusive in ((0.3, False), (0.5, True), (0.9, True)):
+        found = simjoin.similar_pairs(a, b, t, "name", "name", inclusive)
+        want = {(x, y, round(sim(x, y), 9)) for x in left for y in right if (sim(x, y) >= t if inclusive else sim(x, y) > t)}
+        assert sorted((r[0], r[1], round(r[2], 9)) for r in found.collect()) == sorted(want)
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    within = simjoin.similar_pairs_within(a, 0.3, "name")
+    assert sorted((r[0], r[1], round(r[2], 9)) for r in within.collect()) == sorted(_brute(left, left, 0.3, True))
+
+
 def test_similarity_join_ships_no_grams_with_each_prefix_gram(spark):
     """Long lines against short names: what is written stays near the size of the sets."""
     lines = spark.range(40).selectExpr("concat_ws(' ', transform(sequence(1, 60), i -> substr(md5(cast(id * 100 + i as string)), 1, 6))) as line")
