@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,6 +157,71 @@ def _facts_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield frame
 
 
+#: A page of plain texts and plain tags only: no comments, entities, unquoted or empty attributes, or stray signs.
+_PLAIN_PAGE = re.compile('(?:[^<>&]++|<(?:/[A-Za-z][A-Za-z0-9]*|[A-Za-z][A-Za-z0-9]*(?:[ \\n]+[A-Za-z][A-Za-z-]*="[^"<>&]*")*+)>)*+')
+_NAME = re.compile("/?[A-Za-z0-9]+")
+_CLASS = re.compile('[ \\n]class="([^"]*)"', re.IGNORECASE)
+#: Tags whose content a parser may take as text, and those that make rows.
+_RAW = {"script", "style", "textarea", "title", "iframe", "xmp", "plaintext", "noembed", "noframes", "noscript"}
+_OF_ROWS = {"td", "th", "tr", "table", "/td", "/th", "/tr", "/table"}
+
+
+def _award_rows(html: str | None) -> list[list[str]]:
+    """Rows of the award tables of a page, as the parser gives them. Plain pages are read tag by tag, which is many
+    times as fast; all others are parsed."""
+    if not html or ("wikitable" not in html and "&" not in html):
+        return []
+    rows = _plain_rows(html) if _PLAIN_PAGE.fullmatch(html) else None
+    if rows is None:
+        parser = _PageFacts()
+        parser.feed(html)
+        rows = parser.finish()[4]
+    return rows
+
+
+def _plain_rows(html: str) -> list[list[str]] | None:
+    rows, tables, row, cell = [], [], None, None
+    for part in html.split("<")[1:]:
+        tag, _, text = part.partition(">")
+        name = tag
+        if name not in _OF_ROWS:
+            name = _NAME.match(tag)[0].lower()
+            if name in _RAW:
+                return None
+        if name == "table":
+            classes = _CLASS.findall(tag)
+            tables.append(bool(classes) and "wikitable" in classes[-1].split())
+        elif name in _OF_ROWS and (name != "/table" or tables):
+            if cell is not None:
+                row.append("".join(cell))
+                cell = None
+            if name == "td" or name == "th":
+                cell = None if row is None else []
+            elif name != "/td" and name != "/th":
+                if row:
+                    rows.append(row)
+                row = [] if name == "tr" and tables and tables[-1] else None
+                if name == "/table":
+                    tables.pop()
+        if text and cell is not None:
+            cell.append(text.strip())
+    if cell is not None:
+        row.append("".join(cell))
+    return rows + [row] if row else rows
+
+
+@F.arrow_udf(T.ArrayType(_TEXTS))
+def _award_rows_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for html in batches:
+        yield pa.array([_award_rows(page) for page in html.to_pylist()], pa.list_(pa.list_(pa.string())))
+
+
+def award_table_rows(html: Column | str) -> Column:
+    """The rows of `page_facts` alone."""
+    bounded_batches(SparkSession.active())
+    return _award_rows_of(html)
+
+
 def join_url(base: Column | str, ref: Column) -> Column:
     """Reference resolved against the page address."""
     page = F.regexp_extract(as_col(base), "^([^?#]*)", 1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions.geo import nationality_code
 from plinth.operators.filters import skip_unlabelled
-from plinth.operators.ingest import award_rows, award_slug
+from plinth.operators.ingest import award_rows, award_slug, with_award
 from plinth.operators.listings import reconcile_worklist
 from plinth.operators.merge import fill_missing
 from plinth.operators.ranking import keep_first
@@ -80,14 +80,14 @@ def award_facts(
     houses = resolve_batch(
         entries.where(F.length("firm_name") > 0).select("pos", F.col("firm_name").alias("name")), firms, aliases, "firm",
         trigram=False)
-    awards = award_rows(entries.where(F.col("award_name").isNotNull()))
+    # Written, for without its other columns the optimizer would make a slug of each row again.
+    awards = write_once(award_rows(entries.where(F.col("award_name").isNotNull())))
     placed = (
         entries.join(persons.select("pos", F.col("entity_id").alias("person_id")), "pos")
         .join(houses.select("pos", F.col("entity_id").alias("firm_id")), "pos", "left")
     )
     # By slug: two spellings of a name are one award, and a missing year has a slug too.
-    won = placed.where(F.col("award_name").isNotNull()).withColumn("_slug", award_slug()).join(
-        awards.select(F.col("slug").alias("_slug"), F.col("id").alias("award_id")), "_slug")
+    won = with_award(placed.where(F.col("award_name").isNotNull()), awards)
     keys = ["award_id", "firm_id", "person_id", "year"]
     links = placed.where(F.col("firm_id").isNotNull()).select(
         "firm_id", "person_id", F.lit("Principal").alias("role"), F.lit(True).alias("is_current"), "pos")
@@ -106,9 +106,9 @@ def award_facts_of_rows(rows: DataFrame, people: DataFrame, firms: DataFrame, al
     def resolved(kind: str, known: DataFrame) -> DataFrame:
         return resolve_batch(rows.where(F.col("entity_type") == kind).select("pos", "name"), known, aliases, kind, trigram=False)
 
-    persons, houses, awards = resolved("person", people), resolved("firm", firms), award_rows(rows)
+    persons, houses, awards = resolved("person", people), resolved("firm", firms), write_once(award_rows(rows))
     placed = (
-        rows.withColumn("_slug", award_slug()).join(awards.select(F.col("slug").alias("_slug"), F.col("id").alias("award_id")), "_slug")
+        with_award(rows, awards)
         .join(persons.select("pos", F.col("entity_id").alias("person_id")), "pos", "left")
         .join(houses.select("pos", F.col("entity_id").alias("firm_id")), "pos", "left")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.functions.pages import page_facts
+from plinth.functions.pages import award_table_rows
 from plinth.functions.text import clean_recipient, contains_any, let, year_of
 from plinth.operators.filters import not_person
 
@@ -64,7 +64,7 @@ def entity_kind(name: Column | str) -> Column:
 
 def table_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, row_no, cells): trimmed cell texts of every row of every award table."""
-    rows = F.posexplode(page_facts(html)["rows"]).alias("row_no", "cells")
+    rows = F.posexplode(award_table_rows(html)).alias("row_no", "cells")
     return pages.select(key, rows)
 
 

@@ -1,14 +1,16 @@
 """Golden files for the raw inputs."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from plinth.functions.geo import nationality_code
+from plinth.functions import pages
 from plinth.functions.pages import image_candidates, page_facts, photo_credit
 from plinth.operators.ranking import keep_first
-from plinth.operators import relations
+from plinth.operators import relations, resolve
 from plinth.sources import award_tables, editions, feeds, labs, sinks, works
 from plinth.schema import TABLES, read_tables
 from plinth.streaming.feeds import run_feed_stream
@@ -161,3 +163,42 @@ def test_pages_of_awards_are_parsed_once(spark):
 
     plan = catalog()["award_table_recipients"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "EvalPython" not in plan
+
+
+def test_rows_of_plain_pages_are_read_without_the_parser(monkeypatch):
+    """Token by token, with the rows that the parser gives, on any order of tags; other pages are parsed."""
+    rng = random.Random(9)
+    tags = ["<table>", '<table class="a wikitable">', '<TABLE id="x" CLASS="wikitable b">', "</table>", "<tr>", "</tr>", "<td>", "</td>", "<th>", "</th>", "<b>",
+            "</b>", "<br>", "\n", " a ", "1999", " \u00fc;", '<td class="x">']
+    odd = ["&amp;", "<script>", "</script>", "<!-- <td> -->", "<td class=x>", "<br/>", "</td x>", "<", ">", '</td class="x">', "<title>", '<table class="wiki&#116;able">']
+
+    def parsed(html):
+        parser = pages._PageFacts()
+        parser.feed(html)
+        return parser.finish()[4]
+
+    made = lambda parts: "".join(rng.choice(['<table class="wikitable">', "<tr><td>"] + parts) for _ in range(rng.randint(0, 25)))
+    assert all(pages._award_rows(html) == parsed(html) for html in (made(tags + odd) for _ in range(3000)))
+    plain = [made(tags) for _ in range(3000)]
+    want = [parsed(html) for html in plain]
+    assert sum(map(bool, want)) > 500 and pages._award_rows(None) == []
+    monkeypatch.setattr(pages, "_PageFacts", None)
+    assert [pages._award_rows(html) for html in plain] == want
+
+
+def test_spellings_of_awards_and_aliases_of_names_are_made_once(spark, monkeypatch):
+    rows = [(1, 2001, "Ann Stone", "person"), (2, None, "Stone Works", "firm"), (3, 2001, "SW", "firm"), (4, 2001, "Ann  Stone", "person")]
+    rows = spark.createDataFrame(rows, "pos long, year int, name string, entity_type string").selectExpr(
+        "*", "if(pos = 4, 'GRAND  prize!', 'Grand Prize') as award_name", "'o' as organization", "'1' as prestige")
+    none = spark.createDataFrame([], "id string, canonical_name string, slug string, display_name string, merged_into string, nationality string")
+    aliases = spark.createDataFrame([], "entity_id string, entity_type string, alias string, alias_normalized string")
+    made, called = [], resolve._called
+    monkeypatch.setattr(resolve, "_called", lambda names: made.append(names.count()) or called(names))
+    facts = relations.award_facts_of_rows(rows, none, none, aliases)
+    won = {(r["year"], r["firm_id"], r["person_id"]) for r in facts["recipients"].collect()}
+    assert facts["awards"].count() == 2 and len(won) == 3 and facts["recipients"].count() == 3
+    assert {r["pos"]: r["match_type"] for r in facts["firms"].collect()} == {2: "new", 3: "alias"}
+    # Persons and firms, each once: blocks and outcomes read what was written.
+    assert made == [1, 2]
+    plan = facts["recipients"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") <= 1
