@@ -7,6 +7,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from plinth.functions.text import name_aliases, normalize_name
+from plinth import session
 from plinth.operators import resolve, simjoin
 from plinth.plans import catalog
 from plinth.schema import entity_id
@@ -214,3 +215,13 @@ def test_mentions_meet_words_and_names_with_spaces(spark, monkeypatch):
     # Names without a space are looked for in each distinct word once, not in each text.
     words = {w for _, t in texts if t for w in re.split("[ \n]", t) if len(w) >= 5}
     assert looked == [("_word", len(words)), ("k", len(texts))]
+
+
+def test_marks_of_many_filed_names_still_drop_other_grams(spark):
+    """Half a million names leave most bits unset, so what is shuffled does not grow with texts times names."""
+    filed = spark.range(500_000).select(F.concat(F.lit("n"), "id").alias("_gram"))
+    bits = session.write_once(simjoin.filed_bits(filed))
+    assert len(bits.first()["bits"]) == simjoin.FILED_WORDS <= 1 << 16
+    passed = lambda grams: grams.where(simjoin.maybe_filed(F.col("_gram"), bits.scalar())).count()
+    assert passed(filed) == 500_000
+    assert passed(spark.range(100_000).select(F.concat(F.lit("other"), "id").alias("_gram"))) < 20_000
