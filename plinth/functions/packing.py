@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PACK_LEVEL = 3
+PACK_LEVEL = 9
 _LENGTH = 8
 
 

@@ -162,3 +162,22 @@ def test_merged_shuffle_partitions_stay_small(spark):
         assert int(spark.conf.get(name).rstrip("b")) <= 16 << 20
     finally:
         spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def test_source_context_sends_a_title_once_for_each_part(spark, monkeypatch):
+    """Entities that begin with the same source share its titles; very many of them are dealt over several parts."""
+    monkeypatch.setattr(detail, "LINKS_OF_A_PART", 60)
+    monkeypatch.setattr(detail, "LEAST_PARTS", 1)
+    links = [("firm" if e % 3 else "person", e, s) for e in range(200) for s in ((0, 1, 2) if e < 120 else (e % 7, 20 + e % 5, 20 + e % 5))]
+    titles = {s: f"title {s} " + "x" * s for s in range(24)} | {3: None}
+    got = detail.source_context(
+        spark.createDataFrame(links, "entity_type string, entity_id long, source_id long"), spark.createDataFrame(list(titles.items()), "id long, title string"))
+    want = {}
+    for kind, entity, _ in links:
+        shown = [titles[s] for s in sorted(s for k, e, s in links if (k, e) == (kind, entity)) if titles.get(s)]
+        if shown:
+            want[kind, entity] = "Mentioned in: " + "; ".join(shown)
+    assert {(r["entity_type"], r["entity_id"]): r["context"] for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # Entities are listed beside a title when it moves, and told apart behind the exchange by part.
+    assert plan.index("Generate inline(_entities") < plan.index("RepartitionByExpression [_part") < plan.index("AS _entities")
